@@ -125,6 +125,127 @@ ORDER = [
     "sale_requests",
 ]
 
+REQUEST_CTES = {
+    "category_requests": """
+category_requests AS (
+  SELECT p_partkey AS seq,
+         CASE WHEN p_partkey % 4 = 0 THEN p_type
+              WHEN p_partkey % 4 = 1 THEN p_brand
+              WHEN p_partkey % 4 = 2 THEN '  ' || lower(p_brand) || ' '
+              WHEN p_partkey % 8 = 3 THEN 'x'
+              ELSE p_brand || ' & Co' END AS name,
+         p_name AS description
+  FROM part
+)""",
+    "category_update_requests": """
+category_update_requests AS (
+  SELECT id AS seq, id,
+         CASE WHEN id % 2 = 0 THEN lower(trim(name)) || ' line' ELSE 'pumps' END AS name,
+         'updated' AS description
+  FROM categories_dirty
+)""",
+    "category_delete_requests": """
+category_delete_requests AS (SELECT id AS seq, id FROM categories_dirty)""",
+    "inventory_insert_requests": """
+inventory_insert_requests AS (
+  SELECT p_partkey AS seq,
+         CASE WHEN p_partkey % 29 = 0 THEN p_name || ' ' || CAST(p_partkey AS VARCHAR)
+              ELSE upper(p_name || ' ' || CAST(p_partkey AS VARCHAR)) END AS name,
+         p_brand AS description, CAST(NULL AS BIGINT) AS category_id,
+         'NEW-' || CAST(p_partkey AS VARCHAR) AS sku,
+         CAST(CASE WHEN p_partkey % 31 = 0 THEN -1 ELSE p_partkey % 50 END AS INTEGER) AS quantity,
+         5 AS min_quantity, CAST(p_retailprice AS DECIMAL(10,2)) AS unit_price,
+         p_brand AS supplier, 'Dock' AS location
+  FROM part
+)""",
+    "inventory_update_requests": """
+inventory_update_requests AS (
+  SELECT p.p_partkey AS seq, p.p_partkey AS id,
+         CASE p.p_partkey % 4 WHEN 0 THEN ['quantity'] WHEN 1 THEN ['name']
+              WHEN 2 THEN ['unit_price', 'supplier'] ELSE CAST([] AS VARCHAR[]) END AS fields,
+         CASE WHEN p.p_partkey % 8 = 1 THEN upper(p.p_name || ' ' || CAST(p.p_partkey AS VARCHAR))
+              ELSE concat_ws(' ', q.p_name, CAST(q.p_partkey AS VARCHAR)) END AS new_name,
+         CAST(p.p_partkey % 50 AS INTEGER) AS new_quantity,
+         CAST(CAST(p.p_retailprice AS DECIMAL(10,2)) + 1 AS DECIMAL(10,2)) AS new_unit_price,
+         'Acme' AS new_supplier,
+         CAST(NULL AS VARCHAR) AS new_description, CAST(NULL AS BIGINT) AS new_category_id,
+         CAST(NULL AS VARCHAR) AS new_sku, CAST(NULL AS INTEGER) AS new_min_quantity,
+         CAST(NULL AS VARCHAR) AS new_location
+  FROM part p LEFT JOIN part q ON q.p_partkey = p.p_partkey - 1
+)""",
+    "rows_delete_requests": """
+rows_delete_requests AS (SELECT s_suppkey AS seq, s_suppkey AS id FROM supplier)""",
+    "sale_update_requests": """
+sale_update_requests AS (
+  SELECT id AS seq, id,
+         CASE id % 4 WHEN 0 THEN ['quantity'] WHEN 1 THEN ['unit_price'] WHEN 2 THEN ['customer_name']
+              ELSE ['quantity', 'unit_price'] END AS fields,
+         CAST(CASE WHEN id % 4 = 0 THEN quantity + 1 ELSE 2 END AS INTEGER) AS new_quantity,
+         CAST(CASE WHEN id % 4 = 1 THEN 0 ELSE 9.99 END AS DECIMAL(10,2)) AS new_unit_price,
+         'Walk-in' AS new_customer_name
+  FROM sales
+)""",
+    "sale_delete_requests": """
+sale_delete_requests AS (SELECT id AS seq, id FROM sales WHERE notes = 'returned')""",
+    "staff_insert_requests": """
+staff_insert_requests AS (
+  SELECT c_custkey AS seq, c_name AS name,
+         CASE WHEN c_custkey % 50 = 1 THEN 'u1@example.com'
+              WHEN c_custkey % 50 = 2 THEN 'bad-email'
+              ELSE 'c' || CAST(c_custkey AS VARCHAR) || '@example.com' END AS email,
+         CASE WHEN c_custkey % 40 = 3 THEN '' END AS phone,
+         'Clerk' AS position, c_mktsegment AS department,
+         CASE c_custkey % 4 WHEN 0 THEN '2020-01-15' WHEN 1 THEN '2021/03/04'
+              WHEN 2 THEN '03/04/2022' ELSE 'someday' END AS hire_date,
+         CAST(CAST(c_acctbal AS DECIMAL(10,2)) AS VARCHAR) AS salary
+  FROM customer
+)""",
+    "staff_update_requests": """
+staff_update_requests AS (
+  SELECT s_suppkey AS seq,
+         CASE WHEN s_suppkey % 10 = 9 THEN s_suppkey + 100000 ELSE s_suppkey END AS id,
+         CASE s_suppkey % 3 WHEN 0 THEN ['phone'] WHEN 1 THEN ['salary'] ELSE ['email', 'department'] END AS fields,
+         '555-' || CAST(s_suppkey AS VARCHAR) AS new_phone,
+         CAST(CASE WHEN s_suppkey % 7 = 1 THEN -1 ELSE s_suppkey + 1000 END AS DECIMAL(10,2)) AS new_salary,
+         'staff' || CAST(s_suppkey AS VARCHAR) || '@example.com' AS new_email,
+         'HQ' AS new_department,
+         CAST(NULL AS VARCHAR) AS new_name, CAST(NULL AS VARCHAR) AS new_position,
+         CAST(NULL AS DATE) AS new_hire_date, CAST(NULL AS VARCHAR) AS new_status
+  FROM supplier
+)""",
+    "staff_status_requests": """
+staff_status_requests AS (
+  SELECT s_suppkey AS seq, s_suppkey AS id,
+         ['active', 'inactive', 'terminated', 'retired'][s_suppkey % 4 + 1] AS status
+  FROM supplier
+)""",
+    "budget_insert_requests": """
+budget_insert_requests AS (
+  SELECT m * 1000 + c.id AS seq, c.name AS category,
+         CAST(CASE WHEN c.id = 3 THEN -5 ELSE c.id * 100 END AS DECIMAL(10,2)) AS amount,
+         CAST(NULL AS DECIMAL(10,2)) AS spent,
+         ['2024-01', '2024/02', 'Mar 2024', '202404', '2024-05-31'][m] AS month_year
+  FROM categories c, range(1, 6) r(m)
+)""",
+    "budget_update_requests": """
+budget_update_requests AS (
+  SELECT id AS seq, CASE WHEN category = 'Pumps' THEN id + 50000 ELSE id END AS id,
+         CASE id % 3 WHEN 0 THEN ['amount'] WHEN 1 THEN ['spent'] ELSE CAST([] AS VARCHAR[]) END AS fields,
+         CAST(amount + 500 AS DECIMAL(10,2)) AS new_amount,
+         CAST(CASE WHEN id % 2 = 0 THEN -1 ELSE spent + 1 END AS DECIMAL(10,2)) AS new_spent,
+         CAST(NULL AS VARCHAR) AS new_category, CAST(NULL AS VARCHAR) AS new_month_year
+  FROM budget
+)""",
+    "remap_mapping": """
+remap_mapping AS (
+  SELECT p_name || ' ' || CAST(p_partkey AS VARCHAR) AS item_name,
+         CASE WHEN p_size % 2 = 0 THEN 'Pumps' ELSE 'Valves' END AS category_name
+  FROM part WHERE p_size > 45
+)""",
+}
+CTES.update(REQUEST_CTES)
+ORDER.extend(REQUEST_CTES)
+
 
 def with_fixtures(body: str) -> str:
     """Prefix a query with every fixture CTE (DuckDB drops unused ones)."""

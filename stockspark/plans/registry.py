@@ -98,3 +98,92 @@ register("budget_summary_status")(lambda t: C.budget_summary_status(t.budget, P.
 register("dashboard_kpis")(lambda t: C.dashboard_kpis(t.inventory, t.sales, t.staff))
 register("setup_counts")(lambda t: C.setup_counts(t.inventory, t.categories, t.staff, t.sales))
 register("uncategorised_count")(lambda t: C.uncategorised_count(t.inventory))
+
+# ------------------------------------------------------- E write jobs, F, G
+from ..functions import scalars as S  # noqa: E402
+from ..operators import changes as E  # noqa: E402
+from ..operators import quality as Q  # noqa: E402
+from ..sources import requests as R  # noqa: E402
+
+
+register("category_insert")(lambda t: E.category_insert(t.categories, R.category_requests(t)).extra["added"])
+register("category_insert_rejects")(lambda t: E.category_insert(t.categories, R.category_requests(t)).rejects)
+register("category_dedupe")(lambda t: E.category_dedupe(t.categories_dirty, t.inventory).extra["mapping"])
+register("category_update")(lambda t: E.category_update(t.categories, R.category_update_requests(t)).snapshot)
+register("category_delete")(
+    lambda t: E.category_delete(t.categories, t.inventory, R.category_delete_requests(t)).snapshot
+)
+register("category_delete_rejects")(
+    lambda t: E.category_delete(t.categories, t.inventory, R.category_delete_requests(t)).rejects
+)
+register("inventory_insert")(lambda t: E.inventory_insert(t.inventory, R.inventory_insert_requests(t)).extra["added"])
+register("inventory_insert_rejects")(
+    lambda t: E.inventory_insert(t.inventory, R.inventory_insert_requests(t)).rejects
+)
+register("inventory_update")(
+    lambda t: E.inventory_update(t.inventory, R.inventory_update_requests(t), R.JOB_TIME).snapshot
+)
+register("rows_delete")(lambda t: E.rows_delete(t.inventory, R.rows_delete_requests(t)).snapshot)
+register("rows_delete_rejects")(lambda t: E.rows_delete(t.inventory, R.rows_delete_requests(t)).rejects)
+register("stock_adjust")(lambda t: E.stock_adjust(t.inventory, t.stock_ops).snapshot)
+register("stock_adjust_rejects")(lambda t: E.stock_adjust(t.inventory, t.stock_ops).rejects)
+register("sale_post")(lambda t: E.sale_post(t.inventory, t.sale_requests).extra["outcomes"])
+register("sale_post_stock")(lambda t: E.sale_post(t.inventory, t.sale_requests).snapshot)
+register("sale_update")(lambda t: E.sale_update(t.sales, R.sale_update_requests(t)).snapshot)
+register("sale_delete")(lambda t: E.sale_delete(t.sales, t.inventory, R.sale_delete_requests(t)).extra["inventory"])
+register("staff_insert")(lambda t: E.staff_insert(t.staff, R.staff_insert_requests(t)).extra["added"])
+register("staff_insert_rejects")(lambda t: E.staff_insert(t.staff, R.staff_insert_requests(t)).rejects)
+register("staff_update")(lambda t: E.staff_update(t.staff, R.staff_update_requests(t)).snapshot)
+register("staff_status_update")(lambda t: E.staff_status_update(t.staff, R.staff_status_requests(t)).snapshot)
+register("budget_insert")(lambda t: E.budget_insert(t.budget, R.budget_insert_requests(t)).extra["added"])
+register("budget_insert_rejects")(lambda t: E.budget_insert(t.budget, R.budget_insert_requests(t)).rejects)
+register("budget_update")(lambda t: E.budget_update(t.budget, R.budget_update_requests(t)).snapshot)
+register("transaction_post")(
+    lambda t: E.transaction_post(t.budget, t.transactions, R.transaction_requests(t)).snapshot
+)
+register("remap_categories")(
+    lambda t: E.remap_categories(t.inventory, t.categories, R.remap_mapping(t), R.REMAP_DEFAULT)
+)
+
+register("validate_inventory")(lambda t: Q.report(R.inventory_insert_requests(t), Q.INVENTORY_RULES, "seq"))
+register("validate_inventory_counts")(lambda t: Q.rule_counts(R.inventory_insert_requests(t), Q.INVENTORY_RULES))
+register("validate_sales")(lambda t: Q.report(t.sales, Q.SALES_RULES))
+register("validate_sales_counts")(lambda t: Q.rule_counts(t.sales, Q.SALES_RULES))
+register("validate_staff")(lambda t: Q.report(t.staff, Q.STAFF_RULES))
+register("validate_staff_counts")(lambda t: Q.rule_counts(t.staff, Q.STAFF_RULES))
+register("validate_budget")(lambda t: Q.report(R.budget_insert_requests(t), Q.BUDGET_RULES, "seq"))
+register("validate_budget_counts")(lambda t: Q.rule_counts(R.budget_insert_requests(t), Q.BUDGET_RULES))
+register("validate_transactions")(lambda t: Q.report(t.transactions, Q.TRANSACTION_RULES))
+register("validate_transactions_counts")(lambda t: Q.rule_counts(t.transactions, Q.TRANSACTION_RULES))
+
+
+def _form_b(budget):
+    from pyspark.sql import functions as F
+
+    y, m = S.parse_month_year(F.col("month_year"))
+    return budget.select(
+        "id",
+        "category",
+        F.col("amount").alias("allocated_amount"),
+        F.col("spent").alias("spent_amount"),
+        m.alias("month"),
+        y.alias("year"),
+        "created_at",
+    )
+
+
+def _form_a(form_b):
+    from pyspark.sql import functions as F
+
+    return form_b.select(
+        "id",
+        "category",
+        F.col("allocated_amount").alias("amount"),
+        F.col("spent_amount").alias("spent"),
+        S.format_month_year("year", "month").alias("month_year"),
+        "created_at",
+    )
+
+
+register("budget_to_form_b")(lambda t: _form_b(t.budget))
+register("budget_to_form_a")(lambda t: _form_a(_form_b(t.budget)))

@@ -187,3 +187,92 @@ def _form_a(form_b):
 
 register("budget_to_form_b")(lambda t: _form_b(t.budget))
 register("budget_to_form_a")(lambda t: _form_a(_form_b(t.budget)))
+
+# ------------------------------------------------- A sources/sinks, S streams
+import uuid  # noqa: E402
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..schemas import BACKUP_TABLES  # noqa: E402
+from ..session import checkpoint_dir  # noqa: E402
+from ..sources import backup as A  # noqa: E402
+from ..streaming import streams as ST  # noqa: E402
+
+# Arrival waves for the streaming demos: requests/sales before 1997, 1997-1999, from 2000.
+WAVE_YEARS = [1997, 2000]
+
+
+def scratch(spark, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/stockspark/{name}-{uuid.uuid4().hex}"
+
+
+def _backup_tables(t: Tables) -> dict:
+    return {name: getattr(t, name) for name in BACKUP_TABLES}
+
+
+def _waves(df, ts_col: str):
+    bounds = [None, *WAVE_YEARS, None]
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (F.year(ts_col) >= lo)
+        if hi is not None:
+            cond = cond & (F.year(ts_col) < hi)
+        yield df.filter(cond)
+
+
+register("table_row_counts")(lambda t: A.table_row_counts(_backup_tables(t)))
+register("table_preview")(lambda t: A.table_preview(_backup_tables(t), "sales"))
+register("backup_export")(lambda t: A.backup_records(_backup_tables(t)))
+
+
+@register("backup_restore")
+def _backup_restore(t: Tables):
+    root = scratch(t.spark, "backup")
+    A.write_backup(_backup_tables(t), root)
+    _, status = A.read_backup(t.spark, root)
+    return status
+
+
+@register("backup_round_trip")
+def _backup_round_trip(t: Tables):
+    root = scratch(t.spark, "backup")
+    tables = _backup_tables(t)
+    A.write_backup(tables, root)
+    restored, _ = A.read_backup(t.spark, root)
+    return A.round_trip_diff(tables, restored)
+
+
+register("conform_to_schema")(
+    lambda t: A.migration_report({n: A.as_text(df) for n, df in _backup_tables(t).items()})
+)
+register("seed_categories")(lambda t: A.seed_categories(t.categories))
+register("column_evolution")(
+    lambda t: A.column_evolution(
+        t.inventory.drop("description", "sku").withColumnRenamed("min_quantity", "minimum_stock")
+    )
+)
+
+
+@register("sale_post_stream")
+def _sale_post_stream(t: Tables):
+    spark = t.spark
+    root = scratch(spark, "sale-stream")
+    ST.init_stock_state(t.inventory, f"{root}/state")
+    for wave in _waves(t.sale_requests, "requested_at"):
+        wave.write.mode("append").parquet(f"{root}/requests")
+        q = ST.start_sale_post_stream(spark, f"{root}/requests", f"{root}/state", f"{root}/checkpoint")
+        q.awaitTermination()
+    return ST.read_outcomes(spark, f"{root}/state")
+
+
+@register("daily_sales_stream")
+def _daily_sales_stream(t: Tables):
+    spark = t.spark
+    root = scratch(spark, "daily-stream")
+    for wave in _waves(t.sales, "sale_date"):
+        wave.write.mode("append").parquet(f"{root}/sales")
+        q = ST.start_daily_sales_stream(spark, f"{root}/sales", f"{root}/out", f"{root}/checkpoint")
+        q.awaitTermination()
+    return spark.read.parquet(f"{root}/out")

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from ..functions import scalars as S
 from ..schemas import BACKUP_TABLES, CATEGORIES, INVENTORY, TABLE_SCHEMAS
 from ..plans.ordering import dense_number
+from .fixtures import literal_rows
 
 BACKUP_VERSION = "1.0"
 CORRUPT = "_corrupt_record"
@@ -116,7 +117,7 @@ def read_backup(spark: SparkSession, root: str, tables: list[str] | None = None)
         path = f"{root}/data/{name}"
         keys = _first_record_keys(spark, path) if name in BACKUP_TABLES else None
         if name not in BACKUP_TABLES or keys is None:
-            status.append(spark.createDataFrame([(name, "skipped", 0, 0)], "table string, status string, restored bigint, total bigint"))
+            status.append(literal_rows(spark, [(name, "skipped", 0, 0)], "table string, status string, restored bigint, total bigint"))
             continue
         schema = TABLE_SCHEMAS[name]
         read_schema = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
@@ -221,7 +222,7 @@ DEFAULT_CATEGORIES = [
 def seed_categories(categories: DataFrame) -> DataFrame:
     """Categories plus the defaults that are absent (by LOWER(TRIM(name)))."""
     spark = categories.sparkSession
-    defaults = spark.createDataFrame(list(enumerate(DEFAULT_CATEGORIES)), "seq bigint, name string")
+    defaults = literal_rows(spark, list(enumerate(DEFAULT_CATEGORIES)), "seq bigint, name string")
     existing = categories.select(S.norm_name("name").alias("_key")).distinct()
     missing = defaults.withColumn("_key", S.norm_name("name")).join(existing, "_key", "left_anti").drop("_key")
     mx = categories.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]

@@ -89,7 +89,13 @@ def write_backup(
 
 # A4
 def _first_record_keys(spark: SparkSession, path: str) -> list[str] | None:
-    first = spark.read.text(path).limit(1).collect()  # one line
+    """Keys of the first record of a table folder; None when absent or empty."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        first = spark.read.text(path).limit(1).collect()  # one line
+    except AnalysisException:  # no such folder
+        return None
     if not first:
         return None
     try:

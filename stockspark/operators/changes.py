@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
-from ..plans.ordering import dense_number, monoid_fold
+from ..plans.ordering import dense_number, monoid_fold, running_sum
 from ..schemas import MONEY
 from . import quality as Q
 
@@ -310,26 +310,24 @@ def stock_adjust(inventory: DataFrame, ops: DataFrame, job_time: str | None = No
 
 
 # ------------------------------------------------------------- sales
-def sale_post(inventory: DataFrame, requests: DataFrame, sales: DataFrame | None = None) -> Result:
-    """Sale requests applied per item in (requested_at, request_id) order.
+# Requests per item above which the per-item fold (one array per item) is
+# replaced by the round-based path that never gathers an item's requests.
+HOT_ITEM_REQUESTS = 100_000
 
-    A request is accepted when the item exists and its current stock covers
-    the quantity; the stock then drops.  Returns the new inventory snapshot
-    (``snapshot``), rejects, ``outcomes`` (request_id, item_id, status) and
-    ``accepted`` sales rows (total_price = quantity * unit_price).
+_ORDER = ["requested_at", "request_id"]
+
+
+def _pos(prefix: str = "") -> Column:
+    return F.struct(F.col(prefix + "requested_at").alias("t"), F.col(prefix + "request_id").alias("r"))
 
-    Requests asking for more than the starting stock can never pass (stock
-    only falls), so they are rejected before any ordering work; only the
-    remaining candidates of each item are folded in order, and the fold's
-    state holds just the accepted ids (at most starting-stock many).
-    """
-    stock = inventory.select(F.col("id").alias("item_id"), F.col("quantity").alias("_q0"))
-    req = requests.withColumn("seq", F.col("request_id"))
-    unknown = req.join(stock, "item_id", "left_anti")
-    known = req.join(stock, "item_id")
-    never = known.filter(~F.coalesce(F.col("quantity") <= F.col("_q0"), F.lit(False)))
-    cand = known.filter(F.coalesce(F.col("quantity") <= F.col("_q0"), F.lit(False)))
 
+def _fold_items(cand: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per-item ordered fold for items with a bounded number of candidates.
+
+    The fold state keeps the stock and the accepted ids only (at most
+    starting-stock many), so arrays stay small.  Returns (accepted ids,
+    final stock per item).
+    """
     state0 = F.struct(
         F.col("_q0").cast("bigint").alias("stock"),
         F.array().cast(T.ArrayType(T.LongType())).alias("ids"),
@@ -344,11 +342,113 @@ def sale_post(inventory: DataFrame, requests: DataFrame, sales: DataFrame | None
 
     folded = (
         cand.groupBy("item_id", "_q0")
-        .agg(F.array_sort(F.collect_list(F.struct("requested_at", "request_id", F.col("quantity").cast("bigint").alias("quantity")))).alias("_r"))
+        .agg(
+            F.array_sort(
+                F.collect_list(F.struct(*_ORDER, F.col("quantity").cast("bigint").alias("quantity")))
+            ).alias("_r")
+        )
         .select("item_id", F.aggregate("_r", state0, step).alias("_s"))
     )
-    accepted_ids = folded.select("item_id", F.explode("_s.ids").alias("request_id"))
-    new_stock = folded.select(F.col("item_id").alias("_iid"), F.col("_s.stock").cast("int").alias("_new_q"))
+    accepted = folded.select("item_id", F.explode("_s.ids").alias("request_id"))
+    stock = folded.select("item_id", F.col("_s.stock").alias("stock"))
+    return accepted, stock
+
+
+def _rounds_items(cand: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Exact sale posting for hot items without gathering their requests.
+
+    Each round, per item with stock s after position p: requests asking more
+    than s are rejected (stock never rises); running sums P of the rest (in
+    order, computed by ``running_sum``) accept every request with P <= s up
+    to the first request j with P > s, which is rejected; the item continues
+    from j with stock s - (P_j - q_j).  Every round decides at least one
+    request per item, and the undecided rows are checkpointed each round.
+    """
+    spark = cand.sparkSession
+    pending = cand.select("item_id", "request_id", "requested_at", "quantity").checkpoint(eager=True)
+    state = cand.select("item_id", F.col("_q0").cast("bigint").alias("_s")).distinct().checkpoint(eager=True)
+    accepted_parts = []
+    done_stock = []
+    while True:
+        j = pending.join(state, "item_id")
+        fits = j.filter(F.col("quantity") <= F.col("_s"))
+        pref = running_sum(fits, "item_id", _ORDER, "quantity", "_p")
+        first_bad = (
+            pref.filter(F.col("_p") > F.col("_s"))
+            .groupBy("item_id")
+            .agg(F.min(F.struct(_pos().alias("pos"), F.col("_p"), F.col("quantity"))).alias("_fb"))
+        )
+        tagged = pref.join(first_bad, "item_id", "left").withColumn("_at", _pos())
+        no_bad = F.col("_fb").isNull()
+        accepted_parts.append(
+            tagged.filter(no_bad | (F.col("_at") < F.col("_fb.pos"))).select("item_id", "request_id").checkpoint(eager=True)
+        )
+        # items without a blocking request are finished: stock = s - total accepted
+        finished = tagged.filter(no_bad).groupBy("item_id").agg((F.first("_s") - F.max("_p")).alias("stock"))
+        done_stock.append(finished.checkpoint(eager=True))
+        nxt_state = first_bad.join(state, "item_id").select(
+            "item_id", (F.col("_s") - (F.col("_fb._p") - F.col("_fb.quantity"))).alias("_s")
+        )
+        remaining = tagged.filter(~no_bad & (F.col("_at") > F.col("_fb.pos"))).select(
+            "item_id", "request_id", "requested_at", "quantity"
+        )
+        # items that had no fitting request at all keep their stock
+        idle = state.join(pref.select("item_id").distinct(), "item_id", "left_anti").select(
+            "item_id", F.col("_s").alias("stock")
+        )
+        done_stock.append(idle.checkpoint(eager=True))
+        state = nxt_state.checkpoint(eager=True)
+        pending = remaining.checkpoint(eager=True)
+        if state.isEmpty():
+            break
+    accepted = accepted_parts[0]
+    for a in accepted_parts[1:]:
+        accepted = accepted.unionByName(a)
+    stock = done_stock[0]
+    for d in done_stock[1:]:
+        stock = stock.unionByName(d)
+    stock = stock.groupBy("item_id").agg(F.min("stock").alias("stock"))
+    del spark
+    return accepted, stock
+
+
+def sale_post(inventory: DataFrame, requests: DataFrame, hot_threshold: int = HOT_ITEM_REQUESTS) -> Result:
+    """Sale requests applied per item in (requested_at, request_id) order.
+
+    A request is accepted when the item exists and its current stock covers
+    the quantity; the stock then drops.  Returns the new inventory snapshot
+    (``snapshot``), rejects, ``outcomes`` (request_id, item_id, status) and
+    ``accepted`` sales rows (total_price = quantity * unit_price).
+
+    Requests asking for more than the starting stock can never pass (stock
+    only falls), so they are rejected before any ordering work.  Items with
+    at most ``hot_threshold`` remaining candidates are folded in one shuffle;
+    hotter items go through the round-based path, so no task ever holds one
+    item's whole request list.
+    """
+    stock = inventory.select(F.col("id").alias("item_id"), F.col("quantity").alias("_q0"))
+    req = requests.withColumn("seq", F.col("request_id"))
+    unknown = req.join(stock, "item_id", "left_anti")
+    known = req.join(stock, "item_id")
+    possible = F.coalesce(F.col("quantity") <= F.col("_q0"), F.lit(False))
+    never = known.filter(~possible)
+    cand = known.filter(possible)
+
+    sizes = cand.groupBy("item_id").agg(F.count(F.lit(1)).alias("_n"))
+    hot_ids = sizes.filter(F.col("_n") > hot_threshold).select("item_id")
+    # Hot items number at most (all requests / threshold): a proven bound.
+    hot_count = hot_ids.count()
+    if hot_count:
+        hot_ids = F.broadcast(hot_ids.checkpoint(eager=True))
+        normal = cand.join(hot_ids, "item_id", "left_anti")
+        hot = cand.join(hot_ids, "item_id", "left_semi")
+        acc_n, stock_n = _fold_items(normal)
+        acc_h, stock_h = _rounds_items(hot)
+        accepted_ids = acc_n.unionByName(acc_h)
+        new_stock = stock_n.unionByName(stock_h)
+    else:
+        accepted_ids, new_stock = _fold_items(cand)
+    new_stock = new_stock.select(F.col("item_id").alias("_iid"), F.col("stock").cast("int").alias("_new_q"))
 
     outcomes = _union_all([
         unknown.select("request_id", "item_id", F.lit("item_not_found").alias("status")),

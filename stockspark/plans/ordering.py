@@ -91,3 +91,29 @@ def monoid_fold(
         )
     # After the last level every key has a single summary (bucket 0).
     return cur.select(key, F.col("_v").alias("acc"))
+
+
+def running_sum(df: DataFrame, key: str, order_cols: list[str], value: str, out: str) -> DataFrame:
+    """Exact running sum of ``value`` per ``key`` in ``order_cols`` order, skew-safe.
+
+    Rows are range-partitioned on (key, order), which splits a hot key over
+    several partitions (the partitioner samples the data).  Each task sums
+    its own slice; per (key, partition) totals (at most one row per key and
+    partition) give the offset of every slice.  The partitioned rows are
+    checkpointed so the partition ids are stable for both uses.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = df.repartitionByRange(n, key, *order_cols).withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)
+    w_local = Window.partitionBy("_part", key).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = parts.withColumn("_local", F.sum(value).over(w_local))
+    totals = parts.groupBy(key, "_part").agg(F.sum(value).alias("_tot"))
+    offsets = totals.select(
+        key, "_part", (F.sum("_tot").over(Window.partitionBy(key).orderBy("_part")) - F.col("_tot")).alias("_off")
+    )
+    return (
+        local.join(offsets, [key, "_part"])
+        .withColumn(out, F.col("_local") + F.col("_off"))
+        .drop("_part", "_local", "_off")
+    )

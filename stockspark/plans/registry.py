@@ -129,6 +129,8 @@ register("stock_adjust")(lambda t: E.stock_adjust(t.inventory, t.stock_ops).snap
 register("stock_adjust_rejects")(lambda t: E.stock_adjust(t.inventory, t.stock_ops).rejects)
 register("sale_post")(lambda t: E.sale_post(t.inventory, t.sale_requests).extra["outcomes"])
 register("sale_post_stock")(lambda t: E.sale_post(t.inventory, t.sale_requests).snapshot)
+# Same job with a low hot-item bound: busy items take the round-based path.
+register("sale_post_hot")(lambda t: E.sale_post(t.inventory, t.sale_requests, hot_threshold=16).extra["outcomes"])
 register("sale_update")(lambda t: E.sale_update(t.sales, R.sale_update_requests(t)).snapshot)
 register("sale_delete")(lambda t: E.sale_delete(t.sales, t.inventory, R.sale_delete_requests(t)).extra["inventory"])
 register("staff_insert")(lambda t: E.staff_insert(t.staff, R.staff_insert_requests(t)).extra["added"])

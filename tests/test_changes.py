@@ -229,3 +229,37 @@ def test_monoid_fold_is_ordered(spark):
     identity = F.struct(F.lit("").alias("v"))
     out = monoid_fold(df, "k", "seq", ["v"], identity, lambda a, b: F.struct(F.concat(a["v"], b["v"]).alias("v")), 8)
     assert out.first().acc.v == "".join(str(i) for i in range(500))
+
+
+def test_sale_post_hot_path_matches_fold(spark, frames):
+    import random
+
+    rnd = random.Random(11)
+    stock = {i: rnd.randint(0, 40) for i in range(1, 7)}
+    rows = [(rid, rnd.randint(1, 6), rnd.randint(1, 15), f"2024-02-{1 + rid % 28:02d} {rid % 24:02d}:{rid % 60:02d}:00") for rid in range(400)]
+    inv = _inv(frames, stock)
+    req = _requests(spark, rows)
+    fold = E.sale_post(inv, req)
+    hot = E.sale_post(inv, req, hot_threshold=0)  # every item takes the round-based path
+    a = sorted((r.request_id, r.status) for r in fold.extra["outcomes"].collect())
+    b = sorted((r.request_id, r.status) for r in hot.extra["outcomes"].collect())
+    assert a == b
+    assert sorted((r.id, r.quantity) for r in fold.snapshot.collect()) == sorted(
+        (r.id, r.quantity) for r in hot.snapshot.collect()
+    )
+
+
+def test_running_sum_splits_hot_key(spark):
+    from stockspark.plans.ordering import running_sum
+
+    df = spark.range(0, 3000).select(
+        F.when(F.col("id") % 10 < 8, F.lit(1)).otherwise(F.col("id") % 10).alias("k"),
+        F.col("id").alias("o"),
+        (F.col("id") % 7).alias("v"),
+    )
+    got = {r.o: r.s for r in running_sum(df, "k", ["o"], "v", "s").collect()}
+    acc = {}
+    for o in range(3000):
+        k = 1 if o % 10 < 8 else o % 10
+        acc[k] = acc.get(k, 0) + o % 7
+        assert got[o] == acc[k]

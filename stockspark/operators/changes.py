@@ -313,6 +313,8 @@ def stock_adjust(inventory: DataFrame, ops: DataFrame, job_time: str | None = No
 # Requests per item above which the per-item fold (one array per item) is
 # replaced by the round-based path that never gathers an item's requests.
 HOT_ITEM_REQUESTS = 100_000
+# Largest id list broadcast to every task (8 bytes each: 8 MB).
+MAX_BROADCAST_IDS = 1_000_000
 
 _ORDER = ["requested_at", "request_id"]
 
@@ -436,10 +438,13 @@ def sale_post(inventory: DataFrame, requests: DataFrame, hot_threshold: int = HO
 
     sizes = cand.groupBy("item_id").agg(F.count(F.lit(1)).alias("_n"))
     hot_ids = sizes.filter(F.col("_n") > hot_threshold).select("item_id")
-    # Hot items number at most (all requests / threshold): a proven bound.
+    # Hot items number at most (all requests / threshold); the id list is
+    # broadcast only when the counted size is small, else Spark joins it.
     hot_count = hot_ids.count()
     if hot_count:
-        hot_ids = F.broadcast(hot_ids.checkpoint(eager=True))
+        hot_ids = hot_ids.checkpoint(eager=True)
+        if hot_count <= MAX_BROADCAST_IDS:
+            hot_ids = F.broadcast(hot_ids)
         normal = cand.join(hot_ids, "item_id", "left_anti")
         hot = cand.join(hot_ids, "item_id", "left_semi")
         acc_n, stock_n = _fold_items(normal)

@@ -267,7 +267,7 @@ def _compose(acc: Column, f: Column) -> Column:
 VALID_OPERATIONS = ["add", "subtract", "set"]
 
 
-def stock_adjust(inventory: DataFrame, ops: DataFrame, job_time: str | None = None, width: int = 1024) -> Result:
+def stock_adjust(inventory: DataFrame, ops: DataFrame, job_time: str | None = None, width: int = 1 << 17) -> Result:
     """Ops (seq, item_id, operation, quantity), applied per item in seq order.
 
     add -> q + n (not clamped); subtract -> max(0, q - n); set -> max(0, n).
@@ -417,7 +417,8 @@ def _rounds_items(cand: DataFrame) -> tuple[DataFrame, DataFrame]:
 def sale_post(inventory: DataFrame, requests: DataFrame, hot_threshold: int = HOT_ITEM_REQUESTS) -> Result:
     """Sale requests applied per item in (requested_at, request_id) order.
 
-    A request is accepted when the item exists and its current stock covers
+    Requests failing the F2 rules are rejected as 'invalid:<rules>'.  A valid
+    request is accepted when the item exists and its current stock covers
     the quantity; the stock then drops.  Returns the new inventory snapshot
     (``snapshot``), rejects, ``outcomes`` (request_id, item_id, status) and
     ``accepted`` sales rows (total_price = quantity * unit_price).
@@ -429,7 +430,9 @@ def sale_post(inventory: DataFrame, requests: DataFrame, hot_threshold: int = HO
     item's whole request list.
     """
     stock = inventory.select(F.col("id").alias("item_id"), F.col("quantity").alias("_q0"))
-    req = requests.withColumn("seq", F.col("request_id"))
+    checked = Q.check(requests, Q.SALES_RULES)
+    invalid = checked.filter(F.size("failed_rules") > 0)
+    req = checked.filter(F.size("failed_rules") == 0).drop("failed_rules").withColumn("seq", F.col("request_id"))
     unknown = req.join(stock, "item_id", "left_anti")
     known = req.join(stock, "item_id")
     possible = F.coalesce(F.col("quantity") <= F.col("_q0"), F.lit(False))
@@ -456,6 +459,7 @@ def sale_post(inventory: DataFrame, requests: DataFrame, hot_threshold: int = HO
     new_stock = new_stock.select(F.col("item_id").alias("_iid"), F.col("stock").cast("int").alias("_new_q"))
 
     outcomes = _union_all([
+        invalid.select("request_id", "item_id", F.concat(F.lit("invalid:"), F.array_join("failed_rules", ",")).alias("status")),
         unknown.select("request_id", "item_id", F.lit("item_not_found").alias("status")),
         never.select("request_id", "item_id", F.lit("insufficient_stock").alias("status")),
         cand.join(accepted_ids, ["item_id", "request_id"], "left_anti").select(
@@ -468,7 +472,7 @@ def sale_post(inventory: DataFrame, requests: DataFrame, hot_threshold: int = HO
         .withColumn("quantity", F.coalesce("_new_q", "quantity"))
         .select(inventory.columns)
     )
-    accepted = requests.join(accepted_ids, ["item_id", "request_id"], "left_semi").select(
+    accepted = req.join(accepted_ids, ["item_id", "request_id"], "left_semi").select(
         F.col("request_id").alias("id"),
         "item_id",
         "quantity",

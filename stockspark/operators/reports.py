@@ -316,15 +316,17 @@ def supplier_performance(inventory: DataFrame) -> DataFrame:
 
 
 def _one_row_join(*frames: DataFrame) -> DataFrame:
-    """Combine single-row aggregates side by side.
+    """Combine single-row aggregates side by side without a join.
 
-    Each input is a global aggregate (exactly one row), so an equi-join on a
-    constant key pairs them without a cartesian product.
+    Each input is a global aggregate (exactly one row) with its own columns;
+    the rows are unioned (other columns NULL) and collapsed by one aggregate
+    that keeps each column's only value.  No cartesian product is planned.
     """
-    out = frames[0].withColumn("_k", F.lit(1))
+    cols = [c for f in frames for c in f.columns]
+    out = frames[0]
     for f in frames[1:]:
-        out = out.join(F.broadcast(f.withColumn("_k", F.lit(1))), "_k")
-    return out.drop("_k")
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in cols])
 
 
 # C17

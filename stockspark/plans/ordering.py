@@ -60,7 +60,7 @@ def monoid_fold(
     fields: list[str],
     identity: Column,
     combine: Callable[[Column, Column], Column],
-    width: int = 1024,
+    width: int = 1 << 17,
 ) -> DataFrame:
     """Fold ``struct(fields)`` per ``key`` in ``seq`` order with an associative ``combine``.
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import listings as B
 from ..operators import reports as C
+from ..session import tune_session
 from ..sources.fixtures import Tables
 from . import params as P
 
@@ -19,9 +20,15 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 
 
+def _run(fn: Callable[[Tables], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
+    # UTC session zone (the streaming day windows align to UTC days), AQE on.
+    tune_session(spark)
+    return fn(Tables(spark, sf_dir))
+
+
 def register(key: str):
     def deco(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        QUERIES[key] = lambda spark, sf_dir, _fn=fn: _fn(Tables(spark, sf_dir))
+        QUERIES[key] = lambda spark, sf_dir, _fn=fn: _run(_fn, spark, sf_dir)
         return fn
 
     return deco

@@ -364,7 +364,9 @@ def _rounds_items(cand: DataFrame) -> tuple[DataFrame, DataFrame]:
     order, computed by ``running_sum``) accept every request with P <= s up
     to the first request j with P > s, which is rejected; the item continues
     from j with stock s - (P_j - q_j).  Every round decides at least one
-    request per item, and the undecided rows are checkpointed each round.
+    request per item.  The rows feeding the next round (state, undecided
+    requests) and the running-sum partitions are checkpointed, so each
+    round's results read only checkpointed data.
     """
     spark = cand.sparkSession
     pending = cand.select("item_id", "request_id", "requested_at", "quantity").checkpoint(eager=True)
@@ -382,12 +384,10 @@ def _rounds_items(cand: DataFrame) -> tuple[DataFrame, DataFrame]:
         )
         tagged = pref.join(first_bad, "item_id", "left").withColumn("_at", _pos())
         no_bad = F.col("_fb").isNull()
-        accepted_parts.append(
-            tagged.filter(no_bad | (F.col("_at") < F.col("_fb.pos"))).select("item_id", "request_id").checkpoint(eager=True)
-        )
+        accepted_parts.append(tagged.filter(no_bad | (F.col("_at") < F.col("_fb.pos"))).select("item_id", "request_id"))
         # items without a blocking request are finished: stock = s - total accepted
         finished = tagged.filter(no_bad).groupBy("item_id").agg((F.first("_s") - F.max("_p")).alias("stock"))
-        done_stock.append(finished.checkpoint(eager=True))
+        done_stock.append(finished)
         nxt_state = first_bad.join(state, "item_id").select(
             "item_id", (F.col("_s") - (F.col("_fb._p") - F.col("_fb.quantity"))).alias("_s")
         )
@@ -398,7 +398,7 @@ def _rounds_items(cand: DataFrame) -> tuple[DataFrame, DataFrame]:
         idle = state.join(pref.select("item_id").distinct(), "item_id", "left_anti").select(
             "item_id", F.col("_s").alias("stock")
         )
-        done_stock.append(idle.checkpoint(eager=True))
+        done_stock.append(idle)
         state = nxt_state.checkpoint(eager=True)
         pending = remaining.checkpoint(eager=True)
         if state.isEmpty():

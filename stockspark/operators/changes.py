@@ -55,6 +55,22 @@ def _first_per_key(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def _name_taken_by_other(req: DataFrame, table: DataFrame, key_col: str) -> DataFrame:
+    """Requests whose ``key_col`` equals the normalised name of a row with another id.
+
+    The table side is first reduced to one row per name (count, min id), so
+    a popular name never pairs every request with every row that has it.
+    """
+    names = table.groupBy(S.norm_name("name").alias(key_col)).agg(
+        F.count(F.lit(1)).alias("_cnt"), F.min("id").alias("_min_id")
+    )
+    return (
+        req.join(names, key_col)
+        .filter((F.col("_cnt") > 1) | (F.col("_min_id") != F.col("id")))
+        .select("seq")
+    )
+
+
 # --------------------------------------------------------------- categories
 def category_insert(categories: DataFrame, requests: DataFrame) -> Result:
     """Requests (seq, name, description)."""
@@ -111,8 +127,7 @@ def category_update(categories: DataFrame, requests: DataFrame) -> Result:
     ids = categories.select("id")
     unknown = req.join(ids, "id", "left_anti")
     known = req.join(ids, "id", "left_semi")
-    others = categories.select(F.col("id").alias("_other"), S.norm_name("name").alias("_key"))
-    clash = known.join(others, "_key").filter(F.col("_other") != F.col("id")).select("seq").distinct()
+    clash = _name_taken_by_other(known, categories, "_key")
     dup = known.join(clash, "seq", "left_semi")
     good = known.join(clash, "seq", "left_anti")
     last = good.groupBy("id").agg(F.max("seq").alias("seq"))
@@ -209,15 +224,7 @@ def inventory_update(inventory: DataFrame, requests: DataFrame, job_time: str) -
     ids = inventory.select("id")
     unknown = req.join(ids, "id", "left_anti")
     known = req.join(ids, "id", "left_semi").withColumn("new_name", F.when(sets("name"), F.trim("new_name")))
-    others = inventory.select(F.col("id").alias("_other"), S.norm_name("name").alias("_key"))
-    clash = (
-        known.filter(sets("name"))
-        .withColumn("_key", F.lower("new_name"))
-        .join(others, "_key")
-        .filter(F.col("_other") != F.col("id"))
-        .select("seq")
-        .distinct()
-    )
+    clash = _name_taken_by_other(known.filter(sets("name")).withColumn("_key", F.lower("new_name")), inventory, "_key")
     dup = known.join(clash, "seq", "left_semi")
     good = known.join(clash, "seq", "left_anti")
     last = good.groupBy("id").agg(F.max("seq").alias("seq"))
@@ -732,7 +739,9 @@ def remap_categories(inventory: DataFrame, categories: DataFrame, mapping: DataF
     """
     cats = categories.select(F.col("id").alias("_cid"), F.col("name").alias("_cname"))
     current = inventory.join(cats, inventory.category_id == cats._cid, "left")
-    m = mapping.join(cats, mapping.category_name == cats._cname).select(
+    # one id per category name (names are not unique in every store)
+    by_name = cats.groupBy("_cname").agg(F.max("_cid").alias("_cid"))
+    m = mapping.join(by_name, mapping.category_name == by_name._cname).select(
         F.col("item_name").alias("_mname"), F.col("_cid").alias("_mapped")
     )
     m = m.groupBy("_mname").agg(F.max("_mapped").alias("_mapped"))

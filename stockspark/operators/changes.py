@@ -317,9 +317,10 @@ def stock_adjust(inventory: DataFrame, ops: DataFrame, job_time: str | None = No
 
 
 # ------------------------------------------------------------- sales
-# Requests per item above which the per-item fold (one array per item) is
-# replaced by the round-based path that never gathers an item's requests.
-HOT_ITEM_REQUESTS = 100_000
+# Candidate requests per item above which the per-item fold (one sorted
+# array per item, whose state array is rewritten at every step) is replaced
+# by the round-based path that never gathers an item's requests.
+HOT_ITEM_REQUESTS = 5_000
 # Largest id list broadcast to every task (8 bytes each: 8 MB).
 MAX_BROADCAST_IDS = 1_000_000
 

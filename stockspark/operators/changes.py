@@ -331,12 +331,12 @@ def _pos(prefix: str = "") -> Column:
     return F.struct(F.col(prefix + "requested_at").alias("t"), F.col(prefix + "request_id").alias("r"))
 
 
-def _fold_items(cand: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _fold_items(cand: DataFrame) -> DataFrame:
     """Per-item ordered fold for items with a bounded number of candidates.
 
-    The fold state keeps the stock and the accepted ids only (at most
-    starting-stock many), so arrays stay small.  Returns (accepted ids,
-    final stock per item).
+    Returns one row per item: the sorted requests ``_r`` and the final state
+    ``_s`` (stock, accepted ids).  The state keeps only the accepted ids (at
+    most starting-stock many), so arrays stay small.
     """
     state0 = F.struct(
         F.col("_q0").cast("bigint").alias("stock"),
@@ -350,18 +350,15 @@ def _fold_items(cand: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.when(fits, F.concat(acc["ids"], F.array(r["request_id"]))).otherwise(acc["ids"]).alias("ids"),
         )
 
-    folded = (
+    return (
         cand.groupBy("item_id", "_q0")
         .agg(
             F.array_sort(
                 F.collect_list(F.struct(*_ORDER, F.col("quantity").cast("bigint").alias("quantity")))
             ).alias("_r")
         )
-        .select("item_id", F.aggregate("_r", state0, step).alias("_s"))
+        .select("item_id", "_r", F.aggregate("_r", state0, step).alias("_s"))
     )
-    accepted = folded.select("item_id", F.explode("_s.ids").alias("request_id"))
-    stock = folded.select("item_id", F.col("_s.stock").alias("stock"))
-    return accepted, stock
 
 
 def _rounds_items(cand: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -438,14 +435,17 @@ def sale_post(inventory: DataFrame, requests: DataFrame, hot_threshold: int = HO
     item's whole request list.
     """
     stock = inventory.select(F.col("id").alias("item_id"), F.col("quantity").alias("_q0"))
-    checked = Q.check(requests, Q.SALES_RULES)
-    invalid = checked.filter(F.size("failed_rules") > 0)
-    req = checked.filter(F.size("failed_rules") == 0).drop("failed_rules").withColumn("seq", F.col("request_id"))
-    unknown = req.join(stock, "item_id", "left_anti")
-    known = req.join(stock, "item_id")
-    possible = F.coalesce(F.col("quantity") <= F.col("_q0"), F.lit(False))
-    never = known.filter(~possible)
-    cand = known.filter(possible)
+    # One left join decides every request that needs no ordering: invalid
+    # (F2 rules), unknown item, or more than the starting stock (stock only
+    # falls, so such a request can never pass).
+    tagged = Q.check(requests, Q.SALES_RULES).join(stock, "item_id", "left").withColumn(
+        "_st0",
+        F.when(F.size("failed_rules") > 0, F.concat(F.lit("invalid:"), F.array_join("failed_rules", ",")))
+        .when(F.col("_q0").isNull(), F.lit("item_not_found"))
+        .when(~F.coalesce(F.col("quantity") <= F.col("_q0"), F.lit(False)), F.lit("insufficient_stock")),
+    )
+    decided = tagged.filter(F.col("_st0").isNotNull()).select("request_id", "item_id", F.col("_st0").alias("status"))
+    cand = tagged.filter(F.col("_st0").isNull()).drop("_st0", "failed_rules")
 
     sizes = cand.groupBy("item_id").agg(F.count(F.lit(1)).alias("_n"))
     hot_ids = sizes.filter(F.col("_n") > hot_threshold).select("item_id")
@@ -458,29 +458,38 @@ def sale_post(inventory: DataFrame, requests: DataFrame, hot_threshold: int = HO
             hot_ids = F.broadcast(hot_ids)
         normal = cand.join(hot_ids, "item_id", "left_anti")
         hot = cand.join(hot_ids, "item_id", "left_semi")
-        acc_n, stock_n = _fold_items(normal)
-        acc_h, stock_h = _rounds_items(hot)
-        accepted_ids = acc_n.unionByName(acc_h)
-        new_stock = stock_n.unionByName(stock_h)
     else:
-        accepted_ids, new_stock = _fold_items(cand)
-    new_stock = new_stock.select(F.col("item_id").alias("_iid"), F.col("stock").cast("int").alias("_new_q"))
+        normal = cand
 
-    outcomes = _union_all([
-        invalid.select("request_id", "item_id", F.concat(F.lit("invalid:"), F.array_join("failed_rules", ",")).alias("status")),
-        unknown.select("request_id", "item_id", F.lit("item_not_found").alias("status")),
-        never.select("request_id", "item_id", F.lit("insufficient_stock").alias("status")),
-        cand.join(accepted_ids, ["item_id", "request_id"], "left_anti").select(
-            "request_id", "item_id", F.lit("insufficient_stock").alias("status")
-        ),
-        accepted_ids.select("request_id", "item_id", F.lit("accepted").alias("status")),
-    ])
+    folded = _fold_items(normal)
+    # Candidate outcomes straight from each item's sorted requests.
+    cand_out = folded.select("item_id", F.explode("_r").alias("r"), F.col("_s.ids").alias("ids")).select(
+        F.col("r.request_id").alias("request_id"),
+        "item_id",
+        F.when(F.array_contains("ids", F.col("r.request_id")), F.lit("accepted"))
+        .otherwise(F.lit("insufficient_stock"))
+        .alias("status"),
+    )
+    accepted_ids = folded.select("item_id", F.explode("_s.ids").alias("request_id"))
+    new_stock = folded.select("item_id", F.col("_s.stock").alias("stock"))
+    if hot_count:
+        acc_h, stock_h = _rounds_items(hot)
+        hot_out = hot.join(acc_h.withColumn("_acc", F.lit(True)), ["item_id", "request_id"], "left").select(
+            "request_id",
+            "item_id",
+            F.when(F.col("_acc"), F.lit("accepted")).otherwise(F.lit("insufficient_stock")).alias("status"),
+        )
+        cand_out = cand_out.unionByName(hot_out)
+        accepted_ids = accepted_ids.unionByName(acc_h)
+        new_stock = new_stock.unionByName(stock_h)
+    new_stock = new_stock.select(F.col("item_id").alias("_iid"), F.col("stock").cast("int").alias("_new_q"))
+    outcomes = decided.unionByName(cand_out)
     snapshot = (
         inventory.join(new_stock, inventory.id == new_stock._iid, "left")
         .withColumn("quantity", F.coalesce("_new_q", "quantity"))
         .select(inventory.columns)
     )
-    accepted = req.join(accepted_ids, ["item_id", "request_id"], "left_semi").select(
+    accepted = requests.join(accepted_ids, ["item_id", "request_id"], "left_semi").select(
         F.col("request_id").alias("id"),
         "item_id",
         "quantity",

@@ -12,6 +12,7 @@ columns each query needs and pushes filters into the Parquet scan.
 from __future__ import annotations
 
 import hashlib
+import threading
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +47,7 @@ def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 # (application id, data dir, table) already written in this application.
 _MATERIALIZED: dict[tuple[str, str, str], DataFrame] = {}
+_LOCK = threading.RLock()
 
 # Layout of the written tables: range-sorted by the column most filters use,
 # so Parquet row-group min/max statistics can skip data.
@@ -79,13 +81,19 @@ class Tables:
         """
         if not self.materialize:
             return build()
-        from ..session import checkpoint_dir
-
         app = self.spark.sparkContext.applicationId
         key = (app, self.sf_dir, name)
-        cached = _MATERIALIZED.get(key)
-        if cached is not None:
+        with _LOCK:  # one writer per table even if queries run in threads
+            cached = _MATERIALIZED.get(key)
+            if cached is None:
+                cached = self._write(key, name, schema, build)
+                _MATERIALIZED[key] = cached
             return cached
+
+    def _write(self, key, name: str, schema: T.StructType | None, build) -> DataFrame:
+        from ..session import checkpoint_dir
+
+        app = key[0]
         tag = hashlib.sha1(f"{app}|{self.sf_dir}".encode()).hexdigest()[:16]
         path = f"{checkpoint_dir(self.spark).rstrip('/')}/stockspark/tables/{tag}/{name}"
         df = build()
@@ -95,9 +103,7 @@ class Tables:
             n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
             out = df.repartitionByRange(n, sort_key).sortWithinPartitions(sort_key)
         out.write.mode("overwrite").parquet(path)
-        stored = self.spark.read.schema(schema or df.schema).parquet(path)
-        _MATERIALIZED[key] = stored
-        return stored
+        return self.spark.read.schema(schema or df.schema).parquet(path)
 
     # -- categories -------------------------------------------------------
     @cached_property

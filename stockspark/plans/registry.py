@@ -227,7 +227,11 @@ def _waves(df, ts_col: str):
 
 register("table_row_counts")(lambda t: A.table_row_counts(_backup_tables(t)))
 register("table_preview")(lambda t: A.table_preview(_backup_tables(t), "sales"))
-register("backup_export")(lambda t: A.backup_records(_backup_tables(t)))
+@register("backup_export")
+def _backup_export(t: Tables):
+    """Write the backup; the manifest counts the rows read back from the written files."""
+    manifest = A.write_backup(_backup_tables(t), scratch(t.spark, "backup"))
+    return manifest.select("table", F.col("rows").cast("bigint").alias("rows"), "version", "source")
 
 
 @register("backup_restore")

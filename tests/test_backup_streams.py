@@ -110,3 +110,12 @@ def test_daily_stream_emits_closed_days(spark):
     all_days = t.sales.select(F.to_date("sale_date")).distinct().count()
     assert 0 < out.count() < all_days  # the still-open last days are not emitted yet
     assert out.groupBy("date").count().filter("count > 1").count() == 0
+
+
+def test_backup_records_cover_every_row(spark):
+    tables, _ = _tables(spark)
+    rec = A.backup_records(tables)
+    counts = {r.table: r["count"] for r in rec.groupBy("table").count().collect()}
+    assert counts == {n: tables[n].count() for n in A.BACKUP_TABLES}
+    one = json.loads(rec.filter("table = 'staff'").first().record)
+    assert set(one) == {f.name for f in tables["staff"].schema.fields}  # NULL fields kept

@@ -52,6 +52,10 @@ _LOCK = threading.RLock()
 # Layout of the written tables: range-sorted by the column most filters use,
 # so Parquet row-group min/max statistics can skip data.
 SORT_KEYS = {"sales": "sale_date", "transactions": "date", "inventory": "id", "stock_ops": "seq"}
+# Largest driver table behind each sorted table: the number of its input
+# splits (about spark.sql.files.maxPartitionBytes each) sizes the output
+# partitions, so a stored partition stays near one input split at any scale.
+SIZE_SOURCE = {"sales": "lineitem", "transactions": "events", "inventory": "part", "stock_ops": "events"}
 
 
 class Tables:
@@ -101,7 +105,8 @@ class Tables:
         sort_key = SORT_KEYS.get(name)
         if sort_key:
             n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            out = df.repartitionByRange(n, sort_key).sortWithinPartitions(sort_key)
+            splits = self.raw(SIZE_SOURCE[name]).rdd.getNumPartitions()  # planning only, no job
+            out = df.repartitionByRange(max(n, splits), sort_key).sortWithinPartitions(sort_key)
         out.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(schema or df.schema).parquet(path)
 

@@ -119,3 +119,23 @@ def test_backup_records_cover_every_row(spark):
     assert counts == {n: tables[n].count() for n in A.BACKUP_TABLES}
     one = json.loads(rec.filter("table = 'staff'").first().record)
     assert set(one) == {f.name for f in tables["staff"].schema.fields}  # NULL fields kept
+
+
+def test_daily_stream_counts_late_rows_within_watermark(spark, frames):
+    from decimal import Decimal
+
+    from .conftest import TS
+
+    root = _scratch(spark, "s2late")
+
+    def batch(rows):
+        frames.sales([
+            {"id": i, "item_id": 1, "quantity": 1, "total_price": Decimal("1.00"), "sale_date": TS(ts)} for i, ts in rows
+        ]).write.mode("append").parquet(f"{root}/sales")
+        ST.start_daily_sales_stream(spark, f"{root}/sales", f"{root}/out", f"{root}/ckpt").awaitTermination()
+
+    batch([(1, "2024-01-01 10:00:00"), (2, "2024-01-03 12:00:00")])  # watermark -> 2024-01-02 12:00
+    batch([(3, "2024-01-02 18:00:00")])  # late but inside the watermark: counted for Jan 2
+    batch([(4, "2024-01-01 23:00:00"), (5, "2024-01-06 00:00:00")])  # Jan 1 already closed: dropped
+    out = {str(r.date): r.sales_count for r in spark.read.parquet(f"{root}/out").collect()}
+    assert out == {"2024-01-01": 1, "2024-01-02": 1, "2024-01-03": 1}

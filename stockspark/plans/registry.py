@@ -172,16 +172,7 @@ register("validate_transactions_counts")(lambda t: Q.rule_counts(t.transactions,
 
 
 def _form_b(budget):
-    y, m = S.parse_month_year(F.col("month_year"))
-    return budget.select(
-        "id",
-        "category",
-        F.col("amount").alias("allocated_amount"),
-        F.col("spent").alias("spent_amount"),
-        m.alias("month"),
-        y.alias("year"),
-        "created_at",
-    )
+    return A.budget_as_form_b(budget)
 
 
 def _form_a(form_b):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
-from ..schemas import BACKUP_TABLES, CATEGORIES, INVENTORY, TABLE_SCHEMAS
+from ..schemas import BACKUP_TABLES, BUDGET_FORM_B, CATEGORIES, INVENTORY, TABLE_SCHEMAS
 from ..plans.ordering import dense_number
 from .fixtures import literal_rows
 
@@ -195,14 +195,44 @@ def conform_to_schema(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, D
     return good, rejected
 
 
-def migration_report(sources: dict[str, DataFrame]) -> DataFrame:
-    """(table, migrated, total) when each source table is conformed to its schema."""
-    return _union_all([
-        _conform_checked(sources[name], TABLE_SCHEMAS[name])
-        .agg(F.count_if(F.size("_bad") == 0).alias("migrated"), F.count(F.lit(1)).alias("total"))
-        .select(F.lit(name).alias("table"), "migrated", "total")
-        for name in BACKUP_TABLES
-    ])
+def budget_as_form_b(budget: DataFrame) -> DataFrame:
+    """Budget rows in the (category, month, year) layout; month text parsed by G1."""
+    y, m = S.parse_month_year(F.col("month_year"))
+    return budget.select(
+        "id",
+        "category",
+        F.col("amount").alias("allocated_amount"),
+        F.col("spent").alias("spent_amount"),
+        m.alias("month"),
+        y.alias("year"),
+        "created_at",
+    )
+
+
+def migration_report(sources: dict[str, DataFrame], targets: dict[str, T.StructType] | None = None) -> DataFrame:
+    """(table, status, migrated, total) when each source table is conformed to its target schema.
+
+    Budget rows use different column names in the target store, so they are
+    first converted to form B (G1) and conformed to BUDGET_FORM_B.  A table
+    without rows is reported 'skipped'.
+    """
+    targets = targets or {**TABLE_SCHEMAS, "budget": BUDGET_FORM_B}
+    parts = []
+    for name in BACKUP_TABLES:
+        src = sources[name]
+        if name == "budget" and targets[name] is BUDGET_FORM_B:
+            src = budget_as_form_b(src)
+        parts.append(
+            _conform_checked(src, targets[name])
+            .agg(F.count_if(F.size("_bad") == 0).alias("migrated"), F.count(F.lit(1)).alias("total"))
+            .select(
+                F.lit(name).alias("table"),
+                F.when(F.col("total") == 0, F.lit("skipped")).otherwise(F.lit("completed")).alias("status"),
+                "migrated",
+                "total",
+            )
+        )
+    return _union_all(parts)
 
 
 def as_text(df: DataFrame) -> DataFrame:

@@ -99,16 +99,32 @@ def daily_sales(sales: DataFrame, watermark: str = "1 day") -> DataFrame:
 
 
 def start_daily_sales_stream(
-    spark: SparkSession, sales_dir: str, output_dir: str, checkpoint: str, watermark: str = "1 day"
+    spark: SparkSession,
+    sales_dir: str,
+    output_dir: str,
+    checkpoint: str,
+    watermark: str = "1 day",
+    state_partitions: int | None = None,
 ) -> StreamingQuery:
-    """Append closed days to Parquet under ``output_dir``."""
+    """Append closed days to Parquet under ``output_dir``.
+
+    The state holds one row per open day, so it needs few partitions; their
+    number is fixed when the query first starts (Spark keeps it in the
+    checkpoint).  Default: the session's default parallelism.
+    """
+    n = state_partitions or spark.sparkContext.defaultParallelism
     sales = spark.readStream.schema(SALES).parquet(sales_dir)
-    return (
-        daily_sales(sales, watermark)
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", output_dir)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    previous = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        return (
+            daily_sales(sales, watermark)
+            .writeStream.outputMode("append")
+            .format("parquet")
+            .option("path", output_dir)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", previous)

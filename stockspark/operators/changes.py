@@ -361,7 +361,7 @@ def _fold_items(cand: DataFrame) -> DataFrame:
     )
 
 
-def _rounds_items(cand: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _rounds_items(cand: DataFrame, hot_threshold: int) -> tuple[DataFrame, DataFrame]:
     """Exact sale posting for hot items without gathering their requests.
 
     Each round, per item with stock s after position p: requests asking more
@@ -369,16 +369,30 @@ def _rounds_items(cand: DataFrame) -> tuple[DataFrame, DataFrame]:
     order, computed by ``running_sum``) accept every request with P <= s up
     to the first request j with P > s, which is rejected; the item continues
     from j with stock s - (P_j - q_j).  Every round decides at least one
-    request per item.  The rows feeding the next round (state, undecided
-    requests) and the running-sum partitions are checkpointed, so each
-    round's results read only checkpointed data.
+    request per item.  An item whose undecided requests drop to
+    ``hot_threshold`` leaves the rounds and finishes in the per-item fold,
+    starting from its current stock.  The rows feeding the next round (state,
+    undecided requests) and the running-sum partitions are checkpointed.
     """
-    spark = cand.sparkSession
     pending = cand.select("item_id", "request_id", "requested_at", "quantity").checkpoint(eager=True)
     state = cand.select("item_id", F.col("_q0").cast("bigint").alias("_s")).distinct().checkpoint(eager=True)
     accepted_parts = []
     done_stock = []
     while True:
+        counts = pending.groupBy("item_id").agg(F.count(F.lit(1)).alias("_n"))
+        st = state.join(counts, "item_id", "left")
+        # nothing left to decide: the item keeps its current stock
+        done_stock.append(st.filter(F.col("_n").isNull()).select("item_id", F.col("_s").alias("stock")))
+        # few undecided requests left: finish in the one-shuffle fold
+        small = st.filter(F.col("_n") <= hot_threshold).select("item_id", F.col("_s").alias("_q0"))
+        folded = _fold_items(pending.join(small, "item_id"))
+        accepted_parts.append(folded.select("item_id", F.explode("_s.ids").alias("request_id")))
+        done_stock.append(folded.select("item_id", F.col("_s.stock").alias("stock")))
+        state = st.filter(F.col("_n") > hot_threshold).select("item_id", "_s").checkpoint(eager=True)
+        if state.isEmpty():
+            break
+        pending = pending.join(state.select("item_id"), "item_id", "left_semi")
+
         j = pending.join(state, "item_id")
         fits = j.filter(F.col("quantity") <= F.col("_s"))
         pref = running_sum(fits, "item_id", _ORDER, "quantity", "_p")
@@ -393,30 +407,26 @@ def _rounds_items(cand: DataFrame) -> tuple[DataFrame, DataFrame]:
         # items without a blocking request are finished: stock = s - total accepted
         finished = tagged.filter(no_bad).groupBy("item_id").agg((F.first("_s") - F.max("_p")).alias("stock"))
         done_stock.append(finished)
+        # items that had no fitting request at all keep their stock
+        idle = state.join(pref.select("item_id").distinct(), "item_id", "left_anti").select(
+            "item_id", F.col("_s").alias("stock")
+        )
+        done_stock.append(idle)
         nxt_state = first_bad.join(state, "item_id").select(
             "item_id", (F.col("_s") - (F.col("_fb._p") - F.col("_fb.quantity"))).alias("_s")
         )
         remaining = tagged.filter(~no_bad & (F.col("_at") > F.col("_fb.pos"))).select(
             "item_id", "request_id", "requested_at", "quantity"
         )
-        # items that had no fitting request at all keep their stock
-        idle = state.join(pref.select("item_id").distinct(), "item_id", "left_anti").select(
-            "item_id", F.col("_s").alias("stock")
-        )
-        done_stock.append(idle)
         state = nxt_state.checkpoint(eager=True)
         pending = remaining.checkpoint(eager=True)
-        if state.isEmpty():
-            break
     accepted = accepted_parts[0]
     for a in accepted_parts[1:]:
         accepted = accepted.unionByName(a)
     stock = done_stock[0]
     for d in done_stock[1:]:
         stock = stock.unionByName(d)
-    stock = stock.groupBy("item_id").agg(F.min("stock").alias("stock"))
-    del spark
-    return accepted, stock
+    return accepted, stock.groupBy("item_id").agg(F.min("stock").alias("stock"))
 
 
 def sale_post(inventory: DataFrame, requests: DataFrame, hot_threshold: int = HOT_ITEM_REQUESTS) -> Result:
@@ -473,7 +483,7 @@ def sale_post(inventory: DataFrame, requests: DataFrame, hot_threshold: int = HO
     accepted_ids = folded.select("item_id", F.explode("_s.ids").alias("request_id"))
     new_stock = folded.select("item_id", F.col("_s.stock").alias("stock"))
     if hot_count:
-        acc_h, stock_h = _rounds_items(hot)
+        acc_h, stock_h = _rounds_items(hot, hot_threshold)
         hot_out = hot.join(acc_h.withColumn("_acc", F.lit(True)), ["item_id", "request_id"], "left").select(
             "request_id",
             "item_id",

@@ -191,3 +191,10 @@ def first_of_equal(*sorted_keys: np.ndarray) -> np.ndarray:
     for k in sorted_keys:
         new[1:] |= k[1:] != k[:-1]
     return np.flatnonzero(new)
+
+
+def is_in(keys: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """Which keys occur in the sorted array ``have``."""
+    if not len(have):
+        return np.zeros(len(keys), dtype=bool)
+    return have[np.minimum(np.searchsorted(have, keys), len(have) - 1)] == keys

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stockspark.llm.near_dedup import near_duplicates
 from stockspark.llm.oracles import ORACLES
 from stockspark.llm.substring_dedup import substring_dedup
 
@@ -20,8 +21,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), window=50, with_text=False).drop("kept")
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, threshold=0.8)
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

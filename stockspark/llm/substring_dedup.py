@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockspark.llm.common import PACKED, U64, Words, buckets_for, column, first_of_equal, int64, mix, pack, prefix_hash, span_hash, text_chunks, unpack
+from stockspark.llm.common import PACKED, U64, Words, buckets_for, column, first_of_equal, int64, is_in, mix, pack, prefix_hash, span_hash, text_chunks, unpack
 
 #: Rounds of recompression.
 ROUNDS = 5
@@ -177,10 +177,10 @@ def substring_dedup(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", t
             bounds = np.searchsorted(starts, words.first)
             for j, i in enumerate(use):
                 have, d = known[int(ids[i])], ids[i]
-                if words.count[j] < window or _in(whole[j : j + 1], have)[0]:
+                if words.count[j] < window or is_in(whole[j : j + 1], have)[0]:
                     continue
                 s = starts[bounds[j] : bounds[j + 1]]
-                s = s[_in(anchor[s] & ~U64(1), have)]
+                s = s[is_in(anchor[s] & ~U64(1), have)]
                 at.append(s)
                 doc.append(np.full(len(s), d))
             if at:
@@ -213,11 +213,11 @@ def substring_dedup(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", t
                 if d in known and len(split) >= window:
                     words = Words([body])
                     prefix = prefix_hash(words.hash)
-                    if _in(whole_name(words, prefix), known[d])[0]:
+                    if is_in(whole_name(words, prefix), known[d])[0]:
                         left_over = []
                     else:
                         at = np.arange(len(split) - window + 1)
-                        hit = at[_in(span_hash(prefix, at, at + window), known[d])]
+                        hit = at[is_in(span_hash(prefix, at, at + window), known[d])]
                         cover = np.zeros(len(split) + 1, dtype=np.int64)
                         np.add.at(cover, hit, 1)
                         np.add.at(cover, hit + window, -1)
@@ -240,10 +240,3 @@ def substring_dedup(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", t
 def _second_hash(words: Words, at: np.ndarray, window: int) -> np.ndarray:
     """32 more bits for a window, from other word hashes than the first 64."""
     return (span_hash(prefix_hash(mix(words.hash + U64(0x5851F42D4C957F2D))), at, at + window) >> U64(32)).astype(np.uint32)
-
-
-def _in(keys: np.ndarray, have: np.ndarray) -> np.ndarray:
-    """Which keys occur in the sorted array ``have``."""
-    if not len(have):
-        return np.zeros(len(keys), dtype=bool)
-    return have[np.minimum(np.searchsorted(have, keys), len(have) - 1)] == keys

@@ -1,11 +1,11 @@
 """Near-duplicate groups by b-bit MinHash.
 
-Each text's set of word shingles gives 72 minima.  Three minima make one of 24 bands: texts
+Each text's set of word shingles gives 384 minima.  The first 72 make 24 bands of three: texts
 with a Jaccard similarity of 0.8 miss each other in all bands with a chance below 4e-8.
-Two low bits of every minimum are packed into 144 bits; inside a band bucket the similarity
+Two low bits of every minimum are packed into 768 bits; inside a band bucket the similarity
 is estimated from equal bits, corrected for bits that agree by chance, and pairs whose
-estimate lies more than 5.5 standard errors below the threshold are left.  What remains is
-confirmed on the full sets.
+estimate lies more than 5 standard errors below the threshold (a chance below 3e-7) are left.
+What remains is confirmed on the full sets.
 
 Texts with equal sets are one class (its smallest doc_id stands for it).  Inside a bucket
 only links that can join different components are looked for: first the links of every
@@ -26,16 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockspark.llm.common import PACKED, U64, Words, buckets_for, column, first_of_equal, int64, is_in, mix, pack, prefix_hash, span_hash, stored, text_chunks, unpack
+from stockspark.llm.common import U64, Words, buckets_for, column, first_of_equal, is_in, mix, prefix_hash, span_hash, stored, text_chunks
 from stockspark.llm.components import connected_components
 
 BANDS, ROWS, BITS = 24, 3, 2
-HASHES = BANDS * ROWS
+#: Minima per text: the first BANDS * ROWS make the bands, all of them the estimate.
+HASHES = 384
 #: Standard errors that an estimate may lie below the threshold.
-SLACK = 5.5
+SLACK = 5
 #: Members of a hot centre that one verification bucket takes.
 FAN = 256
-NO_ID = np.iinfo(np.int64).min
 _MULTIPLY = np.random.default_rng(97).integers(1, 1 << 63, HASHES, dtype=np.uint64) * U64(2) + U64(1)
 _ODD = U64(0x5555555555555555)
 
@@ -113,50 +113,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, doc
             total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix(shingle))))
             print_ = mix(total[bounds[1:]] - total[bounds[:-1]])
             size = np.diff(bounds)
-            yield pa.record_batch([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(print_.view(np.int64), pa.int64(), mask=size == 0)], names=["doc_id", "n_shingles", "print"])
-
-    def bands(batches):
-        for part, texts in text_chunks(batches):
-            ids = int64(part, "doc_id")
-            shingle, bounds = shingle_sets(texts, words)
-            use = np.flatnonzero((np.diff(bounds) > 0) & (ids != NO_ID))
-            if not len(use):
-                continue
-            minima = signatures(*_part(shingle, bounds, use))
-            total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix(shingle))))
-            whole = mix(total[bounds[1:]] - total[bounds[:-1]])[use]
-            bits = packed_bits(minima)
-            key = np.concatenate([mix(mix(minima[:, b * ROWS : (b + 1) * ROWS] @ np.array([3, 5, 7], dtype=np.uint64)) + U64(b)) for b in range(BANDS)])
-            yield pack((key % U64(buckets)).astype(np.int32), [key, np.tile(whole, BANDS), np.tile(ids[use], BANDS), *(np.tile(bits[:, i], BANDS) for i in range(bits.shape[1]))])
-
-    def members(table: pa.Table) -> pa.Table:
-        """Members of the band buckets that hold several classes, one row per class."""
-        key, whole, doc, *bits = unpack(table.column("data").to_pylist(), ["u8", "u8", "i8", "u8", "u8", "u8"])
-        order = np.lexsort((doc, whole, key))
-        order = order[first_of_equal(key[order], whole[order])]
-        key, doc = key[order], doc[order]
-        start = first_of_equal(key)
-        size = np.diff(np.append(start, len(key)))
-        keep = np.repeat(size > 1, size)
-        order = order[keep]
-        return pa.table([pa.array(key[keep].view(np.int64)), pa.array(doc[keep]), *(pa.array(b[order].view(np.int64)) for b in bits)], names=["key", "doc", "b0", "b1", "b2"])
+            use = np.flatnonzero(size)
+            keys, bits = [None] * len(size), [None] * len(size)
+            if len(use):
+                minima = signatures(shingle, np.append(bounds[:-1][use], len(shingle)))
+                band = np.stack([mix(mix(minima[:, b * ROWS : (b + 1) * ROWS] @ np.array([3, 5, 7], dtype=np.uint64)) + U64(b)) for b in range(BANDS)], axis=1)
+                for i, k, x in zip(use.tolist(), band.view(np.int64), packed_bits(minima)):
+                    keys[i], bits[i] = k, x.tobytes()
+            yield pa.record_batch([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(print_.view(np.int64), pa.int64(), mask=size == 0), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "print", "keys", "bits"])
 
     def _bits(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        get = lambda n: table.column(n).to_numpy()
-        order = np.lexsort((get("doc"), get("key")))
-        return get("key")[order], get("doc")[order], np.stack([get(f"b{i}").view(np.uint64)[order] for i in range(3)], axis=1), order
+        key, doc = table.column("key").to_numpy(), table.column("doc").to_numpy()
+        order = np.lexsort((doc, key))
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype=np.uint64).reshape(len(key), -1)
+        return key[order], doc[order], bits[order], order
 
     def stars(table: pa.Table) -> pa.Table:
         key, doc, bits, _ = _bits(table)
         start = first_of_equal(key)
-        one, two = [], []
+        one, two, like = [], [], []
         for s, e in zip(start.tolist(), [*start[1:].tolist(), len(key)]):
             c = s + _typical(bits[s:e]) if e - s > 2 else s
-            hit = s + np.flatnonzero(estimate(bits[s:e], bits[c]) >= floor)
-            hit = hit[hit != c]
+            value = estimate(bits[s:e], bits[c])
+            hit = np.flatnonzero(value >= floor)
+            hit = hit[hit + s != c]
             one.append(np.full(len(hit), doc[c]))
-            two.append(doc[hit])
-        return _pairs(one, two)
+            two.append(doc[s + hit])
+            like.append(value[hit])
+        out = _pairs(one, two)
+        return out.append_column("like", pa.array(np.concatenate(like) if like else np.zeros(0), pa.float64()))
 
     def across(table: pa.Table) -> pa.Table:
         """All pairs of different components whose estimate may reach the threshold; of the largest component against the others too."""
@@ -217,33 +202,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, doc
         full = wanted.join(rows.withColumnRenamed("doc_id", "doc"), "doc")
         return stored(full.groupBy("bucket").applyInArrow(verify, "a long, b long"), "confirmed")
 
-    known = stored(rows.mapInArrow(sets, "doc_id long, n_shingles long, print long"), "sets")
-    found = stored(rows.mapInArrow(bands, PACKED).groupBy("bucket").applyInArrow(members, "key long, doc long, b0 long, b1 long, b2 long"), "members")
+    known = stored(rows.mapInArrow(sets, "doc_id long, n_shingles long, print long, keys array<long>, bits binary"), "sets")
+    classes = known.where("print is not null").groupBy("print", "n_shingles").agg(F.min("doc_id").alias("class_id"))
+    heads = known.join(classes, ["print", "n_shingles"]).where("doc_id = class_id").select(F.col("doc_id").alias("doc"), "keys", "bits").dropDuplicates(["doc"])
+    band = heads.select("doc", F.explode("keys").alias("key"))
+    several = band.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    found = stored(band.join(several, "key").join(heads.select("doc", "bits"), "doc").select("key", "doc", "bits"), "members")
     by_bucket = lambda df: df.withColumn("bucket", F.pmod("key", F.lit(buckets))).groupBy("bucket")
-    links = confirmed(by_bucket(found).applyInArrow(stars, "a long, b long"))
+    star = by_bucket(found).applyInArrow(stars, "a long, b long, like double").distinct()
+    # a text meets at most BANDS typical members; its three likeliest come first, the others only if components stay apart
+    star = star.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("like", "a")), asc=False), 1, 3).alias("best"))
+    links = confirmed(star.select(F.explode("best.a").alias("a"), "b"))
     part = connected_components(links)
-    labelled = found.join(part, found["doc"] == part["node"], "left").select("key", "doc", "b0", "b1", "b2", F.coalesce("component", "doc").alias("component"))
+    labelled = found.join(part, found["doc"] == part["node"], "left").select("key", "doc", "bits", F.coalesce("component", "doc").alias("component"))
     labelled = stored(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     rest = confirmed(by_bucket(labelled.join(mixed, "key", "left_semi")).applyInArrow(across, "a long, b long"))
     links = links.unionByName(rest).distinct()
     part = connected_components(links)
     ends = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    classes = known.where("print is not null").groupBy("print", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     out = known.join(classes, ["print", "n_shingles"], "left").join(part.withColumnRenamed("node", "class_id"), "class_id", "left").join(ends, "class_id", "left")
     own = F.coalesce("component", "class_id", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _part(shingle: np.ndarray, bounds: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sets of some texts, put together."""
-    keep = np.zeros(len(bounds) - 1, dtype=bool)
-    keep[use] = True
-    mask = np.repeat(keep, np.diff(bounds))
-    size = np.diff(bounds)[use]
-    return shingle[mask], np.concatenate(([0], np.cumsum(size)))
-
-
 def _pairs(one: list[np.ndarray], two: list[np.ndarray]) -> pa.Table:
     a, b = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, dtype=np.int64) for x in (one, two))
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])

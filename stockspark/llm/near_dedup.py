@@ -143,21 +143,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, doc
         out = _pairs(one, two)
         return out.append_column("like", pa.array(np.concatenate(like) if like else np.zeros(0), pa.float64()))
 
-    def across(table: pa.Table) -> pa.Table:
-        """All pairs of different components whose estimate may reach the threshold; of the largest component against the others too."""
+    def across(likeliest: int | None):
+        return lambda table: _across(table, likeliest)
+
+    def _across(table: pa.Table, likeliest: int | None) -> pa.Table:
+        """Pairs of different components whose estimate may reach the threshold: all, or the likeliest of every text outside the largest component."""
         key, doc, bits, order = _bits(table)
         component = table.column("component").to_numpy()[order]
         start = first_of_equal(key)
         one, two = [], []
         for s, e in zip(start.tolist(), [*start[1:].tolist(), len(key)]):
             names, inverse, count = np.unique(component[s:e], return_inverse=True, return_counts=True)
-            small = s + np.flatnonzero(inverse != count.argmax())
-            for i in small.tolist():
+            largest = count.argmax()
+            for i in (s + np.flatnonzero(inverse != largest)).tolist():
                 other = component[s:e] != component[i]
-                # between two of the smaller components a pair is taken once
-                other &= (inverse == count.argmax()) | (doc[s:e] > doc[i])
+                if likeliest is None:  # between two of the smaller components a pair is taken once
+                    other &= (inverse == largest) | (doc[s:e] > doc[i])
                 at = s + np.flatnonzero(other)
-                at = at[estimate(bits[at], bits[i]) >= floor]
+                value = estimate(bits[at], bits[i])
+                at, value = at[value >= floor], value[value >= floor]
+                if likeliest is not None and len(at) > likeliest:
+                    at = at[np.argpartition(-value, likeliest)[:likeliest]]
                 one.append(np.full(len(at), doc[i]))
                 two.append(doc[at])
         return _pairs(one, two)
@@ -214,12 +220,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, doc
     star = star.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("like", "a")), asc=False), 1, 3).alias("best"))
     links = confirmed(star.select(F.explode("best.a").alias("a"), "b"))
     part = connected_components(links)
-    labelled = found.join(part, found["doc"] == part["node"], "left").select("key", "doc", "bits", F.coalesce("component", "doc").alias("component"))
-    labelled = stored(labelled, "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = confirmed(by_bucket(labelled.join(mixed, "key", "left_semi")).applyInArrow(across, "a long, b long"))
-    links = links.unionByName(rest).distinct()
-    part = connected_components(links)
+    # the likeliest pairs join most of what belongs together; then every pair that is still apart
+    for likeliest in (2, None):
+        labelled = found.join(part, found["doc"] == part["node"], "left").select("key", "doc", "bits", F.coalesce("component", "doc").alias("component"))
+        labelled = stored(labelled, "labelled")
+        mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        pairs = by_bucket(labelled.join(mixed, "key", "left_semi")).applyInArrow(across(likeliest), "a long, b long")
+        links = stored(links.unionByName(confirmed(pairs)).distinct(), "links")
+        part = connected_components(links)
     ends = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
     out = known.join(classes, ["print", "n_shingles"], "left").join(part.withColumnRenamed("node", "class_id"), "class_id", "left").join(ends, "class_id", "left")
     own = F.coalesce("component", "class_id", "doc_id")

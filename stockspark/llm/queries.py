@@ -5,10 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stockspark.llm.mixing import mix_sources
 from stockspark.llm.near_dedup import near_duplicates
 from stockspark.llm.oracles import ORACLES
 from stockspark.llm.substring_dedup import substring_dedup
+from stockspark.llm.token_counts import token_counts
+from stockspark.llm.token_files import token_digest
+from stockspark.llm.topk_search import top_k
+
+#: Vocabulary files; their places are parameters of the operators.
+WORD_VOCABULARY, BYTE_VOCABULARY, PIECE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,12 +29,38 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), window=50, with_text=False).drop("kept")
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY), limit=2048)
+
+
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY), end_id=0)
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, threshold=0.8)
 
 
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_token_counts": op2_token_counts,
+    "op5_exact_topk": op5_exact_topk,
+    "op6_token_files": op6_token_files,
+    "op7_mix_sources": op7_mix_sources,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 

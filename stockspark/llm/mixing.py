@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from stockspark.llm.common import WORD_SPLIT, column, stored
 
 #: Documents of one flight block.
-BLOCK = 20_000
+BLOCK = 2_000
 #: Documents that the landing may turn to make up what it missed.
 LANDING_TURNS = 256
 _EPS = 1e-12

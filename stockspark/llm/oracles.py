@@ -41,7 +41,26 @@ FROM s QUALIFY row_number() OVER w <= 5
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
 """
 
+DECONTAMINATION = r"""
+WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[^ 	-]+') AS w FROM benchmark WHERE text IS NOT NULL),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[^ 	-]+') AS w FROM documents WHERE text IS NOT NULL),
+si AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[j:j + n - 1], ' ') AS s
+  FROM (SELECT item_id, w, least(5, len(w)) AS n, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS j FROM i WHERE len(w) > 0)
+),
+sd AS (
+  SELECT DISTINCT doc_id, n, array_to_string(w[j:j + n - 1], ' ') AS s
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS j FROM d JOIN (SELECT DISTINCT n FROM si) ON len(w) >= n)
+),
+t AS (SELECT item_id, count(*) AS n_item FROM si GROUP BY item_id),
+c AS (SELECT doc_id, item_id, count(*) AS n_shared FROM si JOIN sd USING (n, s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, CAST(n_shared AS BIGINT) AS n_shared, CAST(n_item AS BIGINT) AS n_item,
+       CAST(n_shared AS DOUBLE) / n_item AS containment
+FROM c JOIN t USING (item_id) WHERE 10 * n_shared >= 8 * n_item
+"""
+
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
+    "op3_decontamination": DECONTAMINATION,
     "op5_exact_topk": EXACT_TOPK,
 }

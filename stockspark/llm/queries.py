@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stockspark.llm.decontamination import contained_items
+from stockspark.llm.language_id import identify_languages
+from stockspark.llm.lm_scoring import lm_scores
 from stockspark.llm.mixing import mix_sources
 from stockspark.llm.near_dedup import near_duplicates
 from stockspark.llm.oracles import ORACLES
@@ -14,6 +17,7 @@ from stockspark.llm.substring_dedup import substring_dedup
 from stockspark.llm.token_counts import token_counts
 from stockspark.llm.token_files import token_digest
 from stockspark.llm.topk_search import top_k
+from stockspark.llm.warc import warc_digest
 
 #: Vocabulary files; their places are parameters of the operators.
 WORD_VOCABULARY, BYTE_VOCABULARY, PIECE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -39,6 +43,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY), limit=2048)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), words=5, threshold=0.8)
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_digest(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
@@ -55,13 +67,32 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, threshold=0.8)
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), modulus=10)
+
+
+def held_out(docs: DataFrame):
+    """The fold that language identification does not learn from."""
+    return F.crc32(docs["doc_id"].cast("string").cast("binary")) % 4 == 2
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify_languages(docs, vocabulary(PIECE_VOCABULARY), ~held_out(docs))
+    return found.select("doc_id", F.coalesce(held_out(found), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
+    "op3_decontamination": op3_decontamination,
+    "op4_warc": op4_warc,
     "op5_exact_topk": op5_exact_topk,
     "op6_token_files": op6_token_files,
     "op7_mix_sources": op7_mix_sources,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_lm_scoring": op9_lm_scoring,
+    "op10_language_id": op10_language_id,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

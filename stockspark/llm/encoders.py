@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces that one worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 _UNSAFE = re.compile(r" (?=\s|$)")
 _PLAIN = re.compile(r"[\x09-\x0d\x20-\x7e¡-ɏ‐-‧]*")
 
@@ -40,7 +41,7 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.special = specials(self.tokenizer)
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32)
@@ -58,7 +59,7 @@ class Encoder:
             return self.whole(text)
         self.learn(pieces)
         known = self.known
-        return np.concatenate([known[p] for p in pieces])
+        return np.frombuffer(b"".join([known[p] for p in pieces]), dtype=np.int32)
 
     def learn(self, pieces: list[str]) -> None:
         known = self.known
@@ -69,4 +70,10 @@ class Encoder:
             known.clear()
             new = list(dict.fromkeys(pieces))
         for piece, code in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[piece] = np.asarray(code.ids, dtype=np.int32)
+            known[piece] = np.asarray(code.ids, dtype=np.int32).tobytes()
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The worker's encoder: what it remembers serves all tasks of the worker."""
+    return Encoder(path)

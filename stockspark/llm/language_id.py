@@ -14,7 +14,9 @@ scored each; an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,17 @@ _BASE, _UNKNOWN = U64(0x9E3779B97F4A7C15), 1e-7
 _SCALE = 100.0
 
 
+@lru_cache(maxsize=1)
+def _pieces(path: str) -> Pieces:
+    return Pieces(path)
+
+
+@lru_cache(maxsize=1)
+def _memory(model: str, languages: int) -> dict:
+    """What a worker remembers of one model: the place of each word and its values."""
+    return {"place": {}, "logs": np.zeros((0, languages))}
+
+
 class Pieces:
     """The vocabulary as hashes of pieces; pieces for bytes and controls are left out."""
 
@@ -156,7 +169,7 @@ def fit(labelled: DataFrame, path: str, fit_docs: int = FIT_DOCS, rounds: int =
         shared = labelled.sparkSession.sparkContext.broadcast(prob)
 
         def step(batches, shared=shared):
-            lattice, uses = Pieces(path), None
+            lattice, uses = _pieces(path), None
             for batch in batches:
                 words = batch.column(1).to_pylist()
                 n = np.zeros((len(words), len(langs)))
@@ -182,14 +195,14 @@ def identify_languages(docs: DataFrame, path: str, trained, doc_id: str = "doc_i
     out = rows.select(*(column(rows, c) for c in out_names)).withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
     labelled = docs.where(F.coalesce(trained, F.lit(False))).select(column(docs, doc_id).alias("doc_id"), column(docs, text).alias("text"), column(docs, lang).cast("string").alias("lang")).where("lang is not null")
     langs, prior, prob = fit(labelled, path, **options)
-    shared = docs.sparkSession.sparkContext.broadcast(prob)
+    shared, model = docs.sparkSession.sparkContext.broadcast(prob), uuid.uuid4().hex
 
     def predict(batches):
-        pieces = Pieces(path) if langs else None
-        place: dict[str, int] = {}
-        logs = np.zeros((0, len(langs)))
+        pieces = _pieces(path) if langs else None
+        memory = _memory(model, len(langs))
         for part, texts in text_chunks(batches, text):
             found = [words_of(t.decode()) if langs else [] for t in texts]
+            place, logs = memory["place"], memory["logs"]
             new = [w for w in dict.fromkeys(w for ws in found for w in ws) if w not in place]
             if new and len(place) + len(new) > REMEMBERED:
                 place.clear()
@@ -197,7 +210,7 @@ def identify_languages(docs: DataFrame, path: str, trained, doc_id: str = "doc_i
                 new = list(dict.fromkeys(w for ws in found for w in ws))
             if new:
                 place.update(zip(new, range(len(logs), len(logs) + len(new))))
-                logs = np.concatenate((logs, word_logs(pieces, new, shared.value)))
+                logs = memory["logs"] = np.concatenate((logs, word_logs(pieces, new, shared.value)))
             names, scores = [], []
             for ws in found:
                 if not ws:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,7 +41,7 @@ def prove_whole_tokens(path: str) -> set[str]:
 class Counter:
     """count(text): tokens as the library counts them, without added special tokens."""
 
-    def __init__(self, path: str, proven: set[str]):
+    def __init__(self, path: str, proven: frozenset[str]):
         self.tokenizer = load(path)
         self.special = specials(self.tokenizer)
         self.proven = proven
@@ -72,15 +73,21 @@ class Counter:
             self.merged[word] = n
 
 
+@lru_cache(maxsize=1)
+def _counter(path: str, proven: frozenset[str]) -> Counter:
+    """The worker's counter: what it remembers serves all tasks of the worker."""
+    return Counter(path, proven)
+
+
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
     rows = docs.select(column(docs, doc_id).alias("doc_id"), column(docs, text).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     # bounded by the vocabulary
-    proven = docs.sparkSession.sparkContext.broadcast(prove_whole_tokens(path))
+    proven = docs.sparkSession.sparkContext.broadcast(frozenset(prove_whole_tokens(path)))
 
     def count(batches):
-        counter = Counter(path, proven.value)
+        counter = _counter(path, proven.value)
         for part, texts in text_chunks(batches):
             tokens = [counter.count(t.decode()) for t in texts]
             yield pa.record_batch([part.column("doc_id"), pa.array(list(map(len, texts)), pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])

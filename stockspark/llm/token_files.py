@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stockspark.llm.common import buckets_for, column, text_chunks, work_dir
-from stockspark.llm.encoders import Encoder
+from stockspark.llm.encoders import encoder as shared_encoder
 
 #: Bytes of a row group and of a page.
 ROW_GROUP_BYTES, PAGE_BYTES = 32 << 20, 256 << 10
@@ -35,7 +35,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, d
     def encode(batches):
         from pyspark import TaskContext
 
-        encoder, offset, part_no = Encoder(vocabulary), 0, TaskContext.get().partitionId()
+        encoder, offset, part_no = shared_encoder(vocabulary), 0, TaskContext.get().partitionId()
         for part, texts in text_chunks(batches):
             ids = [np.append(encoder.ids(t.decode()), np.int32(end_id)) for t in texts]
             size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from stockspark.llm.common import U64, column, mix, stored, text_chunks
 
 #: Labelled texts that the fit uses, and its rounds.
-FIT_DOCS, ROUNDS = 20_000, 4
+FIT_DOCS, ROUNDS = 4_000, 2
 #: Words that one worker remembers, and the letters after which a long word is cut.
 REMEMBERED, LONGEST = 300_000, 100
 _WORD = re.compile(r"[^\W\d_]+")
@@ -69,7 +69,7 @@ class Pieces:
         return int(h)
 
     def lattice(self, letters: np.ndarray):
-        """(start, end, piece per word or -1) for every span of the words, which have one length; spans by end."""
+        """(start, end, words, their piece) for every span that is a piece of some word, by end; a letter that is no piece has piece -1."""
         n, length = letters.shape
         value = mix(letters.astype(np.uint64))
         for end in range(1, length + 1):
@@ -80,8 +80,11 @@ class Pieces:
                     power = power * _BASE
                 at = np.minimum(np.searchsorted(self.keys, h), self.size - 1)
                 hit = self.keys[at] == h
-                if start == end - 1 or hit.any():
-                    yield start, end, np.where(hit, self.ids[at], -1)
+                if start == end - 1:
+                    yield start, end, np.arange(n), np.where(hit, self.ids[at], -1)
+                elif hit.any():
+                    rows = np.flatnonzero(hit)
+                    yield start, end, rows, self.ids[at[rows]]
 
 
 def _by_length(words: list[str]):
@@ -100,12 +103,10 @@ def forward(pieces: Pieces, letters: np.ndarray, prob: np.ndarray) -> tuple[np.n
     alpha = np.zeros((length + 1, n, prob.shape[1]))
     alpha[0] = 1
     spans = []
-    for start, end, piece in pieces.lattice(letters):
+    for start, end, rows, piece in pieces.lattice(letters):
         p = prob[piece] * _SCALE ** (end - start)
-        if end - start > 1:
-            p = np.where((piece >= 0)[:, None], p, 0.0)
-        alpha[end] += alpha[start] * p
-        spans.append((start, end, piece, p))
+        alpha[end, rows] += alpha[start, rows] * p
+        spans.append((start, end, rows, piece, p))
     return alpha, spans
 
 
@@ -128,9 +129,11 @@ def expected(pieces: Pieces, words: list[str], count: np.ndarray, prob: np.ndarr
             beta = np.zeros_like(alpha)
             beta[-1] = 1
             weight = count[at[i : i + 4096]] / np.maximum(alpha[-1], 1e-300)
-            for start, end, piece, p in reversed(spans):
-                np.add.at(out, piece, alpha[start] * p * beta[end] * weight)
-                beta[start] += p * beta[end]
+            for start, end, rows, piece, p in reversed(spans):
+                uses = alpha[start, rows] * p * beta[end, rows] * weight[rows]
+                for k in range(prob.shape[1]):
+                    out[:, k] += np.bincount(piece % len(out), weights=uses[:, k], minlength=len(out))
+                beta[start, rows] += p * beta[end, rows]
     out[-1] = 0  # unknown letters keep their probability
     return out
 

@@ -37,13 +37,16 @@ s AS (
   WHERE q.vec_id % 50 = 0
 )
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score
-FROM s QUALIFY row_number() OVER w <= 5
+FROM s
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 5
 """
 
 DECONTAMINATION = r"""
-WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[^ 	-]+') AS w FROM benchmark WHERE text IS NOT NULL),
-d AS (SELECT doc_id, regexp_extract_all(lower(text), '[^ 	-]+') AS w FROM documents WHERE text IS NOT NULL),
+WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[^ 	-
+]+') AS w FROM benchmark WHERE text IS NOT NULL),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[^ 	-
+]+') AS w FROM documents WHERE text IS NOT NULL),
 si AS (
   SELECT DISTINCT item_id, n, array_to_string(w[j:j + n - 1], ' ') AS s
   FROM (SELECT item_id, w, least(5, len(w)) AS n, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS j FROM i WHERE len(w) > 0)

@@ -26,13 +26,13 @@ FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 
 EXACT_TOPK = r"""
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-         list_sum(list_transform(range(1, len(q.v) + 1), i -> CAST(q.v[i] * c.v[i] AS BIGINT))) AS score
+         list_sum(list_transform(range(1, len(q.v) + 1), lambda i: CAST(q.v[i] * c.v[i] AS BIGINT))) AS score
   FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
   WHERE q.vec_id % 50 = 0
 )

@@ -27,9 +27,12 @@ from stockspark.llm.common import U64, column, mix, stored, text_chunks
 
 #: Labelled texts that the fit uses, and its rounds.
 FIT_DOCS, ROUNDS = 4_000, 2
+#: Tasks of one round; each sends one table of pieces x languages numbers.
+FIT_TASKS = 12
 #: Words that one worker remembers, and the letters after which a long word is cut.
 REMEMBERED, LONGEST = 300_000, 100
 _WORD = re.compile(r"[^\W\d_]+")
+_LOW = U64((1 << 20) - 1)
 _BASE, _UNKNOWN = U64(0x9E3779B97F4A7C15), 1e-7
 #: Probabilities are scaled by this per letter, so that products stay in range.
 _SCALE = 100.0
@@ -59,14 +62,16 @@ class Pieces:
         keys = np.array([self._key(n) for n in names], dtype=np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids, self.size = keys[order], order, len(names)
+        # one byte per low part of a hash: most spans are no piece and need no search
+        self.maybe = np.zeros(1 << 20, dtype=bool)
+        self.maybe[keys & _LOW] = True
 
     @staticmethod
     def _key(name: str) -> int:
-        h = U64(0)
-        with np.errstate(over="ignore"):
-            for c in name:
-                h = h * _BASE + mix(np.array([ord(c)], dtype=np.uint64))[0]
-        return int(h)
+        h = 0
+        for value in mix(np.frombuffer(name.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)).tolist():
+            h = (h * int(_BASE) + value) & 0xFFFFFFFFFFFFFFFF
+        return h
 
     def lattice(self, letters: np.ndarray):
         """(start, end, words, their piece) for every span that is a piece of some word, by end; a letter that is no piece has piece -1."""
@@ -78,13 +83,16 @@ class Pieces:
                 h = h + value[:, start] * power
                 with np.errstate(over="ignore"):
                     power = power * _BASE
-                at = np.minimum(np.searchsorted(self.keys, h), self.size - 1)
-                hit = self.keys[at] == h
+                rows = np.flatnonzero(self.maybe[h & _LOW])
+                at = np.minimum(np.searchsorted(self.keys, h[rows]), self.size - 1)
+                hit = self.keys[at] == h[rows]
+                rows, piece = rows[hit], self.ids[at[hit]]
                 if start == end - 1:
-                    yield start, end, np.arange(n), np.where(hit, self.ids[at], -1)
-                elif hit.any():
-                    rows = np.flatnonzero(hit)
-                    yield start, end, rows, self.ids[at[rows]]
+                    single = np.full(n, -1)
+                    single[rows] = piece
+                    yield start, end, np.arange(n), single
+                elif len(rows):
+                    yield start, end, rows, piece
 
 
 def _by_length(words: list[str]):
@@ -129,11 +137,15 @@ def expected(pieces: Pieces, words: list[str], count: np.ndarray, prob: np.ndarr
             beta = np.zeros_like(alpha)
             beta[-1] = 1
             weight = count[at[i : i + 4096]] / np.maximum(alpha[-1], 1e-300)
+            found, uses = [], []
             for start, end, rows, piece, p in reversed(spans):
-                uses = alpha[start, rows] * p * beta[end, rows] * weight[rows]
-                for k in range(prob.shape[1]):
-                    out[:, k] += np.bincount(piece % len(out), weights=uses[:, k], minlength=len(out))
-                beta[start, rows] += p * beta[end, rows]
+                after = p * beta[end, rows]
+                found.append(piece)
+                uses.append(alpha[start, rows] * after * weight[rows])
+                beta[start, rows] += after
+            piece, used = np.concatenate(found) % len(out), np.concatenate(uses)
+            for k in range(prob.shape[1]):
+                out[:, k] += np.bincount(piece, weights=used[:, k], minlength=len(out))
     out[-1] = 0  # unknown letters keep their probability
     return out
 
@@ -182,8 +194,8 @@ def fit(labelled: DataFrame, path: str, fit_docs: int = FIT_DOCS, rounds: int =
             if uses is not None:
                 yield pa.record_batch([pa.array([uses.tobytes()], pa.binary())], names=["uses"])
 
-        # pieces x languages numbers from each task, added in a tree of at most sqrt(tasks)
-        flat = [np.frombuffer(r["uses"]).reshape(prob.shape) for r in counts.coalesce(12).mapInArrow(step, "uses binary").toLocalIterator()]
+        # pieces x languages numbers from each of at most FIT_TASKS tasks, which run side by side
+        flat = [np.frombuffer(r["uses"]).reshape(prob.shape) for r in counts.coalesce(FIT_TASKS).mapInArrow(step, "uses binary").collect()]
         prob = _normal(np.sum(flat, axis=0)) if flat else prob
     return langs, np.log([n / total for _, n in per_lang]), prob
 

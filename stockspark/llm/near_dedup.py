@@ -34,6 +34,8 @@ BANDS, ROWS, BITS = 24, 3, 2
 HASHES = 384
 #: Standard errors that an estimate may lie below the threshold.
 SLACK = 5
+#: Text bytes whose shingles are hashed together (they fit a core's cache).
+SET_BYTES = 1 << 20
 #: Members of a hot centre that one verification bucket takes.
 FAN = 256
 _MULTIPLY = np.random.default_rng(97).integers(1, 1 << 63, HASHES, dtype=np.uint64) * U64(2) + U64(1)
@@ -108,7 +110,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, doc
     floor = least_estimate(threshold)
 
     def sets(batches):
-        for part, texts in text_chunks(batches):
+        for part, texts in text_chunks(batches, limit=SET_BYTES):
             shingle, bounds = shingle_sets(texts, words)
             total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix(shingle))))
             print_ = mix(total[bounds[1:]] - total[bounds[:-1]])

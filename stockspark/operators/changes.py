@@ -145,16 +145,14 @@ def category_update(categories: DataFrame, requests: DataFrame) -> Result:
 
 
 def category_delete(categories: DataFrame, inventory: DataFrame, requests: DataFrame) -> Result:
-    """Requests (seq, id); in-use and unknown ids are rejected."""
+    """Requests (seq, id); in-use and unknown ids and repeated deletes are rejected."""
     used = inventory.select(F.col("category_id").alias("id")).filter(F.col("id").isNotNull()).distinct()
-    ids = categories.select("id")
-    unknown = requests.join(ids, "id", "left_anti")
-    known = requests.join(ids, "id", "left_semi")
-    in_use = known.join(used, "id", "left_semi")
-    deletable = known.join(used, "id", "left_anti")
-    snapshot = categories.join(deletable.select("id"), "id", "left_anti")
-    rejects = _union_all([_reject(unknown, "not_found"), _reject(in_use, "in_use")])
-    return Result(snapshot, rejects, {"deleted": deletable.select("seq", "id")})
+    in_use = requests.join(categories.select("id"), "id", "left_semi").join(used, "id", "left_semi")
+    first, not_found = _deletes(categories, requests.join(used, "id", "left_anti"))
+    gone = requests.join(used, "id", "left_semi").join(categories.select("id"), "id", "left_anti")
+    snapshot = categories.join(first.select("id"), "id", "left_anti")
+    rejects = _union_all([not_found, _reject(gone, "not_found"), _reject(in_use, "in_use")])
+    return Result(snapshot, rejects, {"deleted": first.select("seq", "id")})
 
 
 # ---------------------------------------------------------------- inventory
@@ -186,6 +184,20 @@ def inventory_insert(inventory: DataFrame, requests: DataFrame) -> Result:
 UPDATABLE_INVENTORY = ["name", "description", "category_id", "sku", "quantity", "min_quantity", "unit_price", "supplier", "location"]
 
 
+def _merged_updates(requests: DataFrame, columns: list[str], *more: Column) -> DataFrame:
+    """One row per id: every field that any of its requests sets, with the value of the last one (by seq) that sets it.
+
+    One aggregate with map-side combine, so an id with very many requests is
+    reduced before the shuffle.  ``more`` are further aggregates.
+    """
+    last = lambda c: F.max(F.when(F.array_contains("fields", c), F.struct("seq", F.col(f"new_{c}").alias("v"))))
+    merged = requests.groupBy("id").agg(*[last(c).alias(f"_last_{c}") for c in columns], *more)
+    fields = F.array_compact(F.array(*[F.when(F.col(f"_last_{c}").isNotNull(), F.lit(c)) for c in columns]))
+    values = [F.col(f"_last_{c}.v").alias(f"new_{c}") for c in columns]
+    kept = [c for c in merged.columns if not c.startswith("_last_") and c != "id"]
+    return merged.select("id", fields.alias("fields"), *values, *kept)
+
+
 def _partial_update(table: DataFrame, chosen: DataFrame, columns: list[str], touched_col: str | None, job_time: str | None) -> DataFrame:
     """Apply per-row partial updates: only fields listed in ``fields`` change."""
     j = table.join(chosen, "id", "left")
@@ -207,8 +219,9 @@ def _partial_update(table: DataFrame, chosen: DataFrame, columns: list[str], tou
 def inventory_update(inventory: DataFrame, requests: DataFrame, job_time: str) -> Result:
     """Requests (seq, id, fields ARRAY<STRING>, new_<column>...).
 
-    Only listed fields change; the last request per id wins; a new name that
-    equals another item's name (case-insensitive, trimmed) is rejected.
+    Only listed fields change; each field takes the value of the last request
+    that sets it; a new name that equals another item's name
+    (case-insensitive, trimmed) is rejected.
     """
     req = requests
     no_fields = req.filter(F.coalesce(F.size("fields"), F.lit(0)) <= 0)
@@ -227,24 +240,30 @@ def inventory_update(inventory: DataFrame, requests: DataFrame, job_time: str) -
     clash = _name_taken_by_other(known.filter(sets("name")).withColumn("_key", F.lower("new_name")), inventory, "_key")
     dup = known.join(clash, "seq", "left_semi")
     good = known.join(clash, "seq", "left_anti")
-    last = good.groupBy("id").agg(F.max("seq").alias("seq"))
-    chosen = good.join(last, ["id", "seq"])
-    snapshot = _partial_update(inventory, chosen, UPDATABLE_INVENTORY, "updated_at", job_time)
+    merged = _merged_updates(good, UPDATABLE_INVENTORY)
+    snapshot = _partial_update(inventory, merged, UPDATABLE_INVENTORY, "updated_at", job_time)
     rejects = _union_all([
         _reject(no_fields, "no_fields"),
         _reject(invalid, "invalid_value"),
         _reject(unknown, "not_found"),
         _reject(dup, "duplicate_name"),
     ])
-    return Result(snapshot, rejects, {"applied": chosen.select("seq", "id")})
+    return Result(snapshot, rejects, {"applied": good.select("seq", "id")})
 
 
-def rows_delete(table: DataFrame, requests: DataFrame) -> Result:
-    """Delete by id (inventory, staff, budget); unknown ids rejected."""
+def _deletes(table: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the first request per existing id, rejects): a later delete of the same id finds nothing."""
     ids = table.select("id")
     unknown = requests.join(ids, "id", "left_anti")
+    first, later = _first_per_key(requests.join(ids, "id", "left_semi"), "id")
+    return first, _reject(unknown.unionByName(later), "not_found")
+
+
+def rows_delete(table: DataFrame, requests: DataFrame) -> Result:
+    """Delete by id (inventory, staff, budget); unknown ids and repeated deletes are rejected."""
+    _, rejects = _deletes(table, requests)
     snapshot = table.join(requests.select("id"), "id", "left_anti")
-    return Result(snapshot, _reject(unknown, "not_found"))
+    return Result(snapshot, rejects)
 
 
 # ------------------------------------------------------------ stock
@@ -521,9 +540,11 @@ def sale_post(inventory: DataFrame, requests: DataFrame, hot_threshold: int = HO
 def sale_update(sales: DataFrame, requests: DataFrame) -> Result:
     """Requests (seq, id, fields, new_quantity, new_unit_price, new_customer_name, ...).
 
+    Requests of one sale apply in seq order, each to the fields it lists.
     When quantity or unit_price is supplied and non-zero, total_price =
-    (new or old quantity) x (new or old non-zero price).  A unit_price of 0
-    is written but not used for the total.  Stock is not adjusted.
+    (new or current quantity) x (new non-zero or current price).  A
+    unit_price of 0 is written but not used for that request's total.
+    Stock is not adjusted.
     """
     no_fields = requests.filter(F.coalesce(F.size("fields"), F.lit(0)) <= 0)
     req = requests.filter(F.coalesce(F.size("fields"), F.lit(0)) > 0)
@@ -536,35 +557,32 @@ def sale_update(sales: DataFrame, requests: DataFrame) -> Result:
     ids = sales.select("id")
     unknown = req.join(ids, "id", "left_anti")
     known = req.join(ids, "id", "left_semi")
-    last = known.groupBy("id").agg(F.max("seq").alias("seq"))
-    chosen = known.join(last, ["id", "seq"])
+    # the last request that computes a total, and the price that is current just before it
+    computes = sets("quantity") | (sets("unit_price") & (F.col("new_unit_price") != 0))
+    at = req.filter(computes).groupBy("id").agg(F.max("seq").alias("_at"))
+    own = F.when((F.col("seq") == F.col("_at")) & sets("unit_price") & (F.col("new_unit_price") != 0), F.col("new_unit_price"))
+    before = F.when((F.col("seq") < F.col("_at")) & sets("unit_price"), F.struct("seq", F.col("new_unit_price").alias("v")))
     cols = ["quantity", "unit_price", "customer_name", "customer_phone", "staff_id", "sale_date", "payment_method", "notes", "item_id"]
-    upd = _partial_update(sales, chosen, cols, None, None)
-    # recompute total with the reference's truthiness rule
-    j = upd.join(
-        chosen.select(
-            "id",
-            F.col("fields").alias("_f"),
-            F.when(sets("quantity"), F.col("new_quantity")).alias("_nq"),
-            F.when(sets("unit_price"), F.col("new_unit_price")).alias("_np"),
-        ),
-        "id",
-        "left",
-    ).join(sales.select("id", F.col("quantity").alias("_oq"), F.col("unit_price").alias("_op")), "id")
-    given = F.coalesce(F.col("_nq") != 0, F.lit(False)) | F.coalesce(F.col("_np") != 0, F.lit(False))
-    q = F.coalesce(F.nullif(F.col("_nq"), F.lit(0)), F.col("_oq"))
-    p = F.coalesce(F.nullif(F.col("_np"), F.lit(0).cast(MONEY)), F.col("_op"))
-    snapshot = j.withColumn("total_price", F.when(given, (q * p).cast(MONEY)).otherwise(F.col("total_price"))).select(
-        sales.columns
+    merged = _merged_updates(
+        req.join(at, "id", "left"), cols, F.max("_at").alias("_at"), F.max(own).alias("_own"), F.max(before).alias("_before")
+    )
+    used = F.struct(
+        F.col("_at").isNotNull().alias("given"),
+        F.when(F.array_contains("fields", "quantity"), F.col("new_quantity")).alias("q"),
+        F.coalesce("_own", F.col("_before.v")).alias("p"),
     )
+    j = sales.join(merged.withColumn("_used", used).drop("_at", "_own", "_before"), "id", "left")
+    total = F.coalesce("_used.q", "quantity") * F.coalesce("_used.p", "unit_price")
+    final = {c: F.when(F.array_contains("fields", c), F.col(f"new_{c}").cast(sales.schema[c].dataType)).otherwise(F.col(c)) for c in cols}
+    final["total_price"] = F.when(F.col("_used.given"), total.cast(MONEY)).otherwise(F.col("total_price"))
+    snapshot = j.select(*[final.get(c, F.col(c)).alias(c) for c in sales.columns])
     rejects = _union_all([_reject(no_fields, "no_fields"), _reject(invalid, "invalid_value"), _reject(unknown, "not_found")])
-    return Result(snapshot, rejects, {"applied": chosen.select("seq", "id")})
+    return Result(snapshot, rejects, {"applied": known.select("seq", "id")})
 
 
 def sale_delete(sales: DataFrame, inventory: DataFrame, requests: DataFrame) -> Result:
     """Requests (seq, id); deleted quantities go back to their items."""
-    ids = sales.select("id")
-    unknown = requests.join(ids, "id", "left_anti")
+    _, rejects = _deletes(sales, requests)
     gone = sales.join(requests.select("id").distinct(), "id", "left_semi")
     back = gone.groupBy("item_id").agg(F.sum("quantity").alias("_back"))
     inv = (
@@ -573,7 +591,7 @@ def sale_delete(sales: DataFrame, inventory: DataFrame, requests: DataFrame) ->
         .select(inventory.columns)
     )
     snapshot = sales.join(requests.select("id"), "id", "left_anti")
-    return Result(snapshot, _reject(unknown, "not_found"), {"inventory": inv})
+    return Result(snapshot, rejects, {"inventory": inv})
 
 
 # -------------------------------------------------------------------- staff
@@ -589,8 +607,9 @@ def parse_hire_date(c: Column) -> Column:
 
 def staff_insert(staff: DataFrame, requests: DataFrame) -> Result:
     """Requests (seq, name, email, phone, position, department, hire_date text, salary text)."""
-    req = requests.withColumn("salary", F.nullif(F.trim(F.col("salary").cast("string")), F.lit("")).try_cast(MONEY))
-    checked = Q.check(req, Q.STAFF_RULES)
+    text = F.nullif(F.trim(F.col("salary").cast("string")), F.lit(""))
+    req = requests.withColumn("_no_number", text.isNotNull() & text.try_cast(MONEY).isNull()).withColumn("salary", text.try_cast(MONEY))
+    checked = Q.check(req, [*Q.STAFF_RULES, ("salary_number", lambda: F.col("_no_number"))]).drop("_no_number")
     invalid = checked.filter(F.size("failed_rules") > 0)
     ok = checked.filter(F.size("failed_rules") == 0).withColumn("_email", F.lower(F.trim("email")))
     taken = staff.select(F.lower(F.trim("email")).alias("_email")).filter(F.col("_email").isNotNull()).distinct()
@@ -626,7 +645,7 @@ UPDATABLE_STAFF = ["name", "email", "phone", "position", "department", "hire_dat
 
 
 def staff_update(staff: DataFrame, requests: DataFrame) -> Result:
-    """Partial update by id (no duplicate-name check); last request per id wins."""
+    """Partial update by id (no duplicate-name check); each field takes its last request's value."""
     no_fields = requests.filter(F.coalesce(F.size("fields"), F.lit(0)) <= 0)
     req = requests.filter(F.coalesce(F.size("fields"), F.lit(0)) > 0)
     sets = lambda c: F.coalesce(F.array_contains("fields", c), F.lit(False))
@@ -640,11 +659,9 @@ def staff_update(staff: DataFrame, requests: DataFrame) -> Result:
     ids = staff.select("id")
     unknown = req.join(ids, "id", "left_anti")
     known = req.join(ids, "id", "left_semi")
-    last = known.groupBy("id").agg(F.max("seq").alias("seq"))
-    chosen = known.join(last, ["id", "seq"])
-    snapshot = _partial_update(staff, chosen, UPDATABLE_STAFF, None, None)
+    snapshot = _partial_update(staff, _merged_updates(req, UPDATABLE_STAFF), UPDATABLE_STAFF, None, None)
     rejects = _union_all([_reject(no_fields, "no_fields"), _reject(invalid, "invalid_value"), _reject(unknown, "not_found")])
-    return Result(snapshot, rejects, {"applied": chosen.select("seq", "id")})
+    return Result(snapshot, rejects, {"applied": known.select("seq", "id")})
 
 
 STAFF_STATUSES = ["active", "inactive", "terminated"]
@@ -716,11 +733,10 @@ def budget_update(budget: DataFrame, requests: DataFrame) -> Result:
     ids = budget.select("id")
     unknown = req.join(ids, "id", "left_anti")
     known = req.join(ids, "id", "left_semi")
-    last = known.groupBy("id").agg(F.max("seq").alias("seq"))
-    chosen = known.join(last, ["id", "seq"])
-    snapshot = _partial_update(budget, chosen, ["category", "amount", "spent", "month_year"], None, None)
+    columns = ["category", "amount", "spent", "month_year"]
+    snapshot = _partial_update(budget, _merged_updates(req, columns), columns, None, None)
     rejects = _union_all([_reject(no_fields, "no_fields"), _reject(invalid, "invalid_value"), _reject(unknown, "not_found")])
-    return Result(snapshot, rejects, {"applied": chosen.select("seq", "id")})
+    return Result(snapshot, rejects, {"applied": known.select("seq", "id")})
 
 
 def transaction_post(budget: DataFrame, transactions: DataFrame, requests: DataFrame) -> Result:

@@ -172,9 +172,17 @@ inventory_update_requests AS (
          CAST(NULL AS VARCHAR) AS new_sku, CAST(NULL AS INTEGER) AS new_min_quantity,
          CAST(NULL AS VARCHAR) AS new_location
   FROM part p LEFT JOIN part q ON q.p_partkey = p.p_partkey - 1
+  UNION ALL
+  SELECT p_partkey + 1000000000000000000, p_partkey,
+         CASE p_partkey % 2 WHEN 0 THEN ['quantity'] ELSE ['supplier'] END,
+         NULL, 11, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+  FROM part WHERE p_partkey % 3 = 0
 )""",
     "rows_delete_requests": """
-rows_delete_requests AS (SELECT s_suppkey AS seq, s_suppkey AS id FROM supplier)""",
+rows_delete_requests AS (
+  SELECT s_suppkey AS seq, s_suppkey AS id FROM supplier
+  UNION ALL SELECT s_suppkey + 1000000000000000000, s_suppkey FROM supplier WHERE s_suppkey % 4 = 0
+)""",
     "sale_update_requests": """
 sale_update_requests AS (
   SELECT id AS seq, id,
@@ -182,8 +190,13 @@ sale_update_requests AS (
               ELSE ['quantity', 'unit_price'] END AS fields,
          CAST(CASE WHEN id % 4 = 0 THEN quantity + 1 ELSE 2 END AS INTEGER) AS new_quantity,
          CAST(CASE WHEN id % 4 = 1 THEN 0 ELSE 9.99 END AS DECIMAL(10,2)) AS new_unit_price,
-         'Walk-in' AS new_customer_name
+         'Walk-in' AS new_customer_name, CAST(NULL AS VARCHAR) AS new_notes
   FROM sales
+  UNION ALL
+  SELECT id + 1000000000000000000, id,
+         CASE id % 2 WHEN 0 THEN ['notes', 'unit_price'] ELSE ['quantity'] END,
+         7, CAST(CASE WHEN id % 5 = 0 THEN 0 ELSE 3.5 END AS DECIMAL(10,2)), 'x', CAST(NULL AS VARCHAR)
+  FROM sales WHERE id % 3 = 0
 )""",
     "sale_delete_requests": """
 sale_delete_requests AS (SELECT id AS seq, id FROM sales WHERE notes = 'returned')""",
@@ -212,6 +225,11 @@ staff_update_requests AS (
          CAST(NULL AS VARCHAR) AS new_name, CAST(NULL AS VARCHAR) AS new_position,
          CAST(NULL AS DATE) AS new_hire_date, CAST(NULL AS VARCHAR) AS new_status
   FROM supplier
+  UNION ALL
+  SELECT s_suppkey + 1000000000000000000, s_suppkey,
+         CASE s_suppkey % 4 WHEN 0 THEN ['department'] ELSE ['phone', 'salary'] END,
+         NULL, CAST(s_suppkey + 2000 AS DECIMAL(10,2)), NULL, 'Branch', NULL, NULL, NULL, NULL
+  FROM supplier WHERE s_suppkey % 2 = 0
 )""",
     "staff_status_requests": """
 staff_status_requests AS (
@@ -235,6 +253,11 @@ budget_update_requests AS (
          CAST(CASE WHEN id % 2 = 0 THEN -1 ELSE spent + 1 END AS DECIMAL(10,2)) AS new_spent,
          CAST(NULL AS VARCHAR) AS new_category, CAST(NULL AS VARCHAR) AS new_month_year
   FROM budget
+  UNION ALL
+  SELECT id + 1000000000000000000, id,
+         CASE id % 4 WHEN 0 THEN ['spent'] WHEN 1 THEN ['amount'] ELSE ['amount', 'spent'] END,
+         CAST(amount + 700 AS DECIMAL(10,2)), CAST(spent + 3 AS DECIMAL(10,2)), NULL, NULL
+  FROM budget WHERE id % 4 <> 3
 )""",
     "remap_mapping": """
 remap_mapping AS (

@@ -21,6 +21,10 @@ NEW_LOCATION = "Dock"
 REMAP_DEFAULT = "Valves"
 
 
+# Fixed value: added to the seq of an id's second request; above the first seq of that id.
+REPEAT_SEQ = 10**18
+
+
 def _arr(*names: str) -> Column:
     return F.array(*[F.lit(n) for n in names]).cast(T.ArrayType(T.StringType()))
 
@@ -105,11 +109,22 @@ def inventory_update_requests(t: Tables) -> DataFrame:
         (F.col("p_retailprice").cast(MONEY) + 1).cast(MONEY).alias("new_unit_price"),
         F.lit(NEW_SUPPLIER).alias("new_supplier"),
     )
-    return _nulls(df, INVENTORY_NEW_COLS)
+    more = p.filter(k % 3 == 0).select(
+        (k + REPEAT_SEQ).alias("seq"),
+        k.alias("id"),
+        F.when(k % 2 == 0, _arr("quantity")).otherwise(_arr("supplier")).alias("fields"),
+        F.lit(None).cast("string").alias("new_name"),
+        F.lit(11).cast("int").alias("new_quantity"),
+        F.lit(None).cast(MONEY).alias("new_unit_price"),
+        F.lit(None).cast("string").alias("new_supplier"),
+    )
+    return _nulls(df.unionByName(more), INVENTORY_NEW_COLS)
 
 
 def rows_delete_requests(t: Tables) -> DataFrame:
-    return t.raw("supplier").select(F.col("s_suppkey").alias("seq"), F.col("s_suppkey").alias("id"))
+    k = F.col("s_suppkey")
+    once = t.raw("supplier").select(k.alias("seq"), k.alias("id"))
+    return once.unionByName(once.filter(F.col("id") % 4 == 0).select((F.col("seq") + REPEAT_SEQ).alias("seq"), "id"))
 
 
 SALES_NEW_COLS = {
@@ -140,7 +155,15 @@ def sale_update_requests(t: Tables) -> DataFrame:
         F.when(i % 4 == 1, F.lit(0)).otherwise(F.lit(9.99)).cast(MONEY).alias("new_unit_price"),
         F.lit("Walk-in").alias("new_customer_name"),
     )
-    return _nulls(df, SALES_NEW_COLS)
+    more = s.filter(i % 3 == 0).select(
+        (i + REPEAT_SEQ).alias("seq"),
+        i.alias("id"),
+        F.when(i % 2 == 0, _arr("notes", "unit_price")).otherwise(_arr("quantity")).alias("fields"),
+        F.lit(7).cast("int").alias("new_quantity"),
+        F.when(i % 5 == 0, F.lit(0)).otherwise(F.lit(3.5)).cast(MONEY).alias("new_unit_price"),
+        F.lit("x").alias("new_customer_name"),
+    )
+    return _nulls(df.unionByName(more), SALES_NEW_COLS)
 
 
 def sale_delete_requests(t: Tables) -> DataFrame:
@@ -194,7 +217,16 @@ def staff_update_requests(t: Tables) -> DataFrame:
         F.concat(F.lit("staff"), k.cast("string"), F.lit("@example.com")).alias("new_email"),
         F.lit("HQ").alias("new_department"),
     )
-    return _nulls(df, STAFF_NEW_COLS)
+    more = t.raw("supplier").filter(k % 2 == 0).select(
+        (k + REPEAT_SEQ).alias("seq"),
+        k.alias("id"),
+        F.when(k % 4 == 0, _arr("department")).otherwise(_arr("phone", "salary")).alias("fields"),
+        F.lit(None).cast("string").alias("new_phone"),
+        (k + 2000).cast(MONEY).alias("new_salary"),
+        F.lit(None).cast("string").alias("new_email"),
+        F.lit("Branch").alias("new_department"),
+    )
+    return _nulls(df.unionByName(more), STAFF_NEW_COLS)
 
 
 # Requested statuses by supplier key % 4 ('retired' is invalid).
@@ -246,7 +278,14 @@ def budget_update_requests(t: Tables) -> DataFrame:
         (F.col("amount") + 500).cast(MONEY).alias("new_amount"),
         F.when(i % 2 == 0, F.lit(-1).cast(MONEY)).otherwise(F.col("spent") + 1).cast(MONEY).alias("new_spent"),
     )
-    return _nulls(df, BUDGET_NEW_COLS)
+    more = b.filter(i % 4 != 3).select(
+        (i + REPEAT_SEQ).alias("seq"),
+        i.alias("id"),
+        F.when(i % 4 == 0, _arr("spent")).when(i % 4 == 1, _arr("amount")).otherwise(_arr("amount", "spent")).alias("fields"),
+        (F.col("amount") + 700).cast(MONEY).alias("new_amount"),
+        (F.col("spent") + 3).cast(MONEY).alias("new_spent"),
+    )
+    return _nulls(df.unionByName(more), BUDGET_NEW_COLS)
 
 
 def transaction_requests(t: Tables) -> DataFrame:

@@ -263,3 +263,23 @@ def test_running_sum_splits_hot_key(spark):
         k = 1 if o % 10 < 8 else o % 10
         acc[k] = acc.get(k, 0) + o % 7
         assert got[o] == acc[k]
+
+
+def test_partial_updates_of_one_id_all_apply(spark, frames):
+    from stockspark.sources.requests import SALES_NEW_COLS, _nulls
+
+    sales = frames.sales([{"id": 1, "item_id": 1, "quantity": 2, "unit_price": D(5), "total_price": D(10)}])
+    req = spark.createDataFrame(
+        [(1, 1, ["quantity"], 3, None, None), (2, 1, ["notes"], None, None, "late"), (3, 1, ["unit_price"], None, 0, None)],
+        "seq bigint, id bigint, fields array<string>, new_quantity int, _p int, new_notes string",
+    ).withColumn("new_unit_price", F.col("_p").cast("decimal(10,2)")).drop("_p")
+    row = E.sale_update(sales, _nulls(req, SALES_NEW_COLS)).snapshot.first()
+    assert (row.quantity, row.notes, row.unit_price, row.total_price) == (3, "late", D(0), D(15))
+
+
+def test_second_delete_finds_nothing(spark, frames):
+    inv = frames.inventory([{"id": 1, "name": "A", "quantity": 1, "unit_price": D(1)}])
+    req = spark.createDataFrame([(1, 1), (2, 1), (3, 9)], "seq bigint, id bigint")
+    res = E.rows_delete(inv, req)
+    assert res.snapshot.count() == 0
+    assert sorted((r.seq, r.reason) for r in res.rejects.collect()) == [(2, "not_found"), (3, "not_found")]

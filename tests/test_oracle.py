@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from stockspark.plans.compare import compare, duckdb_connection
+from stockspark.plans.oracle import oracle_sql
+from stockspark.plans.registry import QUERIES
 
 from .conftest import SMOKE_DIR
 
-KEYS = sorted(queries())
+KEYS = sorted(QUERIES)
 SQL = oracle_sql()
 
 
@@ -33,7 +35,7 @@ def test_entry_smoke(spark):
 
 @pytest.mark.parametrize("key", KEYS)
 def test_matches_oracle(spark, con, key):
-    df = queries()[key](spark, SMOKE_DIR)
+    df = QUERIES[key](spark, SMOKE_DIR)
     if key not in SQL:
         assert df.count() >= 0
         return

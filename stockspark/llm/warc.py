@@ -213,7 +213,8 @@ def read_warc(manifest: DataFrame, root: str, with_payload: bool = False) -> Dat
                             out, size = [], 0
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return manifest.select("name").repartition("name").mapInArrow(read, ROWS)
+    # a set number: Spark would otherwise merge these few names into one task
+    return manifest.select("name").repartition(max(1, manifest.count()), "name").mapInArrow(read, ROWS)
 
 
 def warc_digest(pages: DataFrame, **options) -> DataFrame:

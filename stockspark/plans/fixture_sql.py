@@ -42,7 +42,6 @@ inventory AS (
          CAST(NULL AS TIMESTAMP) AS created_at,
          CAST(NULL AS TIMESTAMP) AS updated_at
   FROM part p JOIN categories c ON c.name = p.p_type
-  WHERE p.p_partkey % 29 <> 0
 )""",
     "staff": """
 staff AS (
@@ -60,9 +59,9 @@ staff AS (
 )""",
     "sales": """
 sales AS (
-  SELECT ((((l.l_orderkey * 10 + l.l_linenumber) * 1000000 + l.l_partkey) * 10000
-           + l.l_suppkey) * 100 + CAST(l.l_quantity AS BIGINT)) AS id,
-         l.l_partkey AS item_id,
+  SELECT row_number() OVER (ORDER BY l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity,
+                            l.l_extendedprice, l.l_shipdate, l.l_returnflag) AS id,
+         CASE WHEN l.l_partkey % 29 = 0 THEN -l.l_partkey ELSE l.l_partkey END AS item_id,
          CAST(l.l_quantity AS INTEGER) AS quantity,
          CAST(floor(round(l.l_extendedprice * 100) / l.l_quantity) / 100 AS DECIMAL(10,2)) AS unit_price,
          CAST(l.l_extendedprice AS DECIMAL(10,2)) AS total_price,
@@ -75,7 +74,6 @@ sales AS (
   FROM lineitem l
   JOIN orders o ON l.l_orderkey = o.o_orderkey
   JOIN customer cu ON o.o_custkey = cu.c_custkey
-  WHERE l.l_partkey % 17 <> 0
 )""",
     "budget": """
 budget AS (
@@ -101,9 +99,10 @@ transactions AS (
 stock_ops AS (
   SELECT event_id AS seq, user_id AS item_id,
          CASE WHEN event_type = 'purchase' THEN 'subtract'
-              WHEN event_type = 'error' THEN 'set' ELSE 'add' END AS operation,
+              WHEN event_type = 'error' THEN 'set'
+              WHEN event_type = 'signup' THEN 'signup' ELSE 'add' END AS operation,
          CAST(floor(value) AS INTEGER) AS quantity
-  FROM events WHERE event_type <> 'signup'
+  FROM events
 )""",
     "sale_requests": """
 sale_requests AS (
@@ -149,7 +148,7 @@ category_delete_requests AS (SELECT id AS seq, id FROM categories_dirty)""",
     "inventory_insert_requests": """
 inventory_insert_requests AS (
   SELECT p_partkey AS seq,
-         CASE WHEN p_partkey % 29 = 0 THEN p_name || ' ' || CAST(p_partkey AS VARCHAR)
+         CASE WHEN p_partkey % 29 = 0 THEN 'New ' || p_name || ' ' || CAST(p_partkey AS VARCHAR)
               ELSE upper(p_name || ' ' || CAST(p_partkey AS VARCHAR)) END AS name,
          p_brand AS description, CAST(NULL AS BIGINT) AS category_id,
          'NEW-' || CAST(p_partkey AS VARCHAR) AS sku,
@@ -160,7 +159,7 @@ inventory_insert_requests AS (
 )""",
     "inventory_update_requests": """
 inventory_update_requests AS (
-  SELECT p.p_partkey AS seq, p.p_partkey AS id,
+  SELECT p.p_partkey AS seq, CASE WHEN p.p_partkey % 29 = 0 THEN -p.p_partkey ELSE p.p_partkey END AS id,
          CASE p.p_partkey % 4 WHEN 0 THEN ['quantity'] WHEN 1 THEN ['name']
               WHEN 2 THEN ['unit_price', 'supplier'] ELSE CAST([] AS VARCHAR[]) END AS fields,
          CASE WHEN p.p_partkey % 8 = 1 THEN upper(p.p_name || ' ' || CAST(p.p_partkey AS VARCHAR))

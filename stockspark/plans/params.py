@@ -11,7 +11,7 @@ SEARCH_WILDCARD = "SKU-1_"
 CUSTOMER_TERM = "00012"
 ITEM_ID = 5
 CATEGORY_ID = 3
-SALE_ID = 4000462006510  # a sale present at sf0.01
+SALE_ID = 1000
 STAFF_ID = 1
 DEPARTMENT = "NATION_3"
 PAYMENT_METHOD = "1-URGENT"

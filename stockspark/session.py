@@ -40,8 +40,9 @@ def tune_session(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    Uses ``spark.checkpoint.dir`` when the cluster names one; otherwise (local
-    tests only) creates a scratch folder and registers it.
+    Uses ``spark.checkpoint.dir`` when the cluster names one.  Otherwise a local
+    master (tests) gets a scratch folder; any other master is refused, since its
+    executors would not see the driver's folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
@@ -50,6 +51,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(configured)
         return configured
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="stockspark-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

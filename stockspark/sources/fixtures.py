@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.ordering import dense_number
 from ..schemas import BUDGET, CATEGORIES, INVENTORY, MONEY, SALES, STAFF, TRANSACTIONS
 
 # Fixed values of the fixture mapping (they must equal the oracle's).
@@ -26,6 +27,8 @@ EXTRA_CATEGORIES = [(101, "Pumps"), (102, "Valves")]  # categories without items
 STAFF_POSITIONS = ["Clerk", "Manager", "Cashier"]  # by id % 3
 BUDGET_MONTHS = [1, 2, 3]  # of 2024
 BUDGET_YEAR = 2024
+# Columns of an order line that a sale is made of, in the order sales are numbered by.
+SALE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag"]
 
 
 def literal_rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
@@ -149,7 +152,7 @@ class Tables:
         return self._table('inventory', INVENTORY, self._build_inventory)
 
     def _build_inventory(self) -> DataFrame:
-        part = self.raw("part").filter(F.col("p_partkey") % 29 != 0)
+        part = self.raw("part")
         cats = self.categories.select(F.col("id").alias("cat_id"), F.col("name").alias("p_type"))
         k = F.col("p_partkey")
         df = part.join(cats, "p_type").select(
@@ -211,19 +214,21 @@ class Tables:
         return self._table('sales', SALES, self._build_sales)
 
     def _build_sales(self) -> DataFrame:
-        li = self.raw("lineitem").filter(F.col("l_partkey") % 17 != 0)
+        """One sale per order line, numbered in line order.
+
+        Every 29th part sells under an item id that no item has: its sales are
+        orphans, and the part itself is an unsold item.
+        """
+        li = self.raw("lineitem")
         orders = self.raw("orders").select("o_orderkey", "o_custkey", "o_orderpriority")
         cust = self.raw("customer").select("c_custkey", "c_name")
         j = li.join(orders, li.l_orderkey == orders.o_orderkey).join(cust, F.col("o_custkey") == cust.c_custkey)
-        qty = F.col("l_quantity").cast("bigint")
-        sale_id = (
-            ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")) * 10_000
-            + F.col("l_suppkey")
-        ) * 100 + qty
+        # Lines that agree in all of these give equal sales, so their order is free.
+        line = F.struct(*SALE_ORDER)
         offset = (F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 3571) % 86400
         df = j.select(
-            sale_id.alias("id"),
-            F.col("l_partkey").alias("item_id"),
+            line.alias("_line"),
+            F.when(F.col("l_partkey") % 29 == 0, -F.col("l_partkey")).otherwise(F.col("l_partkey")).alias("item_id"),
             F.col("l_quantity").cast("int").alias("quantity"),
             (F.floor(F.round(F.col("l_extendedprice") * 100) / F.col("l_quantity")) / 100).cast(MONEY).alias("unit_price"),
             F.col("l_extendedprice").cast(MONEY).alias("total_price"),
@@ -236,7 +241,7 @@ class Tables:
             F.col("o_orderpriority").alias("payment_method"),
             F.when(F.col("l_returnflag") == "R", F.lit("returned")).alias("notes"),
         )
-        return _conform(df, SALES)
+        return _conform(dense_number(df, "_line", "id"), SALES)
 
     # -- budget / transactions -------------------------------------------------
 
@@ -284,12 +289,13 @@ class Tables:
 
     def _build_stock_ops(self) -> DataFrame:
         """Stock adjustment requests: (seq, item_id, operation, quantity)."""
-        ev = self.raw("events").filter(F.col("event_type") != "signup")
+        ev = self.raw("events")
         return (ev.select(
             F.col("event_id").alias("seq"),
             F.col("user_id").alias("item_id"),
             F.when(F.col("event_type") == "purchase", F.lit("subtract"))
             .when(F.col("event_type") == "error", F.lit("set"))
+            .when(F.col("event_type") == "signup", F.lit("signup"))  # no such operation: rejected
             .otherwise(F.lit("add"))
             .alias("operation"),
             F.floor("value").cast("int").alias("quantity"),

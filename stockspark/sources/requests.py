@@ -64,7 +64,7 @@ def inventory_insert_requests(t: Tables) -> DataFrame:
     full = F.concat_ws(" ", "p_name", k.cast("string"))
     return p.select(
         k.alias("seq"),
-        F.when(k % 29 == 0, full).otherwise(F.upper(full)).alias("name"),
+        F.when(k % 29 == 0, F.concat(F.lit("New "), full)).otherwise(F.upper(full)).alias("name"),
         F.col("p_brand").alias("description"),
         F.lit(None).cast("bigint").alias("category_id"),
         F.concat(F.lit("NEW-"), k.cast("string")).alias("sku"),
@@ -98,7 +98,7 @@ def inventory_update_requests(t: Tables) -> DataFrame:
     own = F.upper(F.concat_ws(" ", "p_name", k.cast("string")))
     df = j.select(
         k.alias("seq"),
-        k.alias("id"),
+        F.when(k % 29 == 0, -k).otherwise(k).alias("id"),  # no item has a negative id
         F.when(k % 4 == 0, _arr("quantity"))
         .when(k % 4 == 1, _arr("name"))
         .when(k % 4 == 2, _arr("unit_price", "supplier"))

@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,8 +58,8 @@ class Counter:
         new = [w for w in dict.fromkeys(rest) if w not in merged]
         if new:
             if len(merged) > REMEMBERED:
-                merged.clear()
-                new = list(dict.fromkeys(rest))
+                merged = self.merged = dict(islice(merged.items(), REMEMBERED // 4))
+                new = [w for w in dict.fromkeys(rest) if w not in merged]
             self._merge(new)
         return n + sum(map(merged.__getitem__, rest))
 
@@ -69,7 +70,7 @@ class Counter:
             hard = [p for p in parts if p not in self.proven]
             n = len(parts) - len(hard)
             if hard:
-                n += sum(len(c.ids) for c in self.tokenizer.encode_batch(hard, add_special_tokens=False))
+                n += sum(len(c.ids) for c in self.tokenizer.encode_batch_fast(hard, add_special_tokens=False))
             self.merged[word] = n
 
 

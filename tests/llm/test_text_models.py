@@ -12,7 +12,7 @@ P = pytest.importorskip("public_tokenizers")
 
 from stockspark.llm.decontamination import contained_items, without_items  # noqa: E402
 from stockspark.llm.language_id import Pieces, identify_languages, word_logs  # noqa: E402
-from stockspark.llm.lm_scoring import build_segment, count_of, lm_scores, probe, quantised  # noqa: E402
+from stockspark.llm.lm_scoring import build_segment, count_of, lm_scores, pair_probability, probe, quantised  # noqa: E402
 from stockspark.llm.warc import base32_sha1, read_warc, work_dir, write_warc  # noqa: E402
 
 
@@ -46,6 +46,30 @@ def test_filter_gives_levels_back():
     assert (other == 0).mean() > 0.9 and count_of(np.array([0]))[0] == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0}])
+def test_lm_pairs_seen_once_count_and_every_context_sums_to_one(docs_of, options):
+    # "always" has one frequent follower, "rare" only followers seen once
+    rows = [(i, f"always same rare word{i} end{i % 3}") for i in range(120)]
+    tokens = {d: [None, *t.split(), None] for d, t in rows}
+    kept = [w for d, w in tokens.items() if zlib.crc32(str(d).encode()) % 10]
+    uni = Counter(x for w in kept for x in w[1:])
+    pairs = Counter(p for w in kept for p in zip(w, w[1:]))
+    floor = sum(uni.values()) + 0.1 * (len(uni) + 1)
+    after = {v: [float(count_of(quantised(np.array([n])))[0]) for (x, _), n in pairs.items() if x == v] for v in uni}
+
+    def prob(v, w):
+        p, level = (uni[w] + 0.1) / floor, quantised(np.array([pairs[v, w]])) if pairs[v, w] else np.array([0])
+        mass, followers = (sum(after[v]), len(after[v])) if v in after else (0, 0)
+        return float(pair_probability(np.array([p]), level, np.array([float(mass)]), np.array([float(followers)]))[0])
+
+    for v in [*uni, "never"]:
+        assert abs(sum(prob(v, w) for w in uni) + prob(v, "never") - 1) < 1e-9
+    assert all(prob("rare", w) > 2 * prob("always", w) for v, w in pairs if v == "rare")
+    got = {r.doc_id: r.score for r in lm_scores(docs_of(rows), **options).collect()}
+    for d, w in tokens.items():
+        assert abs(got[d] - sum(math.log10(prob(*p)) for p in zip(w, w[1:]))) < 1e-6
+
+
 def test_forward_sums_all_segmentations():
     pieces = Pieces(P.path("piece_bpe_32k.model"))
     rng = np.random.default_rng(3)

@@ -5,8 +5,8 @@ piece; a word's probability is the sum over all its segmentations into pieces, t
 forward algorithm, and the probabilities are fitted by expectation maximisation (forward and
 backward sums).  Words of one length are scored together as arrays.
 
-The fit uses at most about FIT_DOCS labelled texts (chosen by a hash of their id); every text
-is scored whole.  A text that is null or has no letter is ``und`` with score 0, as is every
+The fit uses about FIT_DOCS labelled texts of every language (chosen by a hash of their id and
+text; all texts of a language that has no more); every text is scored whole.  A text that is null or has no letter is ``und`` with score 0, as is every
 text if nothing could be learned; ties go to the smaller language code; repeated rows are
 scored each; an empty table gives an empty result; further columns are ignored.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from stockspark.llm.common import U64, column, mix, stored, text_chunks
 
-#: Labelled texts that the fit uses, and its rounds.
+#: Labelled texts of each language that the fit uses, and its rounds.
 FIT_DOCS, ROUNDS = 4_000, 2
 #: Tasks of one round; each sends one table of pieces x languages numbers.
 FIT_TASKS = 12
@@ -160,14 +160,26 @@ def _normal(uses: np.ndarray) -> np.ndarray:
     return np.concatenate((p / p.sum(axis=0), np.full((1, uses.shape[1]), _UNKNOWN)))
 
 
+def _drawn():
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+
+
+def fit_sample(labelled: DataFrame, sizes: list, fit_docs: int) -> DataFrame:
+    """About fit_docs texts of every language, at least one; all where there are no more. sizes: (lang, n, least draw)."""
+    below = [(r["lang"], max(int((1 << 40) * min(1.0, fit_docs / r["n"])), r["least"] + 1)) for r in sizes]
+    most = labelled.sparkSession.createDataFrame(below, "lang string, below long")
+    return labelled.join(F.broadcast(most), "lang").where(_drawn() < F.col("below")).select(labelled.columns)
+
+
 def fit(labelled: DataFrame, path: str, fit_docs: int = FIT_DOCS, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, log priors, piece probabilities) from (doc_id, text, lang) rows."""
-    per_lang = sorted((r["lang"], r["n"]) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect())
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min(_drawn()).alias("least")).collect()
+    per_lang = sorted((r["lang"], r["n"]) for r in sizes)
     langs, total = [x for x, _ in per_lang], sum(n for _, n in per_lang)
     pieces = Pieces(path) if langs else None
     if not langs:
         return [], np.zeros(0), np.zeros((1, 0))
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, fit_docs / total)) + 1)
+    sample = fit_sample(labelled, sizes, fit_docs)
     place = {x: i for i, x in enumerate(langs)}
 
     def split(batches):

@@ -100,6 +100,14 @@ def test_language_held_out_and_edge_cases(docs_of):
     assert [r.lang_pred for r in identify_languages(docs_of([(1, "abc")]), P.path("piece_bpe_32k.model"), F.lit(True)).collect()] == ["und"]
 
 
+def test_a_rare_language_is_learned_from_its_own_texts(docs_of):
+    rows = [(i, "the house and the garden with old trees", "en") for i in range(3000)]
+    rows += [(5000 + i, "das haus und der garten mit alten bäumen", "de") for i in range(8)]
+    rows += [(6000, "der garten und das haus", None), (6001, "the garden and the house", None)]
+    got = {r.doc_id: r.lang_pred for r in identify_languages(docs_of(rows), P.path("piece_bpe_32k.model"), F.lit(True), fit_docs=20).collect()}
+    assert (got[5000], got[6000], got[6001], got[0]) == ("de", "de", "en", "en")
+
+
 def test_containment(spark, docs_of):
     item = "one two three four five six seven eight nine ten eleven twelve"
     rows = [(1, "start " + item.upper() + " end " * 500), (2, item.replace("six", "x")), (3, None), (4, "say hello world again"), (5, "hello"), (None, item), (6, item), (6, item)]

@@ -229,7 +229,7 @@ def _backup_export(t: Tables):
 def _backup_restore(t: Tables):
     root = scratch(t.spark, "backup")
     A.write_backup(_backup_tables(t), root)
-    _, status = A.read_backup(t.spark, root)
+    _, status = A.read_backup(t.spark, root, own_keys=True)
     return status
 
 
@@ -238,7 +238,7 @@ def _backup_round_trip(t: Tables):
     root = scratch(t.spark, "backup")
     tables = _backup_tables(t)
     A.write_backup(tables, root)
-    restored, _ = A.read_backup(t.spark, root)
+    restored, _ = A.read_backup(t.spark, root, own_keys=True)
     return A.round_trip_diff(tables, restored)
 
 

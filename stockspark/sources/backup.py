@@ -104,13 +104,26 @@ def _first_record_keys(spark: SparkSession, path: str) -> list[str] | None:
         return None
 
 
-def read_backup(spark: SparkSession, root: str, tables: list[str] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+def _all_keys(spark: SparkSession, path: str, name: str) -> list[str] | None:
+    """Every column of the table; None when its folder is absent or empty."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return None if spark.read.text(path).isEmpty() else TABLE_SCHEMAS[name].names
+    except AnalysisException:  # no such folder
+        return None
+
+
+def read_backup(
+    spark: SparkSession, root: str, tables: list[str] | None = None, own_keys: bool = False
+) -> tuple[dict[str, DataFrame], DataFrame]:
     """Restore tables from a backup directory.
 
     Per table: known tables are read with their schema in PERMISSIVE mode;
-    rows that do not parse are skipped and counted.  As in the reference,
-    only the keys of the table's first record are restored (other columns
-    become NULL).  Unknown or empty tables are reported as 'skipped'.
+    rows that do not parse are skipped and counted.  With ``own_keys`` every
+    record is restored by its own keys; without, as in the reference, only
+    the keys of the table's first record are (other columns become NULL).
+    Unknown or empty tables are reported as 'skipped'.
     Returns ({table: DataFrame}, status(table, status, restored, total)).
     """
     names = tables
@@ -121,7 +134,9 @@ def read_backup(spark: SparkSession, root: str, tables: list[str] | None = None)
     status = []
     for name in names:
         path = f"{root}/data/{name}"
-        keys = _first_record_keys(spark, path) if name in BACKUP_TABLES else None
+        keys = None
+        if name in BACKUP_TABLES:
+            keys = _all_keys(spark, path, name) if own_keys else _first_record_keys(spark, path)
         if name not in BACKUP_TABLES or keys is None:
             status.append(literal_rows(spark, [(name, "skipped", 0, 0)], "table string, status string, restored bigint, total bigint"))
             continue

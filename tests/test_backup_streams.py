@@ -55,6 +55,21 @@ def test_restore_first_record_keys_unknown_table_and_bad_rows(spark):
     assert rows == [(1, "A", None), (2, "B", None)]
 
 
+def test_restore_takes_each_records_own_keys(spark):
+    root = _scratch(spark, "bk")
+    os.makedirs(f"{root}/data/staff")
+    with open(f"{root}/data/staff/part-0.json", "w") as fh:
+        fh.write("{broken json\n")  # no reason to skip the table
+        fh.write(json.dumps({"id": 1, "name": "A"}) + "\n")
+    with open(f"{root}/data/staff/part-1.json", "w") as fh:
+        fh.write(json.dumps({"id": 2, "name": "B", "email": "b@x.io"}) + "\n")
+        fh.write(json.dumps({"phone": "7", "id": 3}) + "\n")
+    frames, status = A.read_backup(spark, root, ["staff", "budget"], own_keys=True)
+    assert {r.table: (r.status, r.restored, r.total) for r in status.collect()} == {"staff": ("completed", 3, 4), "budget": ("skipped", 0, 0)}
+    rows = sorted((r.id, r.name, r.email, r.phone) for r in frames["staff"].collect())
+    assert rows == [(1, "A", None, None), (2, "B", "b@x.io", None), (3, None, None, "7")]
+
+
 def test_table_preview_rejects_unknown_names(spark):
     tables, _ = _tables(spark)
     try:

@@ -274,3 +274,14 @@ def _daily_sales_stream(t: Tables):
         q = ST.start_daily_sales_stream(spark, f"{root}/sales", f"{root}/out", f"{root}/checkpoint")
         q.awaitTermination()
     return spark.read.parquet(f"{root}/out")
+
+
+@register("daily_sales_stream_open_days")
+def _daily_sales_stream_open_days(t: Tables):
+    spark = t.spark
+    root = scratch(spark, "daily-stream")
+    for wave in _waves(t.sales, "sale_date"):
+        wave.write.mode("append").parquet(f"{root}/sales")
+        q = ST.start_daily_sales_stream(spark, f"{root}/sales", f"{root}/out", f"{root}/checkpoint", open_days=True)
+        q.awaitTermination()
+    return ST.read_daily_sales(spark, f"{root}/out")

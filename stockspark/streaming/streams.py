@@ -9,7 +9,10 @@ becomes effectively exactly-once.
 
 S2 ``daily_sales_stream``: per-day revenue and count with a watermark and
 1-day tumbling windows in append mode; late rows within the watermark are
-still counted, a day is emitted once the watermark passes its end.
+still counted, a day is emitted once the watermark passes its end.  With
+``open_days`` it runs in update mode instead: every batch writes the days it
+changed, open ones included, and ``read_daily_sales`` takes the latest row of
+each date.
 """
 
 from __future__ import annotations
@@ -105,8 +108,12 @@ def start_daily_sales_stream(
     checkpoint: str,
     watermark: str = "1 day",
     state_partitions: int | None = None,
+    open_days: bool = False,
 ) -> StreamingQuery:
-    """Append closed days to Parquet under ``output_dir``.
+    """Append closed days to Parquet under ``output_dir``; with ``open_days`` upsert all days by date.
+
+    An upsert is one folder ``batch=N`` of changed days, overwritten when the
+    batch is replayed; ``read_daily_sales`` reads them.
 
     The state holds one row per open day, so it needs few partitions; their
     number is fixed when the query first starts (Spark keeps it in the
@@ -116,15 +123,19 @@ def start_daily_sales_stream(
     sales = spark.readStream.schema(SALES).parquet(sales_dir)
     previous = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(output_dir, f"batch={batch_id}"))
+
     try:
-        return (
-            daily_sales(sales, watermark)
-            .writeStream.outputMode("append")
-            .format("parquet")
-            .option("path", output_dir)
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
-            .start()
-        )
+        writer = daily_sales(sales, watermark).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        if open_days:
+            return writer.outputMode("update").foreachBatch(upsert).start()
+        return writer.outputMode("append").format("parquet").option("path", output_dir).start()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", previous)
+
+
+def read_daily_sales(spark: SparkSession, output_dir: str) -> DataFrame:
+    """The latest row of each date that the ``open_days`` stream wrote."""
+    latest = F.max_by(F.struct("revenue", "sales_count"), "batch").alias("r")
+    return spark.read.parquet(output_dir).groupBy("date").agg(latest).select("date", "r.revenue", "r.sales_count")

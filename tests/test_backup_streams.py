@@ -127,6 +127,17 @@ def test_daily_stream_emits_closed_days(spark):
     assert out.groupBy("date").count().filter("count > 1").count() == 0
 
 
+def test_daily_stream_with_open_days_has_every_sale(spark):
+    _, t = _tables(spark)
+    root = _scratch(spark, "s2open")
+    for part in (F.col("id") % 2 == 0, F.col("id") % 2 == 1):  # the second half changes days of the first
+        t.sales.filter(part).write.mode("append").parquet(f"{root}/sales")
+        ST.start_daily_sales_stream(spark, f"{root}/sales", f"{root}/out", f"{root}/ckpt", watermark="100000 days", open_days=True).awaitTermination()
+    got = {r.date: (r.revenue, r.sales_count) for r in ST.read_daily_sales(spark, f"{root}/out").collect()}
+    days = t.sales.groupBy(F.to_date("sale_date").alias("date")).agg(F.sum("total_price").alias("r"), F.count("*").alias("n"))
+    assert got == {r.date: (r.r, r.n) for r in days.collect() if r.date is not None}
+
+
 def test_backup_records_cover_every_row(spark):
     tables, _ = _tables(spark)
     rec = A.backup_records(tables)

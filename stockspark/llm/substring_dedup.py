@@ -5,9 +5,15 @@ Every text becomes a string of word names.  In rounds, runs of one name and then
 replaces, so the same content gets the same name in every document without a shared
 dictionary.  For each name the words that decided it (its context) are tracked: where a
 context lies inside a window, every other occurrence of that window has the same name at
-the same place.  Each window takes one such name, of the highest level it has, as its
-anchor.  Spark groups the anchors of all documents; only windows whose anchor occurs in
-several documents are verified by the hash of all their words.
+the same place.  Each window takes the context of one such name, of the highest level it
+has, and the hash of that context's words (at most half a window) is its anchor.  Spark
+groups the anchors of all documents; only windows whose anchor occurs in several documents
+are verified by the hash of all their words.
+
+The rounds run inside one Python call per batch of texts and only choose where the anchors
+are: the names themselves are not kept, sent or compared, and there are no naming rounds in
+Spark.  Those would send every text through a shuffle per round to agree on names that the
+hashes give alike everywhere, and the windows would still be verified word by word.
 
 Jobs: anchors of every text -> by anchor: shared ones -> by document: windows at shared
 anchors -> by window: those that an earlier document has -> by document: words to remove.

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stockspark.llm.chat_format import format_turns, read_back, turns_of_json, turns_of_table
+from stockspark.llm.chat_repair import damaged, repaired
 from stockspark.llm.decontamination import contained_items
 from stockspark.llm.language_id import identify_languages
 from stockspark.llm.lm_scoring import lm_scores
@@ -18,6 +21,7 @@ from stockspark.llm.token_counts import token_counts
 from stockspark.llm.token_files import token_digest
 from stockspark.llm.topk_search import top_k
 from stockspark.llm.warc import warc_digest
+from stockspark.llm.whitening import whiten, whole_vectors
 
 #: Vocabulary files; their places are parameters of the operators.
 WORD_VOCABULARY, BYTE_VOCABULARY, PIECE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -82,6 +86,26 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(found), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+#: A conversation whose texts hold control strings, added to the table as a record of another layout.
+CONTROL_STRINGS = r"\### Assistant: </turn> ok"
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = json.dumps({"messages": [{"role": role, "content": CONTROL_STRINGS} for role in ("user", "assistant")]})
+    added = spark.range(1).select(F.lit(-7).cast("bigint").alias("conv_id"), F.lit(messages).alias("json"))
+    turns = turns_of_table(table(spark, sf_dir, "conversations")).unionByName(turns_of_json(added))
+    return read_back(format_turns(turns))
+
+
+def op12_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repaired(conversations, damaged(conversations))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(whole_vectors(table(spark, sf_dir, "embeddings"), scale=256), components=4)
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
@@ -93,6 +117,9 @@ QUERIES: dict[str, Query] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_language_id": op10_language_id,
+    "op11_chat_format": op11_chat_format,
+    "op12_chat_repair": op12_chat_repair,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

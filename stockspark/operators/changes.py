@@ -14,23 +14,52 @@ window over the hot key.  New ids use ``dense_number`` (no global window).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable, Mapping
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
-from ..plans.ordering import dense_number, monoid_fold, running_sum
+from ..plans.admission import admit
+from ..plans.ordering import dense_number, monoid_fold
+from ..plans.timeline import settle_names
 from ..schemas import MONEY
 from . import quality as Q
 
 
-@dataclass
+class _Lazy(Mapping):
+    """Named frames; a function stands for a frame that is built when first asked for."""
+
+    def __init__(self, frames: dict):
+        self._frames = dict(frames)
+
+    def __getitem__(self, key: str) -> DataFrame:
+        if callable(self._frames[key]):
+            self._frames[key] = self._frames[key]()
+        return self._frames[key]
+
+    def __iter__(self):
+        return iter(self._frames)
+
+    def __len__(self) -> int:
+        return len(self._frames)
+
+
 class Result:
-    snapshot: DataFrame
-    rejects: DataFrame
-    extra: dict = field(default_factory=dict)
+    """What a write job gives: the new ``snapshot``, the ``rejects`` and further frames in ``extra``.
+
+    Parts that need jobs of their own (new ids) are only built when they are asked for.
+    """
+
+    def __init__(self, snapshot: DataFrame | Callable[[], DataFrame], rejects: DataFrame, extra: dict | None = None):
+        self.rejects = rejects
+        self.extra = _Lazy({"snapshot": snapshot, **(extra or {})})
+
+    @property
+    def snapshot(self) -> DataFrame:
+        return self.extra["snapshot"]
 
 
 def _reject(df: DataFrame, reason: Column | str) -> DataFrame:
@@ -55,25 +84,31 @@ def _first_per_key(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def _name_taken_by_other(req: DataFrame, table: DataFrame, key_col: str) -> DataFrame:
-    """Requests whose ``key_col`` equals the normalised name of a row with another id.
+def _names_granted(table: DataFrame, req: DataFrame) -> DataFrame:
+    """``seq`` of the requests (seq, id, _key) whose name no other row has at their turn (``plans.timeline``)."""
+    holders = table.select("id", S.norm_name("name").alias("key"))
+    return settle_names(holders, req.select("seq", "id", F.col("_key").alias("key"))).select("seq")
 
-    The table side is first reduced to one row per name (count, min id), so
-    a popular name never pairs every request with every row that has it.
-    """
-    names = table.groupBy(S.norm_name("name").alias(key_col)).agg(
-        F.count(F.lit(1)).alias("_cnt"), F.min("id").alias("_min_id")
-    )
-    return (
-        req.join(names, key_col)
-        .filter((F.col("_cnt") > 1) | (F.col("_min_id") != F.col("id")))
-        .select("seq")
-    )
+
+def _time(job_time: str | None) -> Column:
+    """The moment of the job, or NULL where none is given."""
+    return F.to_timestamp_ntz(F.lit(job_time)) if job_time is not None else F.lit(None).cast(T.TimestampNTZType())
+
+
+def _once(build: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+    """``build``, called at most once."""
+    return cache(build)
+
+
+def _numbered(table: DataFrame, rows: DataFrame, order: str = "seq") -> DataFrame:
+    """``rows`` with new ids behind the largest of ``table``, in ``order``."""
+    largest = table.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    return dense_number(rows, order, "id", start=int(largest))
 
 
 # --------------------------------------------------------------- categories
-def category_insert(categories: DataFrame, requests: DataFrame) -> Result:
-    """Requests (seq, name, description)."""
+def category_insert(categories: DataFrame, requests: DataFrame, job_time: str | None = None) -> Result:
+    """Requests (seq, name, description); new rows are created at ``job_time``."""
     clean = F.trim(F.col("name"))
     req = requests.withColumn("_clean", clean)
     valid_len = F.coalesce(F.length("_clean").between(2, 50), F.lit(False))
@@ -83,21 +118,19 @@ def category_insert(categories: DataFrame, requests: DataFrame) -> Result:
     new = ok.join(existing, "_key", "left_anti")
     dup_existing = ok.join(existing, "_key", "left_semi")
     first, later = _first_per_key(new, "_key")
-    mx = categories.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_mx")).first()["_mx"]
-    added = dense_number(first, "seq", "id", start=int(mx)).select(
+    added = _once(lambda: _numbered(categories, first).select(
         "id",
         F.col("_esc").alias("name"),
         S.blank_to_null("description").alias("description"),
-        F.lit(None).cast(T.TimestampNTZType()).alias("created_at"),
+        _time(job_time).alias("created_at"),
         "seq",
-    )
+    ))
     rejects = _union_all([
         _reject(bad, "invalid_name"),
         _reject(dup_existing, "duplicate_name"),
         _reject(later, "duplicate_name"),
     ])
-    snapshot = categories.unionByName(added.drop("seq"))
-    return Result(snapshot, rejects, {"added": added})
+    return Result(lambda: categories.unionByName(added().drop("seq")), rejects, {"added": added})
 
 
 def category_dedupe(categories: DataFrame, inventory: DataFrame) -> Result:
@@ -118,8 +151,9 @@ def category_dedupe(categories: DataFrame, inventory: DataFrame) -> Result:
 def category_update(categories: DataFrame, requests: DataFrame) -> Result:
     """Requests (seq, id, name, description); the last request per id wins.
 
-    Duplicate names are checked against *other* ids of the snapshot before
-    the batch; unknown ids are rejected.
+    A name is refused while another row has it, in ``seq`` order: names taken
+    earlier in the batch count, names given up earlier are free.  Unknown ids
+    are rejected.
     """
     req = requests.withColumn("_clean", F.trim("name")).withColumn("_key", F.lower("_clean"))
     missing = req.filter(F.col("_clean").isNull() | (F.col("_clean") == ""))
@@ -127,9 +161,9 @@ def category_update(categories: DataFrame, requests: DataFrame) -> Result:
     ids = categories.select("id")
     unknown = req.join(ids, "id", "left_anti")
     known = req.join(ids, "id", "left_semi")
-    clash = _name_taken_by_other(known, categories, "_key")
-    dup = known.join(clash, "seq", "left_semi")
-    good = known.join(clash, "seq", "left_anti")
+    granted = _names_granted(categories, known)
+    dup = known.join(granted, "seq", "left_anti")
+    good = known.join(granted, "seq", "left_semi")
     last = good.groupBy("id").agg(F.max("seq").alias("seq"))
     chosen = good.join(last, ["id", "seq"]).select(
         "id", F.col("_clean").alias("_new_name"), S.blank_to_null("description").alias("_new_desc")
@@ -156,8 +190,8 @@ def category_delete(categories: DataFrame, inventory: DataFrame, requests: DataF
 
 
 # ---------------------------------------------------------------- inventory
-def inventory_insert(inventory: DataFrame, requests: DataFrame) -> Result:
-    """E5: requests with inventory columns + seq; F1 rules, then name checks."""
+def inventory_insert(inventory: DataFrame, requests: DataFrame, job_time: str | None = None) -> Result:
+    """E5: requests with inventory columns + seq; F1 rules, then name checks; created and updated at ``job_time``."""
     checked = Q.check(requests, Q.INVENTORY_RULES)
     invalid = checked.filter(F.size("failed_rules") > 0)
     ok = checked.filter(F.size("failed_rules") == 0).withColumn("_trim", F.trim("name")).withColumn(
@@ -167,18 +201,20 @@ def inventory_insert(inventory: DataFrame, requests: DataFrame) -> Result:
     new = ok.join(existing, "_key", "left_anti")
     dup = ok.join(existing, "_key", "left_semi")
     first, later = _first_per_key(new, "_key")
-    mx = inventory.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_mx")).first()["_mx"]
-    added = dense_number(first, "seq", "id", start=int(mx))
-    added = added.withColumn("name", F.col("_trim"))
-    cols = [F.col(c) if c in added.columns else F.lit(None).alias(c) for c in inventory.columns]
-    added_rows = added.select(*cols, "seq")
-    added_rows = added_rows.select(*[F.col(f.name).cast(f.dataType) for f in inventory.schema.fields], "seq")
+
+    def rows() -> DataFrame:
+        added = _numbered(inventory, first).withColumn("name", F.col("_trim"))
+        now = {c: _time(job_time) for c in ("created_at", "updated_at")}
+        cols = [now.get(f.name, F.col(f.name) if f.name in added.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in inventory.schema.fields]
+        return added.select(*cols, "seq")
+
+    added = _once(rows)
     rejects = _union_all([
         invalid.select(F.col("seq").cast("bigint").alias("seq"), F.concat(F.lit("invalid:"), F.array_join("failed_rules", ",")).alias("reason")),
         _reject(dup, "duplicate_name"),
         _reject(later, "duplicate_name"),
     ])
-    return Result(inventory.unionByName(added_rows.drop("seq")), rejects, {"added": added_rows})
+    return Result(lambda: inventory.unionByName(added().drop("seq")), rejects, {"added": added})
 
 
 UPDATABLE_INVENTORY = ["name", "description", "category_id", "sku", "quantity", "min_quantity", "unit_price", "supplier", "location"]
@@ -220,8 +256,8 @@ def inventory_update(inventory: DataFrame, requests: DataFrame, job_time: str) -
     """Requests (seq, id, fields ARRAY<STRING>, new_<column>...).
 
     Only listed fields change; each field takes the value of the last request
-    that sets it; a new name that equals another item's name
-    (case-insensitive, trimmed) is rejected.
+    that sets it; a new name that another item has at that moment
+    (case-insensitive, trimmed; in ``seq`` order) is rejected.
     """
     req = requests
     no_fields = req.filter(F.coalesce(F.size("fields"), F.lit(0)) <= 0)
@@ -237,9 +273,10 @@ def inventory_update(inventory: DataFrame, requests: DataFrame, job_time: str) -
     ids = inventory.select("id")
     unknown = req.join(ids, "id", "left_anti")
     known = req.join(ids, "id", "left_semi").withColumn("new_name", F.when(sets("name"), F.trim("new_name")))
-    clash = _name_taken_by_other(known.filter(sets("name")).withColumn("_key", F.lower("new_name")), inventory, "_key")
-    dup = known.join(clash, "seq", "left_semi")
-    good = known.join(clash, "seq", "left_anti")
+    named = known.filter(sets("name")).select("seq", "id", F.lower("new_name").alias("_key"))
+    refused = named.join(_names_granted(inventory, named), "seq", "left_anti")
+    dup = known.join(refused, "seq", "left_semi")
+    good = known.join(refused, "seq", "left_anti")
     merged = _merged_updates(good, UPDATABLE_INVENTORY)
     snapshot = _partial_update(inventory, merged, UPDATABLE_INVENTORY, "updated_at", job_time)
     rejects = _union_all([
@@ -336,137 +373,25 @@ def stock_adjust(inventory: DataFrame, ops: DataFrame, job_time: str | None = No
 
 
 # ------------------------------------------------------------- sales
-# Candidate requests per item above which the per-item fold (one sorted
-# array per item, whose state array is rewritten at every step) is replaced
-# by the round-based path that never gathers an item's requests.
-HOT_ITEM_REQUESTS = 5_000
-# Largest id list broadcast to every task (8 bytes each: 8 MB).
-MAX_BROADCAST_IDS = 1_000_000
-
-_ORDER = ["requested_at", "request_id"]
-
-
-def _pos(prefix: str = "") -> Column:
-    return F.struct(F.col(prefix + "requested_at").alias("t"), F.col(prefix + "request_id").alias("r"))
-
-
-def _fold_items(cand: DataFrame) -> DataFrame:
-    """Per-item ordered fold for items with a bounded number of candidates.
-
-    Returns one row per item: the sorted requests ``_r`` and the final state
-    ``_s`` (stock, accepted ids).  The state keeps only the accepted ids (at
-    most starting-stock many), so arrays stay small.
-    """
-    state0 = F.struct(
-        F.col("_q0").cast("bigint").alias("stock"),
-        F.array().cast(T.ArrayType(T.LongType())).alias("ids"),
-    )
-
-    def step(acc, r):
-        fits = acc["stock"] >= r["quantity"]
-        return F.struct(
-            F.when(fits, acc["stock"] - r["quantity"]).otherwise(acc["stock"]).alias("stock"),
-            F.when(fits, F.concat(acc["ids"], F.array(r["request_id"]))).otherwise(acc["ids"]).alias("ids"),
-        )
-
-    return (
-        cand.groupBy("item_id", "_q0")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct(*_ORDER, F.col("quantity").cast("bigint").alias("quantity")))
-            ).alias("_r")
-        )
-        .select("item_id", "_r", F.aggregate("_r", state0, step).alias("_s"))
-    )
-
-
-def _rounds_items(cand: DataFrame, hot_threshold: int) -> tuple[DataFrame, DataFrame]:
-    """Exact sale posting for hot items without gathering their requests.
-
-    Each round, per item with stock s after position p: requests asking more
-    than s are rejected (stock never rises); running sums P of the rest (in
-    order, computed by ``running_sum``) accept every request with P <= s up
-    to the first request j with P > s, which is rejected; the item continues
-    from j with stock s - (P_j - q_j).  Every round decides at least one
-    request per item.  An item whose undecided requests drop to
-    ``hot_threshold`` leaves the rounds and finishes in the per-item fold,
-    starting from its current stock.  The rows feeding the next round (state,
-    undecided requests) and the running-sum partitions are checkpointed.
-    """
-    pending = cand.select("item_id", "request_id", "requested_at", "quantity").checkpoint(eager=True)
-    state = cand.select("item_id", F.col("_q0").cast("bigint").alias("_s")).distinct().checkpoint(eager=True)
-    accepted_parts = []
-    done_stock = []
-    while True:
-        counts = pending.groupBy("item_id").agg(F.count(F.lit(1)).alias("_n"))
-        st = state.join(counts, "item_id", "left")
-        # nothing left to decide: the item keeps its current stock
-        done_stock.append(st.filter(F.col("_n").isNull()).select("item_id", F.col("_s").alias("stock")))
-        # few undecided requests left: finish in the one-shuffle fold
-        small = st.filter(F.col("_n") <= hot_threshold).select("item_id", F.col("_s").alias("_q0"))
-        folded = _fold_items(pending.join(small, "item_id"))
-        accepted_parts.append(folded.select("item_id", F.explode("_s.ids").alias("request_id")))
-        done_stock.append(folded.select("item_id", F.col("_s.stock").alias("stock")))
-        state = st.filter(F.col("_n") > hot_threshold).select("item_id", "_s").checkpoint(eager=True)
-        if state.isEmpty():
-            break
-        pending = pending.join(state.select("item_id"), "item_id", "left_semi")
-
-        j = pending.join(state, "item_id")
-        fits = j.filter(F.col("quantity") <= F.col("_s"))
-        pref = running_sum(fits, "item_id", _ORDER, "quantity", "_p")
-        first_bad = (
-            pref.filter(F.col("_p") > F.col("_s"))
-            .groupBy("item_id")
-            .agg(F.min(F.struct(_pos().alias("pos"), F.col("_p"), F.col("quantity"))).alias("_fb"))
-        )
-        tagged = pref.join(first_bad, "item_id", "left").withColumn("_at", _pos())
-        no_bad = F.col("_fb").isNull()
-        accepted_parts.append(tagged.filter(no_bad | (F.col("_at") < F.col("_fb.pos"))).select("item_id", "request_id"))
-        # items without a blocking request are finished: stock = s - total accepted
-        finished = tagged.filter(no_bad).groupBy("item_id").agg((F.first("_s") - F.max("_p")).alias("stock"))
-        done_stock.append(finished)
-        # items that had no fitting request at all keep their stock
-        idle = state.join(pref.select("item_id").distinct(), "item_id", "left_anti").select(
-            "item_id", F.col("_s").alias("stock")
-        )
-        done_stock.append(idle)
-        nxt_state = first_bad.join(state, "item_id").select(
-            "item_id", (F.col("_s") - (F.col("_fb._p") - F.col("_fb.quantity"))).alias("_s")
-        )
-        remaining = tagged.filter(~no_bad & (F.col("_at") > F.col("_fb.pos"))).select(
-            "item_id", "request_id", "requested_at", "quantity"
-        )
-        state = nxt_state.checkpoint(eager=True)
-        pending = remaining.checkpoint(eager=True)
-    accepted = accepted_parts[0]
-    for a in accepted_parts[1:]:
-        accepted = accepted.unionByName(a)
-    stock = done_stock[0]
-    for d in done_stock[1:]:
-        stock = stock.unionByName(d)
-    return accepted, stock.groupBy("item_id").agg(F.min("stock").alias("stock"))
-
-
-def sale_post(inventory: DataFrame, requests: DataFrame, hot_threshold: int = HOT_ITEM_REQUESTS) -> Result:
+def sale_post(
+    inventory: DataFrame, requests: DataFrame, job_time: str | None = None, sales: DataFrame | None = None, slice_rows: int | None = None
+) -> Result:
     """Sale requests applied per item in (requested_at, request_id) order.
 
     Requests failing the F2 rules are rejected as 'invalid:<rules>'.  A valid
     request is accepted when the item exists and its current stock covers
-    the quantity; the stock then drops.  Returns the new inventory snapshot
-    (``snapshot``), rejects, ``outcomes`` (request_id, item_id, status) and
-    ``accepted`` sales rows (total_price = quantity * unit_price).
+    the quantity; the stock then drops and the item is updated at
+    ``job_time``.  Returns the new inventory snapshot (``snapshot``), the
+    items that changed (``changed``), rejects, ``outcomes`` (request_id,
+    item_id, status) and ``accepted`` sales rows (total_price = quantity *
+    unit_price), numbered behind ``sales`` where that table is given.
 
     Requests asking for more than the starting stock can never pass (stock
-    only falls), so they are rejected before any ordering work.  Items with
-    at most ``hot_threshold`` remaining candidates are folded in one shuffle;
-    hotter items go through the round-based path, so no task ever holds one
-    item's whole request list.
+    only falls), so they are rejected before any ordering work; the others
+    are admitted in order by ``plans.admission``, where no task holds an
+    item's requests.  That runs once, however many results are used.
     """
     stock = inventory.select(F.col("id").alias("item_id"), F.col("quantity").alias("_q0"))
-    # One left join decides every request that needs no ordering: invalid
-    # (F2 rules), unknown item, or more than the starting stock (stock only
-    # falls, so such a request can never pass).
     tagged = Q.check(requests, Q.SALES_RULES).join(stock, "item_id", "left").withColumn(
         "_st0",
         F.when(F.size("failed_rules") > 0, F.concat(F.lit("invalid:"), F.array_join("failed_rules", ",")))
@@ -474,67 +399,43 @@ def sale_post(inventory: DataFrame, requests: DataFrame, hot_threshold: int = HO
         .when(~F.coalesce(F.col("quantity") <= F.col("_q0"), F.lit(False)), F.lit("insufficient_stock")),
     )
     decided = tagged.filter(F.col("_st0").isNotNull()).select("request_id", "item_id", F.col("_st0").alias("status"))
-    cand = tagged.filter(F.col("_st0").isNull()).drop("_st0", "failed_rules")
-
-    sizes = cand.groupBy("item_id").agg(F.count(F.lit(1)).alias("_n"))
-    hot_ids = sizes.filter(F.col("_n") > hot_threshold).select("item_id")
-    # Hot items number at most (all requests / threshold); the id list is
-    # broadcast only when the counted size is small, else Spark joins it.
-    hot_count = hot_ids.count()
-    if hot_count:
-        hot_ids = hot_ids.checkpoint(eager=True)
-        if hot_count <= MAX_BROADCAST_IDS:
-            hot_ids = F.broadcast(hot_ids)
-        normal = cand.join(hot_ids, "item_id", "left_anti")
-        hot = cand.join(hot_ids, "item_id", "left_semi")
-    else:
-        normal = cand
-
-    folded = _fold_items(normal)
-    # Candidate outcomes straight from each item's sorted requests.
-    cand_out = folded.select("item_id", F.explode("_r").alias("r"), F.col("_s.ids").alias("ids")).select(
-        F.col("r.request_id").alias("request_id"),
-        "item_id",
-        F.when(F.array_contains("ids", F.col("r.request_id")), F.lit("accepted"))
-        .otherwise(F.lit("insufficient_stock"))
-        .alias("status"),
-    )
-    accepted_ids = folded.select("item_id", F.explode("_s.ids").alias("request_id"))
-    new_stock = folded.select("item_id", F.col("_s.stock").alias("stock"))
-    if hot_count:
-        acc_h, stock_h = _rounds_items(hot, hot_threshold)
-        hot_out = hot.join(acc_h.withColumn("_acc", F.lit(True)), ["item_id", "request_id"], "left").select(
-            "request_id",
+    judged = admit(tagged.filter(F.col("_st0").isNull()).withColumn("stock", F.col("_q0")), slice_rows)
+    status = F.when(F.col("accepted"), F.lit("accepted")).otherwise(F.lit("insufficient_stock"))
+    outcomes = decided.unionByName(judged.select("request_id", "item_id", status.alias("status")))
+    passed = judged.filter("accepted")
+    sold = passed.groupBy(F.col("item_id").alias("id")).agg(F.sum("quantity").alias("_sold"))
+
+    def after(how: str) -> DataFrame:
+        now = {"quantity": (F.col("quantity") - F.col("_sold")).cast("int")}
+        if job_time is not None:
+            now["updated_at"] = _time(job_time)
+        cols = [F.when(F.col("_sold").isNotNull(), now[c]).otherwise(F.col(c)).alias(c) if c in now else F.col(c) for c in inventory.columns]
+        return inventory.join(sold, "id", how).select(*cols)
+
+    def accepted() -> DataFrame:
+        rows = requests.join(passed.select("item_id", "request_id"), ["item_id", "request_id"], "left_semi")
+        if sales is None:
+            rows = rows.withColumn("id", F.col("request_id"))
+        else:
+            rows = _numbered(sales, rows.withColumn("_turn", F.struct("requested_at", "request_id")), "_turn")
+        return rows.select(
+            "id",
             "item_id",
-            F.when(F.col("_acc"), F.lit("accepted")).otherwise(F.lit("insufficient_stock")).alias("status"),
+            "quantity",
+            "unit_price",
+            (F.col("quantity") * F.col("unit_price")).cast(MONEY).alias("total_price"),
+            "customer_name",
+            "customer_phone",
+            "staff_id",
+            F.col("requested_at").alias("sale_date"),
+            "payment_method",
+            "notes",
         )
-        cand_out = cand_out.unionByName(hot_out)
-        accepted_ids = accepted_ids.unionByName(acc_h)
-        new_stock = new_stock.unionByName(stock_h)
-    new_stock = new_stock.select(F.col("item_id").alias("_iid"), F.col("stock").cast("int").alias("_new_q"))
-    outcomes = decided.unionByName(cand_out)
-    snapshot = (
-        inventory.join(new_stock, inventory.id == new_stock._iid, "left")
-        .withColumn("quantity", F.coalesce("_new_q", "quantity"))
-        .select(inventory.columns)
-    )
-    accepted = requests.join(accepted_ids, ["item_id", "request_id"], "left_semi").select(
-        F.col("request_id").alias("id"),
-        "item_id",
-        "quantity",
-        "unit_price",
-        (F.col("quantity") * F.col("unit_price")).cast(MONEY).alias("total_price"),
-        "customer_name",
-        "customer_phone",
-        "staff_id",
-        F.col("requested_at").alias("sale_date"),
-        "payment_method",
-        "notes",
-    )
+
     rejects = outcomes.filter(F.col("status") != "accepted").select(
         F.col("request_id").alias("seq"), F.col("status").alias("reason")
     )
-    return Result(snapshot, rejects, {"outcomes": outcomes, "accepted": accepted})
+    return Result(lambda: after("left"), rejects, {"outcomes": outcomes, "accepted": accepted, "changed": lambda: after("inner")})
 
 
 def sale_update(sales: DataFrame, requests: DataFrame) -> Result:
@@ -580,16 +481,16 @@ def sale_update(sales: DataFrame, requests: DataFrame) -> Result:
     return Result(snapshot, rejects, {"applied": known.select("seq", "id")})
 
 
-def sale_delete(sales: DataFrame, inventory: DataFrame, requests: DataFrame) -> Result:
-    """Requests (seq, id); deleted quantities go back to their items."""
+def sale_delete(sales: DataFrame, inventory: DataFrame, requests: DataFrame, job_time: str | None = None) -> Result:
+    """Requests (seq, id); deleted quantities go back to their items, which are updated at ``job_time``."""
     _, rejects = _deletes(sales, requests)
     gone = sales.join(requests.select("id").distinct(), "id", "left_semi")
     back = gone.groupBy("item_id").agg(F.sum("quantity").alias("_back"))
-    inv = (
-        inventory.join(back, inventory.id == back.item_id, "left")
-        .withColumn("quantity", (F.col("quantity") + F.coalesce("_back", F.lit(0))).cast("int"))
-        .select(inventory.columns)
-    )
+    now = {"quantity": (F.col("quantity") + F.coalesce("_back", F.lit(0))).cast("int")}
+    if job_time is not None:
+        now["updated_at"] = _time(job_time)
+    cols = [F.when(F.col("_item").isNotNull(), now[c]).otherwise(F.col(c)).alias(c) if c in now else F.col(c) for c in inventory.columns]
+    inv = inventory.join(back.withColumnRenamed("item_id", "_item"), F.col("id") == F.col("_item"), "left").select(*cols)
     snapshot = sales.join(requests.select("id"), "id", "left_anti")
     return Result(snapshot, rejects, {"inventory": inv})
 
@@ -605,8 +506,8 @@ def parse_hire_date(c: Column) -> Column:
     return F.coalesce(*[F.to_date(F.try_to_timestamp(text, F.lit(fmt))) for fmt in HIRE_DATE_FORMATS])
 
 
-def staff_insert(staff: DataFrame, requests: DataFrame) -> Result:
-    """Requests (seq, name, email, phone, position, department, hire_date text, salary text)."""
+def staff_insert(staff: DataFrame, requests: DataFrame, job_time: str | None = None) -> Result:
+    """Requests (seq, name, email, phone, position, department, hire_date text, salary text); created at ``job_time``."""
     text = F.nullif(F.trim(F.col("salary").cast("string")), F.lit(""))
     req = requests.withColumn("_no_number", text.isNotNull() & text.try_cast(MONEY).isNull()).withColumn("salary", text.try_cast(MONEY))
     checked = Q.check(req, [*Q.STAFF_RULES, ("salary_number", lambda: F.col("_no_number"))]).drop("_no_number")
@@ -619,8 +520,7 @@ def staff_insert(staff: DataFrame, requests: DataFrame) -> Result:
     fresh = with_email.join(taken, "_email", "left_anti")
     first, later = _first_per_key(fresh, "_email")
     accepted = first.drop("_email").unionByName(no_email.drop("_email"))
-    mx = staff.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_mx")).first()["_mx"]
-    added = dense_number(accepted, "seq", "id", start=int(mx)).select(
+    added = _once(lambda: _numbered(staff, accepted).select(
         "id",
         "name",
         "email",
@@ -630,15 +530,15 @@ def staff_insert(staff: DataFrame, requests: DataFrame) -> Result:
         parse_hire_date(F.col("hire_date")).alias("hire_date"),
         "salary",
         F.lit("active").alias("status"),
-        F.lit(None).cast(T.TimestampNTZType()).alias("created_at"),
+        _time(job_time).alias("created_at"),
         "seq",
-    )
+    ))
     rejects = _union_all([
         invalid.select(F.col("seq").cast("bigint").alias("seq"), F.concat(F.lit("invalid:"), F.array_join("failed_rules", ",")).alias("reason")),
         _reject(dup, "duplicate_email"),
         _reject(later, "duplicate_email"),
     ])
-    return Result(staff.unionByName(added.drop("seq")), rejects, {"added": added})
+    return Result(lambda: staff.unionByName(added().drop("seq")), rejects, {"added": added})
 
 
 UPDATABLE_STAFF = ["name", "email", "phone", "position", "department", "hire_date", "salary", "status"]
@@ -684,10 +584,11 @@ def staff_status_update(staff: DataFrame, requests: DataFrame) -> Result:
 
 
 # ------------------------------------------------------------------- budget
-def budget_insert(budget: DataFrame, requests: DataFrame) -> Result:
+def budget_insert(budget: DataFrame, requests: DataFrame, job_time: str | None = None) -> Result:
     """Requests (seq, category, amount, spent, month_year text).
 
     Stored month is normalised to 'YYYY-MM'; (category, month) must be new.
+    New rows are created at ``job_time``.
     """
     y, m = S.parse_month_year(F.col("month_year"))
     req = requests.withColumn("_y", y).withColumn("_m", m)
@@ -701,23 +602,22 @@ def budget_insert(budget: DataFrame, requests: DataFrame) -> Result:
     dup = ok.join(taken, "_key", "left_semi")
     fresh = ok.join(taken, "_key", "left_anti")
     first, later = _first_per_key(fresh, "_key")
-    mx = budget.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_mx")).first()["_mx"]
-    added = dense_number(first, "seq", "id", start=int(mx)).select(
+    added = _once(lambda: _numbered(budget, first).select(
         "id",
         "category",
         F.col("amount").cast(MONEY).alias("amount"),
         F.coalesce(F.col("spent").cast(MONEY), F.lit(0).cast(MONEY)).alias("spent"),
         F.col("_ym").alias("month_year"),
-        F.lit(None).cast(T.TimestampNTZType()).alias("created_at"),
+        _time(job_time).alias("created_at"),
         "seq",
-    )
+    ))
     rejects = _union_all([
         invalid.select(F.col("seq").cast("bigint").alias("seq"), F.concat(F.lit("invalid:"), F.array_join("failed_rules", ",")).alias("reason")),
         _reject(bad_month, "invalid_month"),
         _reject(dup, "duplicate_budget"),
         _reject(later, "duplicate_budget"),
     ])
-    return Result(budget.unionByName(added.drop("seq")), rejects, {"added": added})
+    return Result(lambda: budget.unionByName(added().drop("seq")), rejects, {"added": added})
 
 
 def budget_update(budget: DataFrame, requests: DataFrame) -> Result:
@@ -742,10 +642,12 @@ def budget_update(budget: DataFrame, requests: DataFrame) -> Result:
 def transaction_post(budget: DataFrame, transactions: DataFrame, requests: DataFrame) -> Result:
     """Requests (seq, type, amount, description, category, date, staff_id).
 
-    Valid requests are appended; every expense adds its amount to the budget
-    row of (category, month of the transaction date).  No matching budget ->
-    no budget change.  Expenses are summed per (category, month) before the
-    join, so the budget join sees one row per key.
+    Valid requests are appended to ``transactions`` with new ids, in ``seq``
+    order; every expense adds its amount to the budget row of (category,
+    month of the transaction date).  No matching budget -> no budget change.
+    Expenses are summed per (category, month) before the join, so the budget
+    join sees one row per key.  ``posted`` has the new rows with their seq,
+    ``transactions`` the whole new table.
     """
     checked = Q.check(requests, Q.TRANSACTION_RULES)
     invalid = checked.filter(F.size("failed_rules") > 0)
@@ -760,9 +662,11 @@ def transaction_post(budget: DataFrame, transactions: DataFrame, requests: DataF
         .withColumn("spent", (F.col("spent") + F.coalesce("_add", F.lit(0))).cast(MONEY))
         .select(budget.columns)
     )
-    appended = ok.select(F.col("seq").alias("id"), "type", F.col("amount").cast(MONEY).alias("amount"), "description", "category", "date", "staff_id")
+    posted = _once(lambda: _numbered(transactions, ok).select(
+        "id", "type", F.col("amount").cast(MONEY).alias("amount"), "description", "category", "date", "staff_id", "seq"
+    ))
     rejects = invalid.select(F.col("seq").cast("bigint").alias("seq"), F.concat(F.lit("invalid:"), F.array_join("failed_rules", ",")).alias("reason"))
-    return Result(snapshot, rejects, {"transactions": appended})
+    return Result(snapshot, rejects, {"posted": posted, "transactions": lambda: transactions.unionByName(posted().drop("seq"))})
 
 
 # ---------------------------------------------------------------- E18 remap

@@ -142,9 +142,14 @@ category_update_requests AS (
          CASE WHEN id % 2 = 0 THEN lower(trim(name)) || ' line' ELSE 'pumps' END AS name,
          'updated' AS description
   FROM categories_dirty
+  UNION ALL SELECT id + 1 + 1000000000000000000, id + 1, name, 'shifted' FROM categories
+  UNION ALL SELECT id + 2000000000000000000, id, ' Common ', 'common' FROM categories WHERE id % 3 = 0
 )""",
     "category_delete_requests": """
-category_delete_requests AS (SELECT id AS seq, id FROM categories_dirty)""",
+category_delete_requests AS (
+  SELECT id AS seq, id FROM categories_dirty
+  UNION ALL SELECT id + 1000000000000000000, id FROM categories_dirty WHERE id % 2 = 1
+)""",
     "inventory_insert_requests": """
 inventory_insert_requests AS (
   SELECT p_partkey AS seq,
@@ -176,6 +181,14 @@ inventory_update_requests AS (
          CASE p_partkey % 2 WHEN 0 THEN ['quantity'] ELSE ['supplier'] END,
          NULL, 11, NULL, NULL, NULL, NULL, NULL, NULL, NULL
   FROM part WHERE p_partkey % 3 = 0
+  UNION ALL
+  SELECT p_partkey + 2000000000000000000, p_partkey, ['name'], 'Renamed ' || CAST(p_partkey // 12 AS VARCHAR),
+         NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+  FROM part WHERE p_partkey % 6 = 0
+  UNION ALL
+  SELECT p_partkey + 3000000000000000000, p_partkey - 3, ['name', 'supplier'], ' ' || lower(p_name || ' ' || CAST(p_partkey AS VARCHAR)),
+         NULL, NULL, 'Acme', NULL, NULL, NULL, NULL, NULL
+  FROM part WHERE p_partkey % 6 = 0
 )""",
     "rows_delete_requests": """
 rows_delete_requests AS (
@@ -184,10 +197,10 @@ rows_delete_requests AS (
 )""",
     "sale_update_requests": """
 sale_update_requests AS (
-  SELECT id AS seq, id,
-         CASE id % 4 WHEN 0 THEN ['quantity'] WHEN 1 THEN ['unit_price'] WHEN 2 THEN ['customer_name']
-              ELSE ['quantity', 'unit_price'] END AS fields,
-         CAST(CASE WHEN id % 4 = 0 THEN quantity + 1 ELSE 2 END AS INTEGER) AS new_quantity,
+  SELECT id AS seq, CASE WHEN id % 31 = 5 THEN -id ELSE id END AS id,
+         CASE WHEN id % 13 = 0 THEN CAST([] AS VARCHAR[]) WHEN id % 4 = 0 THEN ['quantity'] WHEN id % 4 = 1 THEN ['unit_price']
+              WHEN id % 4 = 2 THEN ['customer_name'] ELSE ['quantity', 'unit_price'] END AS fields,
+         CAST(CASE WHEN id % 44 = 0 THEN 0 WHEN id % 4 = 0 THEN quantity + 1 ELSE 2 END AS INTEGER) AS new_quantity,
          CAST(CASE WHEN id % 4 = 1 THEN 0 ELSE 9.99 END AS DECIMAL(10,2)) AS new_unit_price,
          'Walk-in' AS new_customer_name, CAST(NULL AS VARCHAR) AS new_notes
   FROM sales
@@ -198,7 +211,11 @@ sale_update_requests AS (
   FROM sales WHERE id % 3 = 0
 )""",
     "sale_delete_requests": """
-sale_delete_requests AS (SELECT id AS seq, id FROM sales WHERE notes = 'returned')""",
+sale_delete_requests AS (
+  SELECT id AS seq, id FROM sales WHERE notes = 'returned'
+  UNION ALL SELECT id + 1000000000000000000, id FROM sales WHERE notes = 'returned' AND id % 5 = 0
+  UNION ALL SELECT -id, -id FROM sales WHERE notes = 'returned' AND id % 7 = 0
+)""",
     "staff_insert_requests": """
 staff_insert_requests AS (
   SELECT c_custkey AS seq, c_name AS name,
@@ -209,7 +226,7 @@ staff_insert_requests AS (
          'Clerk' AS position, c_mktsegment AS department,
          CASE c_custkey % 4 WHEN 0 THEN '2020-01-15' WHEN 1 THEN '2021/03/04'
               WHEN 2 THEN '03/04/2022' ELSE 'someday' END AS hire_date,
-         CAST(CAST(c_acctbal AS DECIMAL(10,2)) AS VARCHAR) AS salary
+         CASE WHEN c_custkey % 45 = 7 THEN 'n/a' ELSE CAST(CAST(c_acctbal AS DECIMAL(10,2)) AS VARCHAR) END AS salary
   FROM customer
 )""",
     "staff_update_requests": """
@@ -257,6 +274,25 @@ budget_update_requests AS (
          CASE id % 4 WHEN 0 THEN ['spent'] WHEN 1 THEN ['amount'] ELSE ['amount', 'spent'] END,
          CAST(amount + 700 AS DECIMAL(10,2)), CAST(spent + 3 AS DECIMAL(10,2)), NULL, NULL
   FROM budget WHERE id % 4 <> 3
+)""",
+    "staff_delete_requests": """
+staff_delete_requests AS (
+  SELECT s_suppkey AS seq, CASE WHEN s_suppkey % 4 = 0 THEN -s_suppkey ELSE s_suppkey END AS id FROM supplier WHERE s_suppkey % 3 = 0
+  UNION ALL
+  SELECT s_suppkey + 1000000000000000000, CASE WHEN s_suppkey % 4 = 0 THEN -s_suppkey ELSE s_suppkey END
+  FROM supplier WHERE s_suppkey % 15 = 0
+)""",
+    "budget_delete_requests": """
+budget_delete_requests AS (
+  SELECT id AS seq, id FROM budget WHERE id % 2 = 0
+  UNION ALL SELECT id + 1000000000000000000, id FROM budget WHERE id % 6 = 0
+)""",
+    "transaction_requests": """
+transaction_requests AS (
+  SELECT id AS seq, CASE WHEN id % 17 = 0 THEN 'refund' ELSE type END AS type,
+         CASE WHEN id % 19 = 0 THEN CAST(-1 AS DECIMAL(10,2)) ELSE amount END AS amount,
+         CASE WHEN id % 23 = 0 THEN ' ' ELSE description END AS description, category, date, staff_id
+  FROM transactions
 )""",
     "remap_mapping": """
 remap_mapping AS (

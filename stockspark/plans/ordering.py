@@ -117,3 +117,36 @@ def running_sum(df: DataFrame, key: str, order_cols: list[str], value: str, out:
         .withColumn(out, F.col("_local") + F.col("_off"))
         .drop("_part", "_local", "_off")
     )
+
+
+def next_change(df: DataFrame, key: str, order: str, value: str, fields: list[str], out: str) -> DataFrame:
+    """Add ``out``: ``fields`` of the key's next row, in (unique) ``order``, that has another ``value``; null where none follows.
+
+    Skew-safe: rows are range-partitioned on (key, order), which splits a hot key.  Inside a
+    partition the next row that differs from the row before it is the answer; behind a
+    partition's end three rows per key and partition stand for the rest (its first row, the first
+    that differs from that, its last).  The partitioned rows are checkpointed, as in
+    ``running_sum``.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cell = F.struct(value, F.struct(*fields).alias("f"))
+
+    def following(rows: DataFrame, group: list[str], by: list[str]) -> DataFrame:
+        """``_next``: the next cell of the group that differs in value from the one before it."""
+        sorted_ = Window.partitionBy(*group)
+        differs = F.lag("_cell").over(sorted_.orderBy(*by))[value] != F.col("_cell")[value]
+        marked = rows.withColumn("_start", F.when(differs, F.col("_cell")))
+        behind = sorted_.orderBy(*[F.col(c).desc() for c in by]).rowsBetween(Window.unboundedPreceding, -1)
+        return marked.withColumn("_next", F.last("_start", ignorenulls=True).over(behind))
+
+    parts = df.withColumn("_cell", cell).repartitionByRange(n, key, order).withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)
+    local = following(parts, ["_part", key], [order])
+    edges = local.groupBy(key, "_part").agg(
+        F.min_by("_cell", order).alias("a"), F.min_by("_start", F.when(F.col("_start").isNotNull(), F.col(order))).alias("b"), F.max_by("_cell", order).alias("c")
+    )
+    few = edges.select(key, "_part", F.posexplode(F.array("a", "b", "c")).alias("_i", "_cell")).where("_cell is not null")
+    after = following(few, [key], ["_part", "_i"]).where("_i = 2").select(key, "_part", F.col("_next").alias("_after"))
+    joined = local.join(after, [key, "_part"], "left")
+    return joined.withColumn(out, F.coalesce("_next", "_after")["f"]).drop("_part", "_cell", "_start", "_next", "_after")

@@ -20,6 +20,8 @@ from ..operators import reports as C
 from ..schemas import BACKUP_TABLES
 from ..session import checkpoint_dir, tune_session
 from ..sources import backup as A
+from ..sources import document as DOC
+from ..sources import migration as M
 from ..sources import requests as R
 from ..sources.fixtures import Tables
 from ..streaming import streams as ST
@@ -118,40 +120,72 @@ register("uncategorised_count")(lambda t: C.uncategorised_count(t.inventory))
 # ------------------------------------------------------- E write jobs, F, G
 
 
-register("category_insert")(lambda t: E.category_insert(t.categories, R.category_requests(t)).extra["added"])
+register("category_insert")(lambda t: E.category_insert(t.categories, R.category_requests(t), R.JOB_TIME).extra["added"])
 register("category_insert_rejects")(lambda t: E.category_insert(t.categories, R.category_requests(t)).rejects)
 register("category_dedupe")(lambda t: E.category_dedupe(t.categories_dirty, t.inventory).extra["mapping"])
+register("category_dedupe_categories")(lambda t: E.category_dedupe(t.categories_dirty, t.inventory).snapshot)
+register("category_dedupe_inventory")(
+    lambda t: E.category_dedupe(t.categories_dirty, R.inventory_of_duplicates(t)).extra["inventory"]
+)
 register("category_update")(lambda t: E.category_update(t.categories, R.category_update_requests(t)).snapshot)
+register("category_update_rejects")(lambda t: E.category_update(t.categories, R.category_update_requests(t)).rejects)
 register("category_delete")(
     lambda t: E.category_delete(t.categories, t.inventory, R.category_delete_requests(t)).snapshot
 )
 register("category_delete_rejects")(
     lambda t: E.category_delete(t.categories, t.inventory, R.category_delete_requests(t)).rejects
 )
-register("inventory_insert")(lambda t: E.inventory_insert(t.inventory, R.inventory_insert_requests(t)).extra["added"])
+register("inventory_insert")(
+    lambda t: E.inventory_insert(t.inventory, R.inventory_insert_requests(t), R.JOB_TIME).extra["added"]
+)
 register("inventory_insert_rejects")(
     lambda t: E.inventory_insert(t.inventory, R.inventory_insert_requests(t)).rejects
 )
 register("inventory_update")(
     lambda t: E.inventory_update(t.inventory, R.inventory_update_requests(t), R.JOB_TIME).snapshot
 )
+register("inventory_update_rejects")(
+    lambda t: E.inventory_update(t.inventory, R.inventory_update_requests(t), R.JOB_TIME).rejects
+)
+register("staff_delete")(lambda t: E.rows_delete(t.staff, R.staff_delete_requests(t)).snapshot)
+register("staff_delete_rejects")(lambda t: E.rows_delete(t.staff, R.staff_delete_requests(t)).rejects)
+register("budget_delete")(lambda t: E.rows_delete(t.budget, R.budget_delete_requests(t)).snapshot)
+register("budget_delete_rejects")(lambda t: E.rows_delete(t.budget, R.budget_delete_requests(t)).rejects)
 register("rows_delete")(lambda t: E.rows_delete(t.inventory, R.rows_delete_requests(t)).snapshot)
 register("rows_delete_rejects")(lambda t: E.rows_delete(t.inventory, R.rows_delete_requests(t)).rejects)
-register("stock_adjust")(lambda t: E.stock_adjust(t.inventory, t.stock_ops).snapshot)
+register("stock_adjust")(lambda t: E.stock_adjust(t.inventory, t.stock_ops, R.JOB_TIME).snapshot)
 register("stock_adjust_rejects")(lambda t: E.stock_adjust(t.inventory, t.stock_ops).rejects)
 register("sale_post")(lambda t: E.sale_post(t.inventory, t.sale_requests).extra["outcomes"])
-register("sale_post_stock")(lambda t: E.sale_post(t.inventory, t.sale_requests).snapshot)
-# Same job with a low hot-item bound: busy items take the round-based path.
-register("sale_post_hot")(lambda t: E.sale_post(t.inventory, t.sale_requests, hot_threshold=16).extra["outcomes"])
+register("sale_post_stock")(lambda t: E.sale_post(t.inventory, t.sale_requests, R.JOB_TIME).snapshot)
+register("sale_post_accepted")(lambda t: E.sale_post(t.inventory, t.sale_requests, R.JOB_TIME, t.sales).extra["accepted"])
+# Same job in small slices; then on a few items with very many requests each, so that every item spans many slices.
+register("sale_post_hot")(lambda t: E.sale_post(t.inventory, t.sale_requests, slice_rows=2000).extra["outcomes"])
+register("sale_post_busy")(
+    lambda t: E.sale_post(R.busy_inventory(t), R.busy_requests(t), slice_rows=500).extra["outcomes"]
+)
 register("sale_update")(lambda t: E.sale_update(t.sales, R.sale_update_requests(t)).snapshot)
-register("sale_delete")(lambda t: E.sale_delete(t.sales, t.inventory, R.sale_delete_requests(t)).extra["inventory"])
-register("staff_insert")(lambda t: E.staff_insert(t.staff, R.staff_insert_requests(t)).extra["added"])
+register("sale_update_rejects")(lambda t: E.sale_update(t.sales, R.sale_update_requests(t)).rejects)
+register("sale_delete")(
+    lambda t: E.sale_delete(t.sales, t.inventory, R.sale_delete_requests(t), R.JOB_TIME).extra["inventory"]
+)
+register("sale_delete_sales")(lambda t: E.sale_delete(t.sales, t.inventory, R.sale_delete_requests(t)).snapshot)
+register("sale_delete_rejects")(lambda t: E.sale_delete(t.sales, t.inventory, R.sale_delete_requests(t)).rejects)
+register("staff_insert")(lambda t: E.staff_insert(t.staff, R.staff_insert_requests(t), R.JOB_TIME).extra["added"])
 register("staff_insert_rejects")(lambda t: E.staff_insert(t.staff, R.staff_insert_requests(t)).rejects)
 register("staff_update")(lambda t: E.staff_update(t.staff, R.staff_update_requests(t)).snapshot)
+register("staff_update_rejects")(lambda t: E.staff_update(t.staff, R.staff_update_requests(t)).rejects)
+register("staff_status_update_rejects")(lambda t: E.staff_status_update(t.staff, R.staff_status_requests(t)).rejects)
 register("staff_status_update")(lambda t: E.staff_status_update(t.staff, R.staff_status_requests(t)).snapshot)
-register("budget_insert")(lambda t: E.budget_insert(t.budget, R.budget_insert_requests(t)).extra["added"])
+register("budget_insert")(lambda t: E.budget_insert(t.budget, R.budget_insert_requests(t), R.JOB_TIME).extra["added"])
 register("budget_insert_rejects")(lambda t: E.budget_insert(t.budget, R.budget_insert_requests(t)).rejects)
 register("budget_update")(lambda t: E.budget_update(t.budget, R.budget_update_requests(t)).snapshot)
+register("budget_update_rejects")(lambda t: E.budget_update(t.budget, R.budget_update_requests(t)).rejects)
+register("transaction_post_rejects")(
+    lambda t: E.transaction_post(t.budget, t.transactions, R.transaction_requests(t)).rejects
+)
+register("transaction_post_transactions")(
+    lambda t: E.transaction_post(t.budget, t.transactions, R.transaction_requests(t)).extra["transactions"]
+)
 register("transaction_post")(
     lambda t: E.transaction_post(t.budget, t.transactions, R.transaction_requests(t)).snapshot
 )
@@ -229,7 +263,7 @@ def _backup_export(t: Tables):
 def _backup_restore(t: Tables):
     root = scratch(t.spark, "backup")
     A.write_backup(_backup_tables(t), root)
-    _, status = A.read_backup(t.spark, root, own_keys=True)
+    _, status = A.read_backup(t.spark, root)
     return status
 
 
@@ -238,13 +272,37 @@ def _backup_round_trip(t: Tables):
     root = scratch(t.spark, "backup")
     tables = _backup_tables(t)
     A.write_backup(tables, root)
-    restored, _ = A.read_backup(t.spark, root, own_keys=True)
+    restored, _ = A.read_backup(t.spark, root)
     return A.round_trip_diff(tables, restored)
 
 
-register("conform_to_schema")(
-    lambda t: A.migration_report({n: A.as_text(df) for n, df in _backup_tables(t).items()})
-)
+@register("backup_verify")
+def _backup_verify(t: Tables):
+    root = scratch(t.spark, "backup")
+    A.write_backup(_backup_tables(t), root)
+    return A.verify_backup(t.spark, root)
+
+
+@register("backup_document_restore")
+def _backup_document_restore(t: Tables):
+    root = scratch(t.spark, "document")
+    DOC.write_document(_backup_tables(t), root)
+    return DOC.read_backup_document(t.spark, root)[1]
+
+
+@register("backup_document_round_trip")
+def _backup_document_round_trip(t: Tables):
+    root = scratch(t.spark, "document")
+    tables = _backup_tables(t)
+    DOC.write_document(tables, root)
+    return A.round_trip_diff(tables, DOC.read_backup_document(t.spark, root)[0])
+
+
+register("conform_to_schema")(lambda t: M.migrate({n: A.as_text(df) for n, df in _backup_tables(t).items()}).report)
+# The same tables with rows that break every kind of constraint.
+register("migrate_report")(lambda t: M.migrate(R.migration_sources(t)).report)
+register("migrate_rejects")(lambda t: M.migrate(R.migration_sources(t)).rejects)
+register("migrate_categories")(lambda t: M.migrate(R.migration_sources(t)).tables["categories"])
 register("seed_categories")(lambda t: A.seed_categories(t.categories))
 register("column_evolution")(
     lambda t: A.column_evolution(

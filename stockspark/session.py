@@ -26,13 +26,17 @@ RUNTIME_CONF = {
 
 
 def tune_session(spark: SparkSession) -> SparkSession:
-    """Apply RUNTIME_CONF and make sure a checkpoint directory is known.
+    """Apply RUNTIME_CONF where nothing is set and make sure a checkpoint directory is known.
+
+    What the caller has set stays as it is, the time zone too: all times of the
+    library are zone-less, and the daily stream uses a session of its own.
 
     The checkpoint directory is read from ``spark.checkpoint.dir``; a
     temporary local one is set only when nothing is configured (local runs).
     """
     for key, value in RUNTIME_CONF.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     checkpoint_dir(spark)
     return spark
 

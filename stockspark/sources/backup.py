@@ -1,23 +1,23 @@
 """Sources, sinks and table utilities.
 
-Backups are directories, not one JSON document: ``<root>/data/<table>/``
-holds JSON lines written by every task in parallel, ``<root>/manifest/`` one
-line per table (timestamp, version, source, table, rows).  Nothing passes
-through the driver; a single-document envelope cannot be split across tasks,
-so it is not used as the storage format.
+Backups are directories: ``<root>/data/<table>/`` holds JSON lines written by
+every task in parallel, ``<root>/manifest/`` one line per table (timestamp,
+version, source, table, rows, digest).  Nothing passes through the driver.
+Backups in one JSON document are read and written by ``sources.document``.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import json
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
-from ..schemas import BACKUP_TABLES, BUDGET_FORM_B, CATEGORIES, INVENTORY, TABLE_SCHEMAS
+from ..schemas import BACKUP_TABLES, CATEGORIES, INVENTORY, TABLE_SCHEMAS
 from ..plans.ordering import dense_number
 from .fixtures import literal_rows
 
@@ -55,36 +55,57 @@ def table_preview(tables: dict[str, DataFrame], name: str, k: int = 100) -> Data
 def backup_records(tables: dict[str, DataFrame]) -> DataFrame:
     """Every row of the backup tables as (table, record JSON), NULLs kept."""
     return _union_all([
-        tables[name].select(
-            F.lit(name).alias("table"),
-            F.to_json(F.struct(*tables[name].columns), {"ignoreNullFields": "false"}).alias("record"),
-        )
+        tables[name].select(F.lit(name).alias("table"), _record(tables[name]).alias("record"))
         for name in BACKUP_TABLES
     ])
 
 
+def _record(df: DataFrame) -> Column:
+    return F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+
+
+def _digest(record: Column) -> list:
+    """Rows and an order-free digest of the records: two sums of 64-bit hashes, so every cell and every copy counts."""
+    wide = "decimal(38,0)"
+    return [
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.sum(F.xxhash64(record).cast(wide)), F.lit(0).cast(wide)).cast("string").alias("a"),
+        F.coalesce(F.sum(F.xxhash64(F.concat(record, F.lit("#"))).cast(wide)), F.lit(0).cast(wide)).cast("string").alias("b"),
+    ]
+
+
 def write_backup(
     tables: dict[str, DataFrame], root: str, source: str = "stockspark", timestamp: str | None = None
 ) -> DataFrame:
     """Write each table as JSON lines under root/data/<table> and a manifest.
 
-    Returns the manifest DataFrame (timestamp, version, source, table, rows).
+    Rows and digest of a table are observed while it is written; nothing is
+    read again.  Returns the manifest DataFrame (timestamp, version, source,
+    table, rows, digest).
     """
     spark = next(iter(tables.values())).sparkSession
     ts = timestamp or dt.datetime.now(dt.timezone.utc).isoformat()
+    lines = []
     for name in BACKUP_TABLES:
-        tables[name].write.mode("overwrite").option("ignoreNullFields", "false").json(f"{root}/data/{name}")
-    written = _union_all([
-        spark.read.schema(TABLE_SCHEMAS[name]).json(f"{root}/data/{name}")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .select(F.lit(name).alias("table"), "rows")
-        for name in BACKUP_TABLES
-    ])
-    manifest = written.select(
-        F.lit(ts).alias("timestamp"), F.lit(BACKUP_VERSION).alias("version"), F.lit(source).alias("source"), "table", "rows"
-    )
+        seen = Observation(f"backup-{name}-{uuid.uuid4().hex}")
+        watched = tables[name].observe(seen, *_digest(_record(tables[name])))
+        watched.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{root}/data/{name}")
+        got = seen.get
+        lines.append((ts, BACKUP_VERSION, source, name, got["rows"], f"{got['a']}:{got['b']}"))
+    manifest = literal_rows(spark, lines, "timestamp string, version string, source string, table string, rows bigint, digest string")
     manifest.coalesce(1).write.mode("overwrite").json(f"{root}/manifest")
-    return spark.read.json(f"{root}/manifest")
+    return spark.read.schema(manifest.schema).json(f"{root}/manifest")
+
+
+def verify_backup(spark: SparkSession, root: str) -> DataFrame:
+    """(table, rows, expected, intact): the restored rows of a backup directory against its manifest, content included."""
+    frames, _ = read_backup(spark, root)
+    manifest = spark.read.json(f"{root}/manifest").select("table", F.col("rows").alias("expected"), "digest")
+    now = _union_all([
+        df.agg(*_digest(_record(df))).select(F.lit(name).alias("table"), "rows", F.concat_ws(":", "a", "b").alias("found")) for name, df in frames.items()
+    ])
+    same = F.coalesce((F.col("rows") == F.col("expected")) & (F.col("found") == F.col("digest")), F.col("expected") == 0)
+    return manifest.join(now, "table", "left").select("table", F.coalesce("rows", F.lit(0)).alias("rows"), "expected", same.alias("intact"))
 
 
 # A4
@@ -104,26 +125,48 @@ def _first_record_keys(spark: SparkSession, path: str) -> list[str] | None:
         return None
 
 
-def _all_keys(spark: SparkSession, path: str, name: str) -> list[str] | None:
-    """Every column of the table; None when its folder is absent or empty."""
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """The records of a table folder; none where the folder is absent."""
     from pyspark.errors import AnalysisException
 
     try:
-        return None if spark.read.text(path).isEmpty() else TABLE_SCHEMAS[name].names
+        return spark.read.text(path)
     except AnalysisException:  # no such folder
-        return None
+        return spark.createDataFrame([], "value string")
+
+
+def restored(lines: DataFrame, name: str, keys: list[str] | None = None) -> tuple[DataFrame | None, DataFrame]:
+    """(rows, status line) of a table from its records, one JSON text (``value``) each.
+
+    Records are parsed with the table's schema in PERMISSIVE mode; those that
+    do not parse are skipped and counted.  Columns not in ``keys`` (None: all)
+    become NULL.  Unknown tables and tables without records are 'skipped'.
+    """
+    spark = lines.sparkSession
+    layout = "table string, status string, restored bigint, total bigint"
+    if name not in BACKUP_TABLES or lines.isEmpty():
+        return None, literal_rows(spark, [(name, "skipped", 0, 0)], layout)
+    schema = TABLE_SCHEMAS[name]
+    read_schema = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
+    # a record that is not valid JSON or does not fit the schema lands in the corrupt column
+    raw = lines.select(
+        F.from_json("value", read_schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r")
+    ).select("r.*")
+    good = raw.filter(F.col(CORRUPT).isNull()).select(
+        *[(F.col(f.name) if keys is None or f.name in keys else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields]
+    )
+    counts = raw.agg(F.count_if(F.col(CORRUPT).isNull()).alias("restored"), F.count(F.lit(1)).alias("total"))
+    return good, counts.select(F.lit(name).alias("table"), F.lit("completed").alias("status"), "restored", "total")
 
 
 def read_backup(
-    spark: SparkSession, root: str, tables: list[str] | None = None, own_keys: bool = False
+    spark: SparkSession, root: str, tables: list[str] | None = None, own_keys: bool = True
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """Restore tables from a backup directory.
 
-    Per table: known tables are read with their schema in PERMISSIVE mode;
-    rows that do not parse are skipped and counted.  With ``own_keys`` every
-    record is restored by its own keys; without, as in the reference, only
-    the keys of the table's first record are (other columns become NULL).
-    Unknown or empty tables are reported as 'skipped'.
+    Every record is restored by its own keys; with ``own_keys=False`` only
+    the keys of the table's first record are restored, as the reference does
+    (other columns become NULL).  See ``restored`` for the rest.
     Returns ({table: DataFrame}, status(table, status, restored, total)).
     """
     names = tables
@@ -134,29 +177,14 @@ def read_backup(
     status = []
     for name in names:
         path = f"{root}/data/{name}"
-        keys = None
-        if name in BACKUP_TABLES:
-            keys = _all_keys(spark, path, name) if own_keys else _first_record_keys(spark, path)
-        if name not in BACKUP_TABLES or keys is None:
-            status.append(literal_rows(spark, [(name, "skipped", 0, 0)], "table string, status string, restored bigint, total bigint"))
-            continue
-        schema = TABLE_SCHEMAS[name]
-        read_schema = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-        # Parse JSON lines with from_json (PERMISSIVE): a line that is not
-        # valid JSON or does not fit the schema lands in the corrupt column.
-        raw = spark.read.text(path).select(
-            F.from_json("value", read_schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r")
-        ).select("r.*")
-        good = raw.filter(F.col(CORRUPT).isNull()).select(
-            *[(F.col(f.name) if f.name in keys else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields]
-        )
-        frames[name] = good
-        status.append(
-            raw.agg(
-                F.count_if(F.col(CORRUPT).isNull()).alias("restored"),
-                F.count(F.lit(1)).alias("total"),
-            ).select(F.lit(name).alias("table"), F.lit("completed").alias("status"), "restored", "total")
-        )
+        lines = _lines(spark, path)
+        keys = None if own_keys else _first_record_keys(spark, path)
+        if not own_keys and keys is None:
+            lines = lines.limit(0)
+        frame, line = restored(lines, name, keys)
+        if frame is not None:
+            frames[name] = frame
+        status.append(line)
     return frames, _union_all(status)
 
 
@@ -224,32 +252,6 @@ def budget_as_form_b(budget: DataFrame) -> DataFrame:
     )
 
 
-def migration_report(sources: dict[str, DataFrame], targets: dict[str, T.StructType] | None = None) -> DataFrame:
-    """(table, status, migrated, total) when each source table is conformed to its target schema.
-
-    Budget rows use different column names in the target store, so they are
-    first converted to form B (G1) and conformed to BUDGET_FORM_B.  A table
-    without rows is reported 'skipped'.
-    """
-    targets = targets or {**TABLE_SCHEMAS, "budget": BUDGET_FORM_B}
-    parts = []
-    for name in BACKUP_TABLES:
-        src = sources[name]
-        if name == "budget" and targets[name] is BUDGET_FORM_B:
-            src = budget_as_form_b(src)
-        parts.append(
-            _conform_checked(src, targets[name])
-            .agg(F.count_if(F.size("_bad") == 0).alias("migrated"), F.count(F.lit(1)).alias("total"))
-            .select(
-                F.lit(name).alias("table"),
-                F.when(F.col("total") == 0, F.lit("skipped")).otherwise(F.lit("completed")).alias("status"),
-                "migrated",
-                "total",
-            )
-        )
-    return _union_all(parts)
-
-
 def as_text(df: DataFrame) -> DataFrame:
     """Every column as STRING (how rows arrive from a text-typed store)."""
     return df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])

@@ -49,13 +49,19 @@ def category_requests(t: Tables) -> DataFrame:
 
 
 def category_update_requests(t: Tables) -> DataFrame:
+    """Renames; then every category asks for the name that the one before had first; then many ask for one name."""
     d = t.categories_dirty
     name = F.when(F.col("id") % 2 == 0, F.concat(F.lower(F.trim("name")), F.lit(" line"))).otherwise(F.lit("pumps"))
-    return d.select(F.col("id").alias("seq"), "id", name.alias("name"), F.lit("updated").alias("description"))
+    renames = d.select(F.col("id").alias("seq"), "id", name.alias("name"), F.lit("updated").alias("description"))
+    shifted = t.categories.select((F.col("id") + 1 + REPEAT_SEQ).alias("seq"), (F.col("id") + 1).alias("id"), "name", F.lit("shifted").alias("description"))
+    i = F.col("id")
+    common = t.categories.filter(i % 3 == 0).select((i + 2 * REPEAT_SEQ).alias("seq"), "id", F.lit(" Common ").alias("name"), F.lit("common").alias("description"))
+    return renames.unionByName(shifted).unionByName(common)
 
 
 def category_delete_requests(t: Tables) -> DataFrame:
-    return t.categories_dirty.select(F.col("id").alias("seq"), "id")
+    once = t.categories_dirty.select(F.col("id").alias("seq"), "id")
+    return once.unionByName(once.filter(F.col("id") % 2 == 1).select((F.col("seq") + REPEAT_SEQ).alias("seq"), "id"))
 
 
 def inventory_insert_requests(t: Tables) -> DataFrame:
@@ -118,7 +124,15 @@ def inventory_update_requests(t: Tables) -> DataFrame:
         F.lit(None).cast(MONEY).alias("new_unit_price"),
         F.lit(None).cast("string").alias("new_supplier"),
     )
-    return _nulls(df.unionByName(more), INVENTORY_NEW_COLS)
+    # two items ask for each of these names; some then ask for the name that another item gave up
+    taken = p.filter(k % 6 == 0).select(
+        (k + 2 * REPEAT_SEQ).alias("seq"), k.alias("id"), _arr("name").alias("fields"), F.concat(F.lit("Renamed "), F.floor(k / 12).cast("string")).alias("new_name")
+    )
+    given_up = p.filter(k % 6 == 0).select(
+        (k + 3 * REPEAT_SEQ).alias("seq"), (k - 3).alias("id"), _arr("name", "supplier").alias("fields"),
+        F.concat(F.lit(" "), F.lower(F.concat_ws(" ", "p_name", k.cast("string")))).alias("new_name"), F.lit(NEW_SUPPLIER).alias("new_supplier"),
+    )
+    return _nulls(df.unionByName(more).unionByName(taken, allowMissingColumns=True).unionByName(given_up, allowMissingColumns=True), INVENTORY_NEW_COLS)
 
 
 def rows_delete_requests(t: Tables) -> DataFrame:
@@ -145,13 +159,14 @@ def sale_update_requests(t: Tables) -> DataFrame:
     i = F.col("id")
     df = s.select(
         i.alias("seq"),
-        i.alias("id"),
-        F.when(i % 4 == 0, _arr("quantity"))
+        F.when(i % 31 == 5, -i).otherwise(i).alias("id"),  # no sale has a negative id
+        F.when(i % 13 == 0, _arr())
+        .when(i % 4 == 0, _arr("quantity"))
         .when(i % 4 == 1, _arr("unit_price"))
         .when(i % 4 == 2, _arr("customer_name"))
         .otherwise(_arr("quantity", "unit_price"))
         .alias("fields"),
-        F.when(i % 4 == 0, F.col("quantity") + 1).otherwise(F.lit(2)).cast("int").alias("new_quantity"),
+        F.when(i % 44 == 0, F.lit(0)).when(i % 4 == 0, F.col("quantity") + 1).otherwise(F.lit(2)).cast("int").alias("new_quantity"),
         F.when(i % 4 == 1, F.lit(0)).otherwise(F.lit(9.99)).cast(MONEY).alias("new_unit_price"),
         F.lit("Walk-in").alias("new_customer_name"),
     )
@@ -167,7 +182,11 @@ def sale_update_requests(t: Tables) -> DataFrame:
 
 
 def sale_delete_requests(t: Tables) -> DataFrame:
-    return t.sales.filter(F.col("notes") == "returned").select(F.col("id").alias("seq"), "id")
+    once = t.sales.filter(F.col("notes") == "returned").select(F.col("id").alias("seq"), "id")
+    i = F.col("id")
+    return once.unionByName(once.filter(i % 5 == 0).select((i + REPEAT_SEQ).alias("seq"), "id")).unionByName(
+        once.filter(i % 7 == 0).select((-i).alias("seq"), (-i).alias("id"))  # no sale has a negative id
+    )
 
 
 def staff_insert_requests(t: Tables) -> DataFrame:
@@ -188,7 +207,7 @@ def staff_insert_requests(t: Tables) -> DataFrame:
         .when(k % 4 == 2, F.lit("03/04/2022"))
         .otherwise(F.lit("someday"))
         .alias("hire_date"),
-        F.col("c_acctbal").cast(MONEY).cast("string").alias("salary"),
+        F.when(k % 45 == 7, F.lit("n/a")).otherwise(F.col("c_acctbal").cast(MONEY).cast("string")).alias("salary"),
     )
 
 
@@ -288,8 +307,88 @@ def budget_update_requests(t: Tables) -> DataFrame:
     return _nulls(df.unionByName(more), BUDGET_NEW_COLS)
 
 
+def staff_delete_requests(t: Tables) -> DataFrame:
+    k = F.col("s_suppkey")
+    once = t.raw("supplier").filter(k % 3 == 0).select(k.alias("seq"), F.when(k % 4 == 0, -k).otherwise(k).alias("id"))
+    return once.unionByName(once.filter(k % 5 == 0).select((F.col("seq") + REPEAT_SEQ).alias("seq"), "id"))
+
+
+def budget_delete_requests(t: Tables) -> DataFrame:
+    i = F.col("id")
+    once = t.budget.filter(i % 2 == 0).select(i.alias("seq"), i)
+    return once.unionByName(once.filter(i % 3 == 0).select((i + REPEAT_SEQ).alias("seq"), i))
+
+
 def transaction_requests(t: Tables) -> DataFrame:
-    return t.transactions.withColumnRenamed("id", "seq")
+    i = F.col("seq")
+    return t.transactions.withColumnRenamed("id", "seq").withColumns({
+        "type": F.when(i % 17 == 0, F.lit("refund")).otherwise(F.col("type")),
+        "amount": F.when(i % 19 == 0, F.lit(-1).cast(MONEY)).otherwise(F.col("amount")),
+        "description": F.when(i % 23 == 0, F.lit(" ")).otherwise(F.col("description")),
+    })
+
+
+def inventory_of_duplicates(t: Tables) -> DataFrame:
+    """Inventory of which even items point at a category's duplicate, where it has one."""
+    c = F.col("category_id")
+    return t.inventory.withColumn("category_id", F.when((F.col("id") % 2 == 0) & (c % 2 == 0), c + 200).otherwise(c))
+
+
+# Fixed value: the number of items that all requests of the busy fixture are for.
+BUSY_ITEMS = 29
+
+
+def busy_requests(t: Tables) -> DataFrame:
+    return t.sale_requests.withColumn("item_id", F.abs("item_id") % BUSY_ITEMS)
+
+
+def busy_inventory(t: Tables) -> DataFrame:
+    """The busy items, with a half to a quarter of the stock that is asked for."""
+    asked = busy_requests(t).groupBy(F.col("item_id").alias("id")).agg(F.sum("quantity").alias("asked"))
+    return asked.join(t.inventory.drop("quantity"), "id", "left").withColumn(
+        "quantity", F.floor(F.col("asked") / (2 + F.col("id") % 3)).cast("int")
+    ).select(t.inventory.columns)
+
+
+def migration_sources(t: Tables) -> dict[str, DataFrame]:
+    """The tables as text, with rows that break each constraint of the target store."""
+    text = lambda df: df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+    i = F.col("id")
+
+    def with_rows(df: DataFrame, *planted: DataFrame) -> DataFrame:
+        out = text(df)
+        for p in planted:
+            out = out.unionByName(text(p).select(*df.columns))
+        return out
+
+    c, s, v, b = t.categories, t.staff, t.inventory, t.budget
+    categories = with_rows(
+        c,
+        c.filter(i % 4 == 0).withColumns({"id": i + 1000}),  # name taken
+        c.filter(i % 4 == 0).withColumns({"id": i + 1000, "name": F.concat("name", F.lit(" II"))}),  # free: the row before lost
+        c.filter(i % 4 == 0).withColumns({"id": i + 1001, "name": F.concat("name", F.lit(" II"))}),  # name taken now
+        c.filter(i % 3 == 0).withColumns({"id": i + 2000, "name": F.lit(None).cast("string")}),
+        c.filter(i % 5 == 0).withColumns({"id": i + 3000, "name": F.concat(F.repeat(F.lit("x"), F.lit(100)), i.cast("string"))}),
+        c.filter(i % 6 == 0).withColumns({"id": F.concat(F.lit("no-"), i.cast("string"))}),
+    )
+    staff = with_rows(
+        s,
+        s.filter(i % 6 == 0).withColumns({"id": i + 100000}),  # email taken
+        s.filter(i % 7 == 0).withColumns({"id": i + 200000, "email": F.lit(None).cast("string")}),
+        s.filter(i % 8 == 0).withColumns({"id": i + 300000, "email": F.concat(F.lit("z"), "email"), "salary": F.lit("lots")}),
+        s.filter(i % 9 == 0).withColumns({"id": i + 400000, "email": F.concat(F.lit("y"), "email"), "phone": F.repeat(F.lit("5"), F.lit(21))}),
+    )
+    inventory = with_rows(
+        v.withColumn("category_id", F.when(i % 37 == 0, F.lit(-1)).when(i % 41 == 0, F.lit(1004)).otherwise(F.col("category_id"))),
+        v.filter(i % 43 == 0).withColumns({"name": F.concat(F.lit("again "), "name")}),  # id taken, or taken later
+        v.filter(i % 47 == 0).withColumns({"id": i + 10**9, "unit_price": F.lit("123456789.00")}),
+    )
+    budget = with_rows(
+        b,
+        b.filter(i % 5 == 0).withColumns({"id": i + 50000}),
+        b.filter(i % 7 == 0).withColumns({"id": i + 60000, "month_year": F.lit("soon")}),
+    )
+    return {"categories": categories, "staff": staff, "inventory": inventory, "sales": text(t.sales), "budget": budget}
 
 
 def remap_mapping(t: Tables) -> DataFrame:

@@ -48,7 +48,7 @@ def test_restore_first_record_keys_unknown_table_and_bad_rows(spark):
         fh.write("{broken json\n")
     with open(f"{root}/data/users/part-0.json", "w") as fh:
         fh.write(json.dumps({"id": 1}) + "\n")
-    frames, status = A.read_backup(spark, root, ["staff", "users", "budget"])
+    frames, status = A.read_backup(spark, root, ["staff", "users", "budget"], own_keys=False)
     st = {r.table: (r.status, r.restored, r.total) for r in status.collect()}
     assert st == {"staff": ("completed", 2, 4), "users": ("skipped", 0, 0), "budget": ("skipped", 0, 0)}
     rows = sorted((r.id, r.name, r.email) for r in frames["staff"].collect())
@@ -64,7 +64,7 @@ def test_restore_takes_each_records_own_keys(spark):
     with open(f"{root}/data/staff/part-1.json", "w") as fh:
         fh.write(json.dumps({"id": 2, "name": "B", "email": "b@x.io"}) + "\n")
         fh.write(json.dumps({"phone": "7", "id": 3}) + "\n")
-    frames, status = A.read_backup(spark, root, ["staff", "budget"], own_keys=True)
+    frames, status = A.read_backup(spark, root, ["staff", "budget"])
     assert {r.table: (r.status, r.restored, r.total) for r in status.collect()} == {"staff": ("completed", 3, 4), "budget": ("skipped", 0, 0)}
     rows = sorted((r.id, r.name, r.email, r.phone) for r in frames["staff"].collect())
     assert rows == [(1, "A", None, None), (2, "B", "b@x.io", None), (3, None, None, "7")]
@@ -175,9 +175,70 @@ def test_sale_stream_replay_is_idempotent(spark):
     t.sale_requests.write.parquet(f"{root}/req")
     ST.start_sale_post_stream(spark, f"{root}/req", f"{root}/state", f"{root}/ckpt-a").awaitTermination()
     first = sorted(tuple(r) for r in ST.read_outcomes(spark, f"{root}/state").collect())
-    stock1 = sorted(tuple(r) for r in spark.read.parquet(f"{root}/state/stock/v=1").select("id", "quantity").collect())
+    stock1 = sorted(tuple(r) for r in ST.read_stock(spark, f"{root}/state").select("id", "quantity", "updated_at").collect())
     # a fresh checkpoint replays batch 0 over the same files and state version
     ST.start_sale_post_stream(spark, f"{root}/req", f"{root}/state", f"{root}/ckpt-b").awaitTermination()
     again = sorted(tuple(r) for r in ST.read_outcomes(spark, f"{root}/state").collect())
-    stock2 = sorted(tuple(r) for r in spark.read.parquet(f"{root}/state/stock/v=1").select("id", "quantity").collect())
+    stock2 = sorted(tuple(r) for r in ST.read_stock(spark, f"{root}/state").select("id", "quantity", "updated_at").collect())
     assert first == again and stock1 == stock2
+
+
+def test_sale_stream_writes_changes_and_compacts(spark):
+    """Base plus changes over several batches equals one posting; changes hold only items that sold."""
+    _, t = _tables(spark)
+    root = _scratch(spark, "s1changes")
+    ST.init_stock_state(t.inventory, f"{root}/state")
+    for lo, hi in [(1990, 1994), (1994, 1996), (1996, 1998), (1998, 1999), (1999, 2100)]:
+        t.sale_requests.filter((F.year("requested_at") >= lo) & (F.year("requested_at") < hi)).write.mode("append").parquet(f"{root}/req")
+        ST.start_sale_post_stream(spark, f"{root}/req", f"{root}/state", f"{root}/ckpt", compact_every=2).awaitTermination()
+    key = lambda r: r.id
+    streamed = [(r.id, r.quantity) for r in sorted(ST.read_stock(spark, f"{root}/state", compact_every=2).collect(), key=key)]
+    posted = sale_post(t.inventory, t.sale_requests)
+    assert streamed == [(r.id, r.quantity) for r in sorted(posted.snapshot.collect(), key=key)]
+    assert os.path.isdir(f"{root}/state/stock/base/v=2") and os.path.isdir(f"{root}/state/stock/base/v=4") and not os.path.isdir(f"{root}/state/stock/base/v=1")
+    changes = spark.read.parquet(f"{root}/state/stock/changes")
+    sold = spark.read.parquet(f"{root}/state/sales").select("batch", F.col("item_id").alias("id")).distinct()
+    assert changes.count() == sold.count() == changes.select("batch", "id").distinct().count()
+    last = {r.item_id: r.at for r in posted.extra["accepted"].groupBy("item_id").agg(F.max("sale_date").alias("at")).collect()}
+    assert {r.id: r.updated_at for r in ST.read_stock(spark, f"{root}/state", compact_every=2).collect() if r.updated_at} == last
+
+
+def test_daily_ledger_counts_rows_of_any_age_once(spark, frames):
+    from decimal import Decimal
+
+    from .conftest import TS
+
+    root = _scratch(spark, "s2ledger")
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+
+    def batch(rows, checkpoint="ckpt"):
+        if rows:
+            frames.sales([{"id": i, "item_id": 1, "quantity": 1, "total_price": Decimal("1.00"), "sale_date": ts and TS(ts)} for i, ts in rows]).coalesce(1).write.mode("append").parquet(f"{root}/sales")
+        ST.start_daily_sales_stream(spark, f"{root}/sales", f"{root}/out", f"{root}/{checkpoint}", open_days=True).awaitTermination()
+        return {str(r.date): (r.sales_count, r.revenue) for r in ST.read_daily_sales(spark, f"{root}/out").collect()}
+
+    batch([(1, "2024-01-02 10:00:00"), (2, "2024-01-10 12:00:00"), (3, None)])
+    late = batch([(4, "2024-01-02 23:00:00"), (5, "2023-01-01 00:00:00")])  # far beyond any watermark
+    assert late == {"2024-01-02": (2, Decimal("2.00")), "2024-01-10": (1, Decimal("1.00")), "2023-01-01": (1, Decimal("1.00"))}
+    assert spark.conf.get("spark.sql.shuffle.partitions") == width
+
+
+def test_manifest_finds_changed_cells_and_copies(spark, frames):
+    """Same number of rows, other content: the digest differs."""
+    import shutil
+
+    tables, _ = _tables(spark)
+    root = _scratch(spark, "bkdigest")
+    manifest = A.write_backup(tables, root)
+    assert {r.table: r.rows for r in manifest.collect()} == {n: df.count() for n, df in tables.items()}
+    assert all(r.intact for r in A.verify_backup(spark, root).collect())
+    for name, change in (("staff", lambda rows: [rows[0].replace('"status":"', '"status":"x'), *rows[1:]]), ("budget", lambda rows: [rows[1], *rows[1:]])):
+        files = sorted(f for f in os.listdir(f"{root}/data/{name}") if f.startswith("part-"))
+        kept = [line for f in files for line in open(f"{root}/data/{name}/{f}").read().splitlines()]
+        shutil.rmtree(f"{root}/data/{name}")
+        os.makedirs(f"{root}/data/{name}")
+        with open(f"{root}/data/{name}/part-0.json", "w") as fh:
+            fh.write("\n".join(change(kept)))
+    spark.catalog.clearCache()
+    state = {r.table: (r.rows == r.expected, r.intact) for r in A.verify_backup(spark, root).collect()}
+    assert state == {"categories": (True, True), "inventory": (True, True), "sales": (True, True), "staff": (True, False), "budget": (True, False)}

@@ -231,7 +231,7 @@ def test_monoid_fold_is_ordered(spark):
     assert out.first().acc.v == "".join(str(i) for i in range(500))
 
 
-def test_sale_post_hot_path_matches_fold(spark, frames):
+def test_sale_post_in_slices_matches_one_pass(spark, frames):
     import random
 
     rnd = random.Random(11)
@@ -240,7 +240,7 @@ def test_sale_post_hot_path_matches_fold(spark, frames):
     inv = _inv(frames, stock)
     req = _requests(spark, rows)
     fold = E.sale_post(inv, req)
-    hot = E.sale_post(inv, req, hot_threshold=0)  # every item takes the round-based path
+    hot = E.sale_post(inv, req, slice_rows=9)  # every item spans many slices
     a = sorted((r.request_id, r.status) for r in fold.extra["outcomes"].collect())
     b = sorted((r.request_id, r.status) for r in hot.extra["outcomes"].collect())
     assert a == b
@@ -283,3 +283,76 @@ def test_second_delete_finds_nothing(spark, frames):
     res = E.rows_delete(inv, req)
     assert res.snapshot.count() == 0
     assert sorted((r.seq, r.reason) for r in res.rejects.collect()) == [(2, "not_found"), (3, "not_found")]
+
+
+def _admitted(spark, rows, stock, slice_rows):
+    """{request_id: accepted} of (request_id, item_id, quantity) rows in request order."""
+    from stockspark.plans.admission import admit
+
+    full = [(item, rid, TS("2024-01-01 00:00:00"), n, stock[item]) for rid, item, n in rows]
+    df = spark.createDataFrame(full, "item_id long, request_id long, requested_at timestamp_ntz, quantity int, stock int")
+    return {r.request_id: r.accepted for r in admit(df, slice_rows).collect()}
+
+
+def _one_by_one(rows, stock):
+    left, out = dict(stock), {}
+    for rid, item, n in sorted(rows):
+        out[rid] = n <= left[item]
+        left[item] -= n if out[rid] else 0
+    return out
+
+
+def test_admission_alternating_small_and_one_more_than_the_rest(spark):
+    """Every slice of the item blocks: it is settled slice by slice, with the next item in between."""
+    stock, rows, left = {1: 150, 2: 40}, [], 150
+    for rid in range(0, 300, 2):
+        rows.append((rid, 1, 1))
+        left -= 1
+        rows.append((rid + 1, 1, left + 1))
+    rows += [(rid, 2, 1 + rid % 3) for rid in range(1000, 1060)]
+    want = _one_by_one(rows, stock)
+    assert sum(want[r] for r in range(300)) == 150
+    assert _admitted(spark, rows, stock, slice_rows=20) == want
+
+
+def test_admission_slices_of_one_hot_item(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows = [(rid, 7 if rid % 10 else rid % 4, rnd.choice([1, 2, 30, 400])) for rid in range(1500)]
+    for total in (50, 3000, 10**9):
+        stock = {0: 10, 2: 0, 7: total}
+        assert _admitted(spark, rows, stock, slice_rows=100) == _one_by_one(rows, stock)
+    assert _admitted(spark, [], {}, slice_rows=10) == {}
+
+
+def test_sale_post_marks_and_numbers_what_it_sells(spark, frames):
+    inv = _inv(frames, {1: 5, 2: 5})
+    sales = frames.sales([{"id": 40, "item_id": 1, "quantity": 1, "unit_price": D(1), "total_price": D(1)}])
+    req = _requests(spark, [(9, 1, 2, "2024-01-02 10:00:00"), (8, 1, 1, "2024-01-03 10:00:00"), (7, 2, 6, "2024-01-01 10:00:00")])
+    res = E.sale_post(inv, req, "2024-02-01 00:00:00", sales)
+    assert {r.id: (r.quantity, r.updated_at) for r in res.snapshot.collect()} == {1: (2, TS("2024-02-01 00:00:00")), 2: (5, None)}
+    assert [r.id for r in res.extra["changed"].collect()] == [1]
+    assert sorted((r.id, r.quantity, r.sale_date) for r in res.extra["accepted"].collect()) == [
+        (41, 2, TS("2024-01-02 10:00:00")), (42, 1, TS("2024-01-03 10:00:00"))
+    ]
+    back = E.sale_delete(sales, inv, spark.createDataFrame([(1, 40)], "seq bigint, id bigint"), "2024-02-01 00:00:00")
+    assert {r.id: (r.quantity, r.updated_at) for r in back.extra["inventory"].collect()} == {1: (6, TS("2024-02-01 00:00:00")), 2: (5, None)}
+
+
+def test_inserts_create_at_the_job_time_and_rejects_need_no_ids(spark, frames, monkeypatch):
+    cats = frames.categories([{"id": 3, "name": "Tools"}])
+    req = spark.createDataFrame([(1, "Pumps", None), (2, "pumps", None)], "seq bigint, name string, description string")
+    row = E.category_insert(cats, req, "2024-02-01 00:00:00").extra["added"].first()
+    assert (row.id, row.created_at) == (4, TS("2024-02-01 00:00:00"))
+    monkeypatch.setattr(E, "dense_number", lambda *a, **k: (_ for _ in ()).throw(AssertionError("numbered")))
+    assert [r.seq for r in E.category_insert(cats, req).rejects.collect()] == [2]
+
+
+def test_transactions_get_new_ids(spark, frames):
+    row = {"type": "expense", "amount": D(10), "description": "a", "category": "Tools", "date": TS("2024-01-31 00:00:00")}
+    old = frames.transactions([{"id": 1, **row}, {"id": 5, **row}])
+    req = frames.transactions([{"id": 1, **row}, {"id": 2, **row, "type": "gift"}, {"id": 3, **row}]).withColumnRenamed("id", "seq")
+    res = E.transaction_post(frames.budget([]), old, req)
+    assert sorted((r.seq, r.id) for r in res.extra["posted"].collect()) == [(1, 6), (3, 7)]
+    assert sorted(r.id for r in res.extra["transactions"].collect()) == [1, 5, 6, 7]

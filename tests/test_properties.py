@@ -52,7 +52,7 @@ def test_sale_post_equals_loop_both_paths(spark, frames, stock, reqs):
         ok = left[item] >= n
         want[rid] = "accepted" if ok else "insufficient_stock"
         left[item] -= n if ok else 0
-    for threshold in (E.HOT_ITEM_REQUESTS, 0):
-        res = E.sale_post(inv, req, hot_threshold=threshold)
+    for rows_of_a_slice in (None, 2):
+        res = E.sale_post(inv, req, slice_rows=rows_of_a_slice)
         assert {r.request_id: r.status for r in res.extra["outcomes"].collect()} == want
         assert {r.id: r.quantity for r in res.snapshot.collect()} == left

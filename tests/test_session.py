@@ -22,3 +22,11 @@ def test_literal_rows_plan_as_local_relation(spark):
         df.explain()
     assert "ExistingRDD" not in buf.getvalue()
     assert sorted(tuple(r) for r in df.collect()) == [(1, "a"), (2, "b")]
+
+
+def test_tune_session_keeps_what_the_caller_set(spark):
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", "America/New_York")
+    tune_session(own)
+    assert own.conf.get("spark.sql.session.timeZone") == "America/New_York"
+    assert own.conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"

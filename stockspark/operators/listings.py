@@ -106,7 +106,8 @@ def sales_joined(sales: DataFrame, inventory: DataFrame, staff: DataFrame) -> Da
     people = staff.select(F.col("id").alias("_sid"), F.col("name").alias("staff_name"))
     return (
         sales.join(items, sales.item_id == items._iid, "inner")
-        .join(people, F.col("staff_id") == people._sid, "left")
+        # sales without staff get keys of their own, which no staff row has, so they are spread and not one hot key
+        .join(people, F.coalesce(F.col("staff_id"), -F.col("id") - 1) == people._sid, "left")
         .drop("_iid", "_sid")
     )
 

@@ -13,14 +13,14 @@ categories AS (
          p_type AS name, CAST(NULL AS VARCHAR) AS description,
          CAST(NULL AS TIMESTAMP) AS created_at
   FROM (SELECT DISTINCT p_type FROM part) t
-  UNION ALL SELECT 101, 'Pumps', NULL, NULL
-  UNION ALL SELECT 102, 'Valves', NULL, NULL
+  UNION ALL SELECT 5001, 'Pumps', NULL, NULL
+  UNION ALL SELECT 5002, 'Valves', NULL, NULL
 )""",
     "categories_dirty": """
 categories_dirty AS (
   SELECT * FROM categories
   UNION ALL
-  SELECT id + 200, '  ' || upper(name), description, created_at
+  SELECT id + 10000, '  ' || upper(name), description, created_at
   FROM categories WHERE id % 2 = 0
 )""",
     "inventory": """
@@ -274,6 +274,15 @@ budget_update_requests AS (
          CASE id % 4 WHEN 0 THEN ['spent'] WHEN 1 THEN ['amount'] ELSE ['amount', 'spent'] END,
          CAST(amount + 700 AS DECIMAL(10,2)), CAST(spent + 3 AS DECIMAL(10,2)), NULL, NULL
   FROM budget WHERE id % 4 <> 3
+)""",
+    "sale_checks": """
+sale_checks AS (
+  SELECT * REPLACE (
+    CASE WHEN id % 29 = 0 THEN NULL ELSE item_id END AS item_id,
+    CASE WHEN id % 17 = 0 THEN 0 ELSE quantity END AS quantity,
+    CASE WHEN id % 23 = 0 THEN CAST(-1 AS DECIMAL(10,2)) ELSE unit_price END AS unit_price,
+    CASE WHEN id % 19 = 0 THEN '  ' ELSE customer_name END AS customer_name)
+  FROM sales
 )""",
     "staff_delete_requests": """
 staff_delete_requests AS (

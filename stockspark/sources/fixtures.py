@@ -23,7 +23,8 @@ from ..plans.ordering import dense_number
 from ..schemas import BUDGET, CATEGORIES, INVENTORY, MONEY, SALES, STAFF, TRANSACTIONS
 
 # Fixed values of the fixture mapping (they must equal the oracle's).
-EXTRA_CATEGORIES = [(101, "Pumps"), (102, "Valves")]  # categories without items
+EXTRA_CATEGORIES = [(5001, "Pumps"), (5002, "Valves")]  # categories without items; behind all part types
+DUPLICATE_IDS = 10_000  # added to the id of a category's duplicate
 STAFF_POSITIONS = ["Clerk", "Manager", "Cashier"]  # by id % 3
 BUDGET_MONTHS = [1, 2, 3]  # of 2024
 BUDGET_YEAR = 2024
@@ -138,7 +139,7 @@ class Tables:
     def _build_categories_dirty(self) -> DataFrame:
         """Categories plus near-duplicates ('  UPPER') for even ids."""
         dup = self.categories.filter(F.col("id") % 2 == 0).select(
-            (F.col("id") + 200).alias("id"),
+            (F.col("id") + DUPLICATE_IDS).alias("id"),
             F.concat(F.lit("  "), F.upper("name")).alias("name"),
             "description",
             "created_at",

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.raw_bodies import RAW_BODIES
 from ..schemas import MONEY
-from .fixtures import Tables
+from .fixtures import DUPLICATE_IDS, Tables
 
 # Fixed values of the request mapping (shared with the oracle).
 JOB_TIME = "2024-02-01 00:00:00"
@@ -331,7 +332,7 @@ def transaction_requests(t: Tables) -> DataFrame:
 def inventory_of_duplicates(t: Tables) -> DataFrame:
     """Inventory of which even items point at a category's duplicate, where it has one."""
     c = F.col("category_id")
-    return t.inventory.withColumn("category_id", F.when((F.col("id") % 2 == 0) & (c % 2 == 0), c + 200).otherwise(c))
+    return t.inventory.withColumn("category_id", F.when((F.col("id") % 2 == 0) & (c % 2 == 0), c + DUPLICATE_IDS).otherwise(c))
 
 
 # Fixed value: the number of items that all requests of the busy fixture are for.
@@ -391,6 +392,26 @@ def migration_sources(t: Tables) -> dict[str, DataFrame]:
     return {"categories": categories, "staff": staff, "inventory": inventory, "sales": text(t.sales), "budget": budget}
 
 
+def raw_bodies(t: Tables, kind: str) -> DataFrame:
+    """(seq, json): request bodies as they come, with wrong, empty, null and absent fields; every 53rd is no JSON."""
+    table, key, tokens = RAW_BODIES[kind]
+    source = t.raw(table) if table in ("part", "supplier") else getattr(t, table)
+    cells = [F.when(F.expr(token).isNotNull(), F.concat(F.lit(f'"{f}":'), F.expr(token))) for f, token in tokens.items()]
+    body = F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*cells)), ","), F.lit("}"))
+    return source.select(F.col(key).alias("seq"), F.when(F.col(key) % 53 == 0, F.lit("{not json")).otherwise(body).alias("json"))
+
+
+def sale_checks(t: Tables) -> DataFrame:
+    """Sales of which some break a rule."""
+    i = F.col("id")
+    return t.sales.withColumns({
+        "item_id": F.when(i % 29 == 0, F.lit(None).cast("bigint")).otherwise(F.col("item_id")),
+        "quantity": F.when(i % 17 == 0, F.lit(0)).otherwise(F.col("quantity")),
+        "unit_price": F.when(i % 23 == 0, F.lit(-1).cast(MONEY)).otherwise(F.col("unit_price")),
+        "customer_name": F.when(i % 19 == 0, F.lit("  ")).otherwise(F.col("customer_name")),
+    })
+
+
 def remap_mapping(t: Tables) -> DataFrame:
     p = t.raw("part").filter(F.col("p_size") > 45)
     return p.select(

@@ -7,6 +7,7 @@ binary cell per bucket, so Spark shuffles a few large rows instead of one row pe
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -28,8 +29,12 @@ BUCKET_BYTES = 8 << 20
 
 U64 = np.uint64
 _P = U64(0x9E3779B97F4A7C15)
-_P_INV = U64(pow(int(_P), -1, 1 << 64))
-_BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+#: Spans are hashed by two polynomials modulo this prime (a power of two as modulus lets crafted sequences collide).
+_PRIME = U64((1 << 31) - 1)
+_BASES = (1_217_406_131, 1_842_307_969)
+#: Words up to this length are hashed in steps of eight bytes for all words at once, longer ones one by one.
+_STEPWISE_BYTES = 256
+_BELOW = np.array([0, *((1 << 8 * n) - 1 for n in range(1, 9))], dtype=np.uint64)
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -74,35 +79,64 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
+def _modulo(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**31 - 1."""
+    x = (x & _PRIME) + (x >> U64(31))
+    x = (x & _PRIME) + (x >> U64(31))
+    return x - _PRIME * (x >= _PRIME)
+
+
 class _Powers:
-    """Powers of the hash base and of its inverse modulo 2**64, kept and grown as needed."""
+    """Powers of the hash bases and of their inverses, kept and grown as needed."""
 
-    up = np.ones(1, dtype=np.uint64)
-    down = np.ones(1, dtype=np.uint64)
+    up = np.ones((2, 1), dtype=np.uint64)
+    down = np.ones((2, 1), dtype=np.uint64)
 
     @classmethod
     def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(n, 2 * len(cls.up), 1 << 16)
-            for name, base in (("up", _P), ("down", _P_INV)):
-                table = np.full(size, base, dtype=np.uint64)
-                table[0] = 1
-                setattr(cls, name, np.multiply.accumulate(table))
+        while cls.up.shape[1] < n:
+            have = cls.up.shape[1]
+            for name, exponent in (("up", have), ("down", -have)):
+                step = np.array([[pow(b, exponent, int(_PRIME))] for b in _BASES], dtype=np.uint64)
+                table = getattr(cls, name)
+                setattr(cls, name, np.concatenate((table, _modulo(table * step)), axis=1))
         return cls.up, cls.down
 
 
 def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """Prefix sums from which span_hash takes the hash of any span of ``values``."""
-    up, _ = _Powers.get(len(values) + 1)
-    out = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * up[: len(values)], out=out[1:])
+    """Prefix sums (two rows) from which span_hash takes the hash of any span of ``values``."""
+    n = len(values)
+    up, _ = _Powers.get(n + 1)
+    out = np.zeros((2, n + 1), dtype=np.uint64)
+    for row, part in enumerate((values & _PRIME, values >> U64(33))):
+        out[row, 1:] = _modulo(np.cumsum(_modulo(part * up[row, :n])))
     return out
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of the values in [start, end), by content and length only."""
-    _, down = _Powers.get(len(prefix))
-    return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
+    _, down = _Powers.get(prefix.shape[1])
+    one, two = (_modulo(_modulo(row[end] + _PRIME - row[start]) * shift[start]) for row, shift in zip(prefix, down))
+    return mix(((one << U64(31)) | two) ^ ((end - start).astype(np.uint64) * _P))
+
+
+def word_hash(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words data[start:end]; words of up to eight bytes and equal length never collide."""
+    padded = np.frombuffer(data + bytes(8), dtype=np.uint8)
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    size = end - start
+    out = size.astype(np.uint64) * _P
+    open_ = np.arange(len(start))
+    for at in range(0, _STEPWISE_BYTES, 8):
+        if not len(open_):
+            break
+        left = size[open_] - at
+        block = eight[start[open_] + at] & _BELOW[np.minimum(left, 8)]
+        out[open_] = mix(out[open_] ^ block)
+        open_ = open_[left > 8]
+    for i in open_.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
 
 
 class Words:
@@ -122,7 +156,7 @@ class Words:
         else:
             at = np.zeros(0, dtype=np.int64)
         start, end = at[::2], at[1::2]
-        self.hash = span_hash(prefix_hash(_BYTE[data]), start, end)
+        self.hash = word_hash(joined, start, end)
         sizes = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
         begins = np.cumsum(sizes + 1) - sizes - 1
         #: words of text i are [first[i], first[i + 1])
@@ -198,3 +232,15 @@ def is_in(keys: np.ndarray, have: np.ndarray) -> np.ndarray:
     if not len(have):
         return np.zeros(len(keys), dtype=bool)
     return have[np.minimum(np.searchsorted(have, keys), len(have) - 1)] == keys
+
+
+#: What a worker process remembers, by operator.
+_MEMORY: dict[str, dict] = {}
+
+
+def remembered(operator: str) -> dict:
+    """The operator's memory in this worker; that of other operators is given up, so a worker holds one at a time."""
+    if operator not in _MEMORY:
+        _MEMORY.clear()
+        _MEMORY[operator] = {}
+    return _MEMORY[operator]

@@ -17,6 +17,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     links = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     links = stored(links, "links")
+    size = links.count()
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -25,9 +26,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u > v").distinct()
         after = stored(small, "links")
-        change = links.exceptAll(after).limit(1).count() + after.exceptAll(links).limit(1).count()
-        links = after
-        if not change:
+        # both are sets: equal sizes and no link of one missing from the other
+        now = after.count()
+        same = now == size and after.join(links, ["u", "v"], "left_anti").isEmpty()
+        links, size = after, now
+        if same:
             break
     roots = links.select(F.col("v").alias("node")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

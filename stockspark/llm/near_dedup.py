@@ -7,10 +7,12 @@ is estimated from equal bits, corrected for bits that agree by chance, and pairs
 estimate lies more than 5 standard errors below the threshold (a chance below 3e-7) are left.
 What remains is confirmed on the full sets.
 
-Texts with equal sets are one class (its smallest doc_id stands for it).  Inside a bucket
-only links that can join different components are looked for: first the links of every
-member with the most typical member, then, after joining what was confirmed, the pairs that
-still lie in different components.  So a group of thousands of near copies costs one link
+Texts with equal sets are one class (its smallest doc_id stands for it).  Only links that can
+join different components are looked for.  The first bands give links of every member of a
+bucket with its most typical member; what they confirm is joined, and of the next bands only
+buckets take part whose members are still of several components.  At last all pairs of a bucket
+that lie in different components are looked at, the likeliest first; a pair that meets in several
+bands is taken in the first of them.  So a group of thousands of near copies costs about one link
 per member, and no link between different texts is lost.
 
 Null or empty texts have an empty set and are linked with nothing; texts shorter than a
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockspark.llm.common import U64, Words, buckets_for, column, first_of_equal, is_in, mix, prefix_hash, span_hash, stored, text_chunks
+from stockspark.llm.common import U64, Words, buckets_for, column, first_of_equal, is_in, mix, prefix_hash, remembered, span_hash, stored, text_chunks
 from stockspark.llm.components import connected_components
 
 BANDS, ROWS, BITS = 24, 3, 2
@@ -38,19 +40,24 @@ SLACK = 5
 SET_BYTES = 1 << 20
 #: Members of a hot centre that one verification bucket takes.
 FAN = 256
+#: Bands of each linking step.
+STEPS = ((0, 4), (4, BANDS))
+#: Rows of pairs (24 bytes each) that are broadcast to find their texts; beyond that the texts are shuffled.
+BROADCAST_ROWS = 1 << 19
 _MULTIPLY = np.random.default_rng(97).integers(1, 1 << 63, HASHES, dtype=np.uint64) * U64(2) + U64(1)
 _ODD = U64(0x5555555555555555)
+_PRINTS = (U64(0), U64(0xC2B2AE3D27D4EB4F))
 
 
 def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingle hashes of all texts, bounds per text); A-Z count as a-z."""
     w = Words(texts, lower=True)
-    n, first = len(w.hash), w.first
+    first = w.first
     size = np.where(w.count >= words, w.count - words + 1, np.minimum(w.count, 1))
     owner = np.repeat(np.arange(len(size)), size)
     start = first[:-1][owner] + np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
     end = np.minimum(start + words, first[1:][owner])
-    prefix = prefix_hash(w.hash) if n else np.zeros(1, dtype=np.uint64)
+    prefix = prefix_hash(w.hash)
     shingle = span_hash(prefix, start, end)
     order = np.lexsort((shingle, owner))
     owner, shingle = owner[order], shingle[order]
@@ -110,10 +117,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, doc
     floor = least_estimate(threshold)
 
     def sets(batches):
+        remembered("near dedup")  # what other operators learned in this worker is given up
         for part, texts in text_chunks(batches, limit=SET_BYTES):
             shingle, bounds = shingle_sets(texts, words)
-            total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix(shingle))))
-            print_ = mix(total[bounds[1:]] - total[bounds[:-1]])
+            prints = []
+            for odd in _PRINTS:  # 128 bits of the set, by two sums
+                total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix(shingle ^ odd))))
+                prints.append(mix(total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
             size = np.diff(bounds)
             use = np.flatnonzero(size)
             keys, bits = [None] * len(size), [None] * len(size)
@@ -122,23 +132,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, doc
                 band = np.stack([mix(mix(minima[:, b * ROWS : (b + 1) * ROWS] @ np.array([3, 5, 7], dtype=np.uint64)) + U64(b)) for b in range(BANDS)], axis=1)
                 for i, k, x in zip(use.tolist(), band.view(np.int64), packed_bits(minima)):
                     keys[i], bits[i] = k, x.tobytes()
-            yield pa.record_batch([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(print_.view(np.int64), pa.int64(), mask=size == 0), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "print", "keys", "bits"])
+            yield pa.record_batch([part.column("doc_id"), pa.array(size, pa.int64()), *(pa.array(x, pa.int64(), mask=size == 0) for x in prints), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "print", "print_two", "keys", "bits"])
 
-    def _bits(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def _bits(table: pa.Table) -> tuple[np.ndarray, ...]:
         key, doc = table.column("key").to_numpy(), table.column("doc").to_numpy()
         order = np.lexsort((doc, key))
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype=np.uint64).reshape(len(key), -1)
-        return key[order], doc[order], bits[order], order
+        return key[order], doc[order], bits[order], table.column("component").to_numpy()[order], order
 
     def stars(table: pa.Table) -> pa.Table:
-        key, doc, bits, _ = _bits(table)
+        """(typical member, member, estimate) of every bucket, for members of other components than the typical one's."""
+        key, doc, bits, component, _ = _bits(table)
         start = first_of_equal(key)
         one, two, like = [], [], []
         for s, e in zip(start.tolist(), [*start[1:].tolist(), len(key)]):
             c = s + _typical(bits[s:e]) if e - s > 2 else s
             value = estimate(bits[s:e], bits[c])
-            hit = np.flatnonzero(value >= floor)
-            hit = hit[hit + s != c]
+            hit = np.flatnonzero((value >= floor) & (component[s:e] != component[c]))
             one.append(np.full(len(hit), doc[c]))
             two.append(doc[s + hit])
             like.append(value[hit])
@@ -150,8 +160,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, doc
 
     def _across(table: pa.Table, likeliest: int | None) -> pa.Table:
         """Pairs of different components whose estimate may reach the threshold: all, or the likeliest of every text outside the largest component."""
-        key, doc, bits, order = _bits(table)
-        component = table.column("component").to_numpy()[order]
+        key, doc, bits, component, order = _bits(table)
+        bands = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(key), -1)[order]
         start = first_of_equal(key)
         one, two = [], []
         for s, e in zip(start.tolist(), [*start[1:].tolist(), len(key)]):
@@ -164,8 +174,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, doc
                 at = s + np.flatnonzero(other)
                 value = estimate(bits[at], bits[i])
                 at, value = at[value >= floor], value[value >= floor]
-                if likeliest is not None and len(at) > likeliest:
-                    at = at[np.argpartition(-value, likeliest)[:likeliest]]
+                if likeliest is not None:
+                    if len(at) > likeliest:
+                        at = at[np.argpartition(-value, likeliest)[:likeliest]]
+                elif len(at):  # the first band that the two share gives the pair
+                    same = bands[at] == bands[i]
+                    at = at[bands[i][same.argmax(axis=1)] == key[i]]
                 one.append(np.full(len(at), doc[i]))
                 two.append(doc[at])
         return _pairs(one, two)
@@ -207,31 +221,40 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, doc
         salt = F.pmod(F.xxhash64("doc"), F.ceil(F.col("d") / FAN))
         pairs = pairs.select("centre", "doc", F.pmod(F.xxhash64("centre", salt), F.lit(buckets)).cast("int").alias("bucket"))
         wanted = stored(pairs.unionByName(pairs.select("centre", F.col("centre").alias("doc"), "bucket").distinct()), "pairs")
-        full = wanted.join(rows.withColumnRenamed("doc_id", "doc"), "doc")
+        texts = rows.withColumnRenamed("doc_id", "doc")
+        full = texts.join(F.broadcast(wanted), "doc") if wanted.count() <= BROADCAST_ROWS else wanted.hint("merge").join(texts, "doc")
         return stored(full.groupBy("bucket").applyInArrow(verify, "a long, b long"), "confirmed")
 
-    known = stored(rows.mapInArrow(sets, "doc_id long, n_shingles long, print long, keys array<long>, bits binary"), "sets")
-    classes = known.where("print is not null").groupBy("print", "n_shingles").agg(F.min("doc_id").alias("class_id"))
-    heads = known.join(classes, ["print", "n_shingles"]).where("doc_id = class_id").select(F.col("doc_id").alias("doc"), "keys", "bits").dropDuplicates(["doc"])
-    band = heads.select("doc", F.explode("keys").alias("key"))
-    several = band.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    found = stored(band.join(several, "key").join(heads.select("doc", "bits"), "doc").select("key", "doc", "bits"), "members")
+    same_set = ["print", "print_two", "n_shingles"]
+    known = stored(rows.mapInArrow(sets, "doc_id long, n_shingles long, print long, print_two long, keys array<long>, bits binary"), "sets")
+    classes = known.where("print is not null").groupBy(*same_set).agg(F.min("doc_id").alias("class_id"))
+    heads = known.join(classes, same_set).where("doc_id = class_id").select(F.col("doc_id").alias("doc"), "keys", "bits").dropDuplicates(["doc"])
+    heads = stored(heads, "heads")
     by_bucket = lambda df: df.withColumn("bucket", F.pmod("key", F.lit(buckets))).groupBy("bucket")
-    star = by_bucket(found).applyInArrow(stars, "a long, b long, like double").distinct()
-    # a text meets at most BANDS typical members; its three likeliest come first, the others only if components stay apart
-    star = star.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("like", "a")), asc=False), 1, 3).alias("best"))
-    links = confirmed(star.select(F.explode("best.a").alias("a"), "b"))
-    part = connected_components(links)
+
+    def members(bands: tuple[int, int], part: DataFrame) -> DataFrame:
+        """Rows of the buckets of these bands whose members are of several components."""
+        first, last = bands
+        own = heads.select("doc", F.slice("keys", first + 1, last - first).alias("own")).join(part, F.col("doc") == F.col("node"), "left")
+        band = own.select("doc", F.coalesce("component", "doc").alias("component"), F.explode("own").alias("key"))
+        mixed = band.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        return stored(band.join(mixed, "key").join(heads, "doc").select("key", "doc", "component", "bits", "keys"), "members")
+
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    part = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    for bands in STEPS:
+        star = by_bucket(members(bands, part).drop("keys")).applyInArrow(stars, "a long, b long, like double").distinct()
+        # a text meets one typical member a band; its three likeliest come first, the others only if components stay apart
+        star = star.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("like", "a")), asc=False), 1, 3).alias("best"))
+        links = stored(links.unionByName(confirmed(star.select(F.explode("best.a").alias("a"), "b"))).distinct(), "links")
+        part = connected_components(links)
     # the likeliest pairs join most of what belongs together; then every pair that is still apart
     for likeliest in (2, None):
-        labelled = found.join(part, found["doc"] == part["node"], "left").select("key", "doc", "bits", F.coalesce("component", "doc").alias("component"))
-        labelled = stored(labelled, "labelled")
-        mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        pairs = by_bucket(labelled.join(mixed, "key", "left_semi")).applyInArrow(across(likeliest), "a long, b long")
+        pairs = by_bucket(members((0, BANDS), part)).applyInArrow(across(likeliest), "a long, b long")
         links = stored(links.unionByName(confirmed(pairs)).distinct(), "links")
         part = connected_components(links)
     ends = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    out = known.join(classes, ["print", "n_shingles"], "left").join(part.withColumnRenamed("node", "class_id"), "class_id", "left").join(ends, "class_id", "left")
+    out = known.join(classes, same_set, "left").join(part.withColumnRenamed("node", "class_id"), "class_id", "left").join(ends, "class_id", "left")
     own = F.coalesce("component", "class_id", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 

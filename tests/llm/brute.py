@@ -53,3 +53,9 @@ def near(rows, words=4, threshold=0.8):
             x, y = sorted((root(a), root(b)))
             parent[y] = x
     return sorted((d, len(s), root(d), root(d) == d) for d, s in sets.items())
+
+
+def crafted_words(length=1024):
+    """Two words of a and b whose hashes agree in polynomial schemes modulo a power of two (a sequence and its complement)."""
+    bits = [bin(i).count("1") % 2 for i in range(length)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)

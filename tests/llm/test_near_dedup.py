@@ -6,7 +6,7 @@ import numpy as np
 
 from stockspark.llm.components import connected_components
 from stockspark.llm.near_dedup import estimate, near_duplicates, packed_bits, shingle_sets, signatures
-from tests.llm.brute import near
+from tests.llm.brute import crafted_words, near
 
 
 def result(df, **options):
@@ -57,3 +57,10 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 0, **dict.fromkeys((60, 61, 62), 60)}
     assert np.sum([1 for _ in got]) == 45
+
+
+def test_crafted_words_are_not_linked_and_columns_may_clash(docs_of):
+    one, two = crafted_words()
+    data = [(1, one), (2, two), (3, one), (4, " ".join(one)), (5, " ".join(two))]
+    df = docs_of(data).withColumnRenamed("lang", "doc").withColumnRenamed("source", "print").withColumnRenamed("n_chars", "bits")
+    assert result(df, words=4) == sorted(near(data, 4), key=str)

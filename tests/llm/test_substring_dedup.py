@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
-from tests.llm.brute import substring
+from tests.llm.brute import crafted_words, substring
 
 from stockspark.llm.common import Words
 from stockspark.llm.substring_dedup import substring_dedup, window_anchors
@@ -55,3 +55,18 @@ def test_empty_table_and_clashing_columns(docs_of):
     assert result(docs_of([])) == []
     df = docs_of([(1, "a b c d")]).withColumnRenamed("lang", "shard").withColumnRenamed("source", "bucket")
     assert result(df)[0][:3] == (1, 4, 0)
+
+
+def test_crafted_words_and_sequences_stay_different(docs_of):
+    one, two = crafted_words()
+    shared = " ".join(f"w{i}" for i in range(49))
+    rows = [(1, f"{shared} {one}"), (2, f"{shared} {two}"), (3, " ".join(one)), (4, " ".join(two)), (5, f"{shared} {one}")]
+    assert result(docs_of(rows)) == sorted(substring(rows), key=str)
+
+
+def test_word_hashes_follow_the_word_alone():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abé😀") for _ in range(n)) for n in (1, 2, 7, 8, 9, 16, 17, 63, 64, 65, 255, 256, 257, 300, 5000) for _ in range(3)]
+    a = Words([" ".join(words).encode()]).hash
+    b = Words([w.encode() for w in words] + [b"", b"  "]).hash
+    assert a.tolist() == b.tolist() and len(set(a.tolist())) == len(set(words))

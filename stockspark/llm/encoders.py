@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 
+from stockspark.llm.common import remembered
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces that one worker remembers (about 120 MB); beyond them it keeps the first quarter, as common pieces come early.
@@ -37,41 +37,92 @@ def specials(tokenizer) -> list[str]:
     return [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
 
+#: Characters of unknown pieces that the library encodes in one call.
+BATCH_CHARS = 256 << 10
+
+
 class Encoder:
-    """ids(text) as the library gives them, without added special tokens."""
+    """Ids as the library gives them, without added special tokens.
+
+    Unknown pieces of many texts are put together, encoded in one call and cut apart again by the
+    bytes that every token stands for: pieces begin with a space, where a new pre-token begins.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.special = specials(self.tokenizer)
+        #: ids of pieces at a text's begin, and of those after a space (kept without it)
+        self.first: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
+        self.width = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=np.int64)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.width[number] = len(token)  # one character of a token is one byte
 
     def whole(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32)
 
     def pieces(self, text: str) -> list[str] | None:
-        """Pieces that encode independently, or None."""
+        """What single spaces divide the text into, if these parts encode independently, or None."""
         if _UNSAFE.search(text) or not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return None
-        first, *rest = text.split(" ")
-        return [first, *(" " + x for x in rest)]
-
-    def ids(self, text: str) -> np.ndarray:
-        pieces = self.pieces(text)
-        if pieces is None:
-            return self.whole(text)
+        return text.split(" ")
+
+    def _learn(self, new: list[str]) -> None:
+        """The ids of pieces that follow a space."""
+        at = 0
+        while at < len(new):
+            stop, chars = at, 0
+            while stop < len(new) and (stop == at or chars + len(new[stop]) < BATCH_CHARS):
+                chars += len(new[stop]) + 1
+                stop += 1
+            part = new[at:stop]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype=np.int32)
+            ends = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in part), dtype=np.int64, count=len(part)))
+            reached = np.cumsum(self.width[ids])
+            cuts = np.searchsorted(reached, ends)
+            if len(reached) and (cuts < len(reached)).all() and (reached[cuts] == ends).all():
+                data, bounds = ids.tobytes(), [0, *((cuts + 1) * 4).tolist()]
+                self.known.update(zip(part, (data[s:e] for s, e in zip(bounds, bounds[1:]))))
+            else:  # a token reaches over a piece's end: not with the vocabularies used here
+                for piece in part:
+                    self.known[piece] = self.whole(" " + piece).tobytes()
+            at = stop
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of every text."""
         if len(self.known) > REMEMBERED:
             self.known = dict(islice(self.known.items(), REMEMBERED // 4))
-        known = self.known
-        found = list(map(known.get, pieces))
-        if None in found:
-            new = list(dict.fromkeys(p for p, ids in zip(pieces, found) if ids is None))
-            for piece, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[piece] = array("i", code.ids).tobytes()
-            found = map(known.__getitem__, pieces)
-        return np.frombuffer(b"".join(found), dtype=np.int32)
+        if len(self.first) > REMEMBERED // 8:
+            self.first.clear()
+        known, new = self.known, {}
+        found, holes = [], []
+        for text in texts:
+            pieces = self.pieces(text)
+            if pieces is None:
+                found.append([self.whole(text).tobytes()])
+                continue
+            if pieces[0] not in self.first:
+                self.first[pieces[0]] = self.whole(pieces[0]).tobytes()
+            got = list(map(known.get, pieces))  # one look-up a piece: most are known
+            got[0] = self.first[pieces[0]]
+            if None in got:
+                unknown = [i for i, ids in enumerate(got) if ids is None]
+                holes.append((got, pieces, unknown))
+                new.update(dict.fromkeys([pieces[i] for i in unknown]))
+            found.append(got)
+        self._learn(list(new))
+        for got, pieces, unknown in holes:
+            for i in unknown:
+                got[i] = known[pieces[i]]
+        return [np.frombuffer(b"".join(got), dtype=np.int32) for got in found]
+
+    def ids(self, text: str) -> np.ndarray:
+        return self.batch([text])[0]
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """The worker's encoder: what it remembers serves all tasks of the worker."""
-    return Encoder(path)
+    memory = remembered("encoder")
+    if path not in memory:
+        memory[path] = Encoder(path)
+    return memory[path]

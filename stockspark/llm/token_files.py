@@ -19,9 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stockspark.llm.common import buckets_for, column, text_chunks, work_dir
+from stockspark.llm.common import column, text_chunks, work_dir
 from stockspark.llm.encoders import encoder as shared_encoder
 
+#: Bytes of text of a part, which is one task and one file.
+PART_BYTES = 16 << 20
+#: Parts whose totals are summed in one window.
+BLOCK_PARTS = 4096
+#: Parts whose offsets are broadcast (16 bytes each); beyond that Spark joins them.
+BROADCAST_PARTS = 1 << 20
+#: Characters of text whose pieces a task holds at once.
+CHUNK_BYTES = 1 << 20
 #: Bytes of a row group and of a page.
 ROW_GROUP_BYTES, PAGE_BYTES = 32 << 20, 256 << 10
 FILE_SCHEMA = "part int, doc_id long, n_tokens long, offset long, ids array<int>"
@@ -30,17 +38,19 @@ FILE_SCHEMA = "part int, doc_id long, n_tokens long, offset long, ids array<int>
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encode every text, append end_id, and write the ids in ascending doc_id order below ``path``."""
     rows = docs.select(column(docs, doc_id).cast("long").alias("doc_id"), column(docs, text).alias("text"))
-    parts = buckets_for(rows)
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-total // PART_BYTES))
 
     def encode(batches):
         from pyspark import TaskContext
 
         encoder, offset, part_no = shared_encoder(vocabulary), 0, TaskContext.get().partitionId()
-        for part, texts in text_chunks(batches):
-            ids = [np.append(encoder.ids(t.decode()), np.int32(end_id)) for t in texts]
-            size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        for part, texts in text_chunks(batches, limit=CHUNK_BYTES):
+            ids = encoder.batch([t.decode() for t in texts])
+            size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) + 1
             bounds = np.concatenate(([0], np.cumsum(size)))
-            listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
+            last = np.array([end_id], dtype=np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([x for one in ids for x in (one, last)])))
             yield pa.record_batch([pa.array(np.full(len(ids), part_no, dtype=np.int32)), part.column("doc_id"), pa.array(size), pa.array(offset + bounds[:-1]), listed], names=["part", "doc_id", "n_tokens", "offset", "ids"])
             offset += int(bounds[-1])
 
@@ -52,11 +62,16 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, d
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids; columns that are not used are not read."""
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
-    # one row per part: as many as the writer had tasks
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = files.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    base = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    return files.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids")
+    # one small row per part; sums inside blocks of parts, and one row per block before them
+    block = F.floor(F.col("part") / BLOCK_PARTS).alias("block")
+    totals = files.groupBy("part").agg(F.sum("n_tokens").alias("total")).withColumn("block", block)
+    inside = Window.partitionBy("block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = totals.groupBy("block").agg(F.sum("total").alias("total"))
+    before = blocks.select("block", F.coalesce(F.sum("total").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    base = totals.join(before, "block").select("part", (F.col("before") + F.coalesce(F.sum("total").over(inside), F.lit(0))).alias("base"))
+    if totals.count() <= BROADCAST_PARTS:
+        base = F.broadcast(base)
+    return files.join(base, "part").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids")
 
 
 def _checksums(batches):

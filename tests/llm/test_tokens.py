@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 P = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
 
+from stockspark.llm import encoders, token_files  # noqa: E402
 from stockspark.llm.common import work_dir  # noqa: E402
 from stockspark.llm.token_counts import prove_whole_tokens, token_counts  # noqa: E402
 from stockspark.llm.token_files import read_tokens, token_digest, write_tokens  # noqa: E402
@@ -53,3 +55,40 @@ def test_files_round_trip(spark, docs_of, rows):
     back = {r.doc_id: r.ids for r in read_tokens(spark, path).where("doc_id in (0, 6)").collect()}
     assert back == {0: ids[0].tolist(), 6: ids[6].tolist()}
     assert token_digest(docs_of([]), P.path("byte_bpe_50k.json")).collect() == []
+
+
+def test_counts_of_random_latin_text_equal_the_library(docs_of):
+    """Capitals whose lower case lies outside the plain letters (and every other character of the range) in random strings."""
+    rng = random.Random(6)
+    characters = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x250), *range(0x2010, 0x2028))] + [" ", "\n"] * 40
+    texts = ["åƊ", "åɄ", "ōȾ", "ÃȺ"] + ["".join(rng.choice(characters) for _ in range(rng.randint(1, 8))) for _ in range(20_000)]
+    lib = tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    want = [len(x.ids) for x in lib.encode_batch(texts, add_special_tokens=False)]
+    got = {r.doc_id: r.n_tokens for r in token_counts(docs_of(list(enumerate(texts))), P.path("word_bpe_49k.json")).collect()}
+    assert [t for i, t in enumerate(texts) if got[i] != want[i]] == []
+
+
+def test_ids_of_random_text_equal_the_library(monkeypatch):
+    monkeypatch.setattr(encoders, "BATCH_CHARS", 500)
+    rng = random.Random(7)
+    characters = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x250))] + [" "] * 150 + ["\n", "\t"] * 20
+    texts = ["".join(rng.choice(characters) for _ in range(rng.randint(0, 60))) for _ in range(4000)]
+    lib = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    encoder = encoders.Encoder(P.path("byte_bpe_50k.json"))
+    for at in range(0, len(texts), 300):
+        part = texts[at : at + 300]
+        want = [x.ids for x in lib.encode_batch(part, add_special_tokens=False)]
+        assert [x.tolist() for x in encoder.batch(part)] == want
+
+
+def test_clashing_columns_and_blocks_of_parts(docs_of, rows, monkeypatch):
+    df = docs_of(rows).withColumnRenamed("lang", "part").withColumnRenamed("source", "ids").withColumnRenamed("n_chars", "n_tokens")
+    digest = lambda d: sorted(map(tuple, token_digest(d, P.path("byte_bpe_50k.json")).collect()), key=str)
+    counts = lambda d: sorted(map(tuple, token_counts(d, P.path("word_bpe_49k.json")).collect()), key=str)
+    plain = digest(docs_of(rows))
+    assert counts(df) == counts(docs_of(rows)) and digest(df) == plain
+    monkeypatch.setattr(token_files, "PART_BYTES", 2000)
+    monkeypatch.setattr(token_files, "BLOCK_PARTS", 2)
+    assert digest(df) == plain
+    monkeypatch.setattr(token_files, "BROADCAST_PARTS", 0)
+    assert digest(df) == plain

@@ -13,22 +13,30 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
 from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockspark.llm.common import column, text_chunks
+from stockspark.llm.common import column, remembered, text_chunks
 from stockspark.llm.encoders import REMEMBERED, load, specials
 
 #: Pre-tokens of the word vocabulary on text of the plain range (letters there are A-Z, a-z and U+00AA..U+024F).
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _DIGIT = "0-9²³¹¼-¾"
 _PRE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\s{_LETTER}{_DIGIT}]+")
-#: Characters for which the shortcut is used; others go through the library.
-_PLAIN = re.compile(r"[\x09-\x0d\x20-\x7e¡-įı-ɏ‐-‧]*")
+_KINDS = [re.compile(f"[{c}]*") for c in (_LETTER, _DIGIT, rf"^\s{_LETTER}{_DIGIT}")]
+
+
+def _stays(c: str) -> bool:
+    """Whether the character's lower case, composed, is of the character's kind."""
+    kind = next((k for k in _KINDS if k.fullmatch(c)), None)
+    return kind is not None and bool(kind.fullmatch(unicodedata.normalize("NFC", c).lower()))
+
+
+#: Characters for which the shortcut is used; others (among them capitals whose lower case lies outside the letters above) go through the library.
+_PLAIN = re.compile(r"[\x09-\x0d\x20" + "".join(re.escape(chr(c)) for c in (*range(0x21, 0x7F), *range(0xA1, 0x250), *range(0x2010, 0x2028)) if _stays(chr(c))) + "]*")
 
 
 def prove_whole_tokens(path: str) -> set[str]:
@@ -74,10 +82,12 @@ class Counter:
             self.merged[word] = n
 
 
-@lru_cache(maxsize=1)
 def _counter(path: str, proven: frozenset[str]) -> Counter:
     """The worker's counter: what it remembers serves all tasks of the worker."""
-    return Counter(path, proven)
+    memory = remembered("token counts")
+    if path not in memory:
+        memory[path] = Counter(path, proven)
+    return memory[path]
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

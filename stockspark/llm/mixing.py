@@ -6,8 +6,9 @@ target over its size: the whole part is taken as it is, the fraction is rounded
 method: the flight moves the fractions of three documents at a time along the direction that
 keeps both the token total and the document total, until each is 0 or 1.  Blocks of a source
 fly on their own; the few fractions they leave fly together in the next round, the largest
-documents first, so what the landing rounds at last are few documents; some decisions are turned to make up
-what the landing missed of the token total.
+documents first, so what the landing rounds at last are few documents; then pairs of
+decisions are swapped, which keeps the document total, while that brings the token total nearer
+to what was meant.
 
 Texts that are null or empty have size 0; a source without words has target 0 and takes
 nothing; a null source is a source of its own, last in the order; repeated rows (equal id,
@@ -25,8 +26,6 @@ from stockspark.llm.common import WORD_SPLIT, column, stored
 
 #: Documents of one flight block.
 BLOCK = 2_000
-#: Documents that the landing may turn to make up what it missed.
-LANDING_TURNS = 256
 _EPS = 1e-12
 
 
@@ -79,6 +78,27 @@ def flight(p: np.ndarray, size: np.ndarray, order: np.ndarray, draw: np.ndarray)
     return p
 
 
+def _swap(p: np.ndarray, size: np.ndarray, meant: float) -> None:
+    """Swap a taken for a left document while that brings p @ size nearer to ``meant``; the sum of p stays."""
+    while True:
+        missed = meant - float(p @ size)
+        taken, left = np.flatnonzero(p == 1), np.flatnonzero(p == 0)
+        if not len(taken) or not len(left):
+            return
+        left = left[np.argsort(size[left], kind="stable")]
+        # for every taken document the left ones whose size is next to the wanted one
+        at = np.searchsorted(size[left], size[taken] + missed)
+        best = None
+        for near in (np.maximum(at - 1, 0), np.minimum(at, len(left) - 1)):
+            off = np.abs(missed - (size[left[near]] - size[taken]))
+            i = int(off.argmin())
+            if best is None or off[i] < best[0]:
+                best = (float(off[i]), taken[i], left[near[i]])
+        if best[0] >= abs(missed) - 1e-9:
+            return
+        p[best[1]], p[best[2]] = 0.0, 1.0
+
+
 def mix_sources(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.0, most: float = 3.0, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of docs with size, source_size, target, copies and taken (size * copies) added.
 
@@ -86,7 +106,9 @@ def mix_sources(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.0, mo
     seed only, so reruns agree.
     """
     own = docs.select(*(column(docs, c) for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken", "mix_key")))
-    own = own.withColumn("size", word_count(column(own, text))).withColumn("mix_key", F.xxhash64(F.lit(seed), column(own, doc_id), column(own, source), column(own, text)))
+    # xxhash64 passes over nulls: a flag per column tells which ones are null
+    given = [x for c in (doc_id, source, text) for x in (column(own, c).isNull(), column(own, c))]
+    own = own.withColumn("size", word_count(column(own, text))).withColumn("mix_key", F.xxhash64(F.lit(seed), *given))
     units = own.groupBy(column(own, source).alias("src"), "mix_key").agg(F.max("size").alias("doc_size"), F.count("*").alias("n"), F.min(column(own, doc_id)).alias("id"))
     units = stored(units, "units")
     # one row per source, as many as the source column has values
@@ -115,14 +137,7 @@ def mix_sources(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.0, mo
                     p[b] = total - p[a]
                 for i in open_:
                     p[i] = float(draw[i] < p[i]) if 1e-9 < p[i] < 1 - 1e-9 else float(round(p[i]))
-                # what the landing missed is made up by turning the documents that fit it best
-                for _ in range(LANDING_TURNS):
-                    change = np.where(p == 0, size, -size)
-                    missed = meant - float(p @ size)
-                    i = int(np.abs(missed - change).argmin())
-                    if abs(missed - change[i]) >= abs(missed):
-                        break
-                    p[i] = 1 - p[i]
+                _swap(p, size, meant)
             return table.set_column(table.schema.get_field_index("p"), "p", pa.array(p))
 
         return run

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from stockspark.llm import topk_search
-from stockspark.llm.mixing import mix_sources, targets
+from stockspark.llm.mixing import _swap, mix_sources, targets
 from stockspark.llm.topk_search import top_k
 
 
@@ -57,3 +57,30 @@ def test_mix_meets_targets_and_repeats(docs_of):
         assert all(r[4] <= 3 * r[1] for r in mine)
     assert mix_sources(docs_of([])).collect() == []
     assert [r.taken for r in mix_sources(docs_of([(1, "a b", None, "s")]).withColumn("target", F.lit("x"))).collect()] == [2]
+
+
+def test_null_columns_are_told_apart(docs_of):
+    rows = [(1, None, None, "a"), (1, "a", None, None), (None, "a", None, "a"), (1, "a", None, "a")]
+    got = [(r.doc_id, r.text, r.source) for r in mix_sources(docs_of(rows)).collect()]
+    assert sorted(got, key=str) == sorted([(d, t, s) for d, t, _, s in rows], key=str)
+
+
+def test_landing_keeps_the_document_total():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        size = rng.integers(1, 200, 80).astype(float)
+        p = (rng.random(80) < 0.4).astype(float)
+        meant, before, n = float(p @ size) + rng.integers(-90, 90), p.copy(), p.sum()
+        _swap(p, size, meant)
+        assert p.sum() == n and abs(meant - p @ size) <= abs(meant - before @ size) and set(p) <= {0.0, 1.0}
+
+
+def test_document_and_token_totals_of_every_source(docs_of):
+    rng = random.Random(12)
+    rows = [(i, " ".join("w" for _ in range(rng.randint(1, 80))), None, rng.choice(["a", "b", "c"])) for i in range(3000)]
+    got = mix_sources(docs_of(rows)).collect()
+    for name in "abc":
+        mine = [r for r in got if r.source == name]
+        expected = mine[0].target / mine[0].source_size
+        assert abs(sum(r.copies for r in mine) - expected * len(mine)) <= 2
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 5

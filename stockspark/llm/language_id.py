@@ -14,6 +14,8 @@ scored each; an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 import uuid
 from collections import Counter
 from functools import lru_cache
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockspark.llm.common import U64, column, mix, stored, text_chunks
+from stockspark.llm.common import U64, column, mix, remembered, stored, text_chunks
 
 #: Labelled texts of each language that the fit uses, and its rounds.
 FIT_DOCS, ROUNDS = 4_000, 2
@@ -31,22 +33,36 @@ FIT_DOCS, ROUNDS = 4_000, 2
 FIT_TASKS = 12
 #: Words that one worker remembers, and the letters after which a long word is cut.
 REMEMBERED, LONGEST = 300_000, 100
-_WORD = re.compile(r"[^\W\d_]+")
 _LOW = U64((1 << 20) - 1)
 _BASE, _UNKNOWN = U64(0x9E3779B97F4A7C15), 1e-7
 #: Probabilities are scaled by this per letter, so that products stay in range.
 _SCALE = 100.0
 
 
+def _class(wanted) -> str:
+    """A character class of all characters whose category is wanted, as ranges."""
+    codes = [c for c in range(sys.maxunicode + 1) if wanted(unicodedata.category(chr(c)))]
+    runs = np.split(np.array(codes), np.flatnonzero(np.diff(codes) != 1) + 1)
+    return "".join(f"{re.escape(chr(r[0]))}-{re.escape(chr(r[-1]))}" for r in runs)
+
+
+#: Letters (categories L*), and marks (M*) inside a word.
+_LETTERS = "[" + _class(lambda c: c[0] == "L") + "]+"
+_WORD = re.compile(f"{_LETTERS}(?:[{_class(lambda c: c[0] == 'M')}]+(?:{_LETTERS})?)*")
+
+
 @lru_cache(maxsize=1)
 def _pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-@lru_cache(maxsize=1)
 def _memory(model: str, languages: int) -> dict:
     """What a worker remembers of one model: the place of each word and its values."""
-    return {"place": {}, "logs": np.zeros((0, languages))}
+    memory = remembered("language ID")
+    if model not in memory:
+        memory.clear()
+        memory[model] = {"place": {}, "logs": np.zeros((0, languages))}
+    return memory[model]
 
 
 class Pieces:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 P = pytest.importorskip("public_tokenizers")
 
 from stockspark.llm.decontamination import contained_items, without_items  # noqa: E402
-from stockspark.llm.language_id import Pieces, identify_languages, word_logs  # noqa: E402
+from stockspark.llm.language_id import Pieces, identify_languages, word_logs, words_of  # noqa: E402
 from stockspark.llm.lm_scoring import build_segment, count_of, lm_scores, pair_probability, probe, quantised  # noqa: E402
+from tests.llm.brute import crafted_words  # noqa: E402
 from stockspark.llm.warc import base32_sha1, read_warc, work_dir, write_warc  # noqa: E402
 
 
@@ -138,3 +139,19 @@ def test_warc_round_trip(spark):
     names = sorted((r.name, r.sha1) for r in manifest.collect())
     assert len(names) > 3 and names == sorted((r.name, r.sha1) for r in again.collect())
     assert write_warc(df.limit(0), work_dir(spark, "warc-test")).collect() == []
+
+
+def test_letters_are_letters_and_marks_stay_inside_words(docs_of):
+    rows = [(i, ("the house and the garden", "das haus und der garten")[i % 2], ("en", "de")[i % 2]) for i in range(40)]
+    rows += [(100, "½ ² ① Ⅷ _ 3", None), (101, "\u0301\u0300", None), (102, "the ½ house", None)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify_languages(docs_of(rows), P.path("piece_bpe_32k.model"), F.lit(True)).collect()}
+    assert got[100] == got[101] == ("und", 0.0) and got[102][0] == "en"
+    assert words_of("नमस्ते, दुनिया e\u0301t\u0301 x²y") == ["नमस्ते", "दुनिया", "e\u0301t\u0301", "x", "y"]
+
+
+def test_crafted_words_are_different_tokens(docs_of):
+    one, two = crafted_words()
+    got = {r.doc_id: r for r in lm_scores(docs_of([(d, one) for d in range(30)] + [(d, two) for d in (1000, 1001)])).collect()}
+    trained = sum(zlib.crc32(str(d).encode()) % 10 != 0 for d in range(30))
+    n = got[0].train_tokens
+    assert abs(got[0].base_score - got[1000].base_score) > 0.5 and n >= 2 * trained

@@ -6,7 +6,7 @@ writes each stage's rows as Parquet to the shared folder and reads them again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockspark.llm.common import stored
@@ -25,11 +25,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, one row of each doc_id; rows with a null id stay."""
-    kept = near_duplicates(docs, words=5, threshold=0.8).where("kept and doc_id is not null").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
-    one = docs.join(kept, "doc_id", "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1")
-    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of each near-duplicate group.
+
+    Every row is a document of its own, whatever its doc_id: rows that share an id but not their
+    text are told apart, and rows with a null id take part.  The row numbers are written first.
+    """
+    row = next(n for n in (f"row_{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    kept = near_duplicates(numbered, words=5, threshold=0.8, doc_id=row).where("kept").select(F.col("doc_id").alias(row))
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

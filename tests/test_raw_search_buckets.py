@@ -42,6 +42,13 @@ def test_raw_bodies_are_judged_before_they_are_typed(spark):
     assert (cells[0].staff_id.given, cells[3].staff_id.given, cells[3].staff_id.value) == (False, True, None)
 
 
+def test_a_raw_body_is_read_once_per_field(spark):
+    df = spark.createDataFrame(list(enumerate(b for b, _ in BODIES)), "seq int, json string")
+    plan = RQ.report(df, "sales")._jdf.queryExecution().optimizedPlan().toString()
+    # the field itself and its text; a filter moved below the fields had over a hundred
+    assert 0 < plan.count("try_variant_get(") <= 2 * len(RQ.RULES["sales"])
+
+
 def _stored(spark, df, name):
     path = f"{checkpoint_dir(spark)}/tests/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

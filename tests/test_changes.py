@@ -326,6 +326,22 @@ def test_admission_slices_of_one_hot_item(spark):
     assert _admitted(spark, [], {}, slice_rows=10) == {}
 
 
+def test_small_slices_do_not_make_a_file_each(spark):
+    import os
+
+    from stockspark.plans import admission
+    from stockspark.session import checkpoint_dir
+
+    rows = [(rid, 1 + rid % 3, 1 + rid % 5) for rid in range(1200)]
+    stock = {1: 300, 2: 500, 3: 10**6}
+    base = checkpoint_dir(spark).removeprefix("file:") + "/stockspark"
+    known = set(os.listdir(base)) if os.path.isdir(base) else set()
+    assert _admitted(spark, rows, stock, slice_rows=1) == _one_by_one(rows, stock)
+    (mine,) = [d for d in os.listdir(base) if d.startswith("admission-") and d not in known]
+    files = [f for f in os.listdir(f"{base}/{mine}/passed") if f.endswith(".parquet")]
+    assert 1 < len(files) <= admission.MOST_SLICES  # was one for each of the 1,200 requests
+
+
 def test_sale_post_marks_and_numbers_what_it_sells(spark, frames):
     inv = _inv(frames, {1: 5, 2: 5})
     sales = frames.sales([{"id": 40, "item_id": 1, "quantity": 1, "unit_price": D(1), "total_price": D(1)}])

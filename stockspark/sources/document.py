@@ -21,10 +21,10 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-import re
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,20 +36,38 @@ from .fixtures import literal_rows
 #: Nesting at which the records of a table lie: document, data, table.
 RECORD_DEPTH = 3
 
-_BRACKET = re.compile(r"[{}\[\]]")
 _RANGE = ["file", "start"]
+#: What a byte is: 2 for a quote, 1 for a bracket that opens, -1 for one that closes.
+_MARK = np.zeros(256, dtype=np.int8)
+_MARK[ord('"')] = 2
+_MARK[list(b"{[")] = 1
+_MARK[list(b"}]")] = -1
 
 
-def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-    """(range, text from a ``{`` to the next, the same with escaped characters blanked out, further columns)."""
+def _stretches(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """(range, text, places of its quotes and brackets, their marks, further columns) of what a batch holds of a range.
+
+    Escaped characters are blanked out before marks are looked for.
+    """
     now = None
     for batch in batches:
-        for file, start, value, *more in zip(*(c.to_pylist() for c in batch.columns)):
-            here = (file, start)
-            text = value if here != now and start == 0 else "{" + value
+        if not batch.num_rows:
+            continue
+        file, start, value, *more = batch.columns
+        border = np.diff(file.dictionary_encode().indices.to_numpy()) != 0
+        border |= np.diff(start.to_numpy()) != 0
+        cuts = [0, *(np.flatnonzero(border) + 1).tolist(), batch.num_rows]
+        pieces = value.cast(pa.binary()).to_pylist()
+        for s, e in zip(cuts, cuts[1:]):
+            here = (file[s].as_py(), start[s].as_py())
+            text = b"{".join(pieces[s:e])
+            if here == now or here[1] != 0:  # only a file's first piece has no bracket before it
+                text = b"{" + text
             now = here
-            masked = text.replace("\\\\", "  ").replace('\\"', "  ") if "\\" in text else text
-            yield here, text, masked, *more
+            masked = text.replace(b"\\\\", b"  ").replace(b'\\"', b"  ") if b"\\" in text else text
+            mark = _MARK[np.frombuffer(masked, dtype=np.uint8)]
+            at = np.flatnonzero(mark)
+            yield here, text, at, mark[at].astype(np.int64), *(c[s].as_py() for c in more)
 
 
 _SHAPE = "file string, start bigint, quotes boolean, outside bigint, inside bigint"
@@ -58,11 +76,14 @@ _SHAPE = "file string, start bigint, quotes boolean, outside bigint, inside bigi
 def _shapes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per range: whether its quotes toggle the state, and its change of depth when it starts outside or inside a string."""
     ranges: dict = {}
-    for here, _, masked in _pieces(batches):
+    for here, _, _, mark in _stretches(batches):
         shape = ranges.setdefault(here, [0, 0, 0])  # parity, change by the even and by the odd stretches between quotes
-        for i, part in enumerate(masked.split('"')):
-            shape[1 + ((i + shape[0]) & 1)] += part.count("{") + part.count("[") - part.count("}") - part.count("]")
-        shape[0] ^= masked.count('"') & 1
+        quote = mark == 2
+        odd = (np.cumsum(quote) + shape[0]) & 1
+        change = np.where(quote, 0, mark)
+        shape[1] += int(change[odd == 0].sum())
+        shape[2] += int(change[odd == 1].sum())
+        shape[0] ^= int(quote.sum()) & 1
     rows = [(f, s, bool(q), a, b) for (f, s), (q, a, b) in ranges.items()]
     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()))], names=[c.split()[0] for c in _SHAPE.split(", ")])
 
@@ -72,55 +93,63 @@ _FOUND = "file string, start bigint, position bigint, kind string, text string"
 
 
 def _find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out: list[tuple] = []
-    now, inside, depth, position = None, False, 0, 0
-    record, kind, key = None, "record", None
-
-    def close() -> None:
-        if record is not None:
-            out.append((*now, position, "more" if kind == "more" else "head", "".join(record)))
-
-    for here, text, masked, *begin in _pieces(batches):
+    now, inside, depth, position = None, 0, 0, 0
+    record, kind, key = None, "record", None  # what a record over the stretch's border has so far; the last string
+    for here, text, at, mark, *begin in _stretches(batches):
         if here != now:
-            close()
+            if record is not None:
+                yield _found([(*now, position, "more" if kind == "more" else "head", b"".join(record))])
             now, (inside, depth), position, key = here, begin, 0, None
             record, kind = ([], "more") if depth > RECORD_DEPTH else (None, "record")
-        at = cut = 0
-        for part in masked.split('"'):
-            if inside:
-                key = text[at : at + len(part)]
-            else:
-                for m in _BRACKET.finditer(part):
-                    if m[0] in "{[":
-                        position += 1
-                        if depth == RECORD_DEPTH and m[0] == "{":
-                            record, kind, cut = [], "record", at + m.start()
-                        elif depth == RECORD_DEPTH - 1 and m[0] == "[":
-                            out.append((*now, position, "table", key))
-                        elif depth == RECORD_DEPTH - 2 and m[0] == "{":
-                            out.append((*now, position, "root", key))
-                        depth += 1
-                    else:
-                        depth -= 1
-                        if depth == RECORD_DEPTH and record is not None:
-                            record.append(text[cut : at + m.start() + 1])
-                            out.append((*now, position, kind, "".join(record)))
-                            record = None
-            inside = not inside
-            at += len(part) + 1
-        inside = not inside  # the last stretch ends without a quote
-        if record is not None:
-            record.append(text[cut:])
-        if len(out) >= 1000:
-            yield _found(out)
-            out.clear()
-    close()
-    yield _found(out)
+        out: list[tuple] = []
+        quote = mark == 2
+        live = ~quote & (((np.cumsum(quote) + inside) & 1) == 0)
+        quotes, place, step = at[quote], at[live], mark[live]
+        after = depth + np.cumsum(step)
+        before = after - step
+        opened = position + np.cumsum(step > 0)
+
+        def name(b: int) -> bytes | None:
+            """The last string before ``b``, which lies outside of strings."""
+            k = int(np.searchsorted(quotes, b))
+            if not k:
+                return key
+            return text[int(quotes[k - 2]) + 1 if k > 1 else 0 : int(quotes[k - 1])]
+
+        for level, bracket, found in ((RECORD_DEPTH - 2, b"{", "root"), (RECORD_DEPTH - 1, b"[", "table")):
+            for i in np.flatnonzero((before == level) & (step > 0)).tolist():
+                b = int(place[i])
+                if text[b : b + 1] == bracket:
+                    out.append((*now, int(opened[i]), found, name(b)))
+        begins, ends = np.flatnonzero((before == RECORD_DEPTH) & (step > 0)), np.flatnonzero((after == RECORD_DEPTH) & (step < 0))
+        if depth > RECORD_DEPTH:  # the stretch begins inside of a record
+            if len(ends):
+                if record is not None:
+                    record.append(text[: int(place[ends[0]]) + 1])
+                    out.append((*now, int(opened[ends[0]]), kind, b"".join(record)))
+                record, ends = None, ends[1:]
+            elif record is not None:
+                record.append(text)
+        from_, to = place[begins].tolist(), (place[ends] + 1).tolist()
+        for b, e, n in zip(from_, to, opened[ends].tolist()):
+            if text[b : b + 1] == b"{":
+                out.append((*now, n, "record", text[b:e]))
+        if len(from_) > len(to) and text[from_[-1] : from_[-1] + 1] == b"{":
+            record, kind = [text[from_[-1] :]], "record"
+        if len(quotes):
+            key = name(len(text)) if not (inside + len(quotes)) & 1 else text[int(quotes[-1]) + 1 :]
+        inside = (inside + len(quotes)) & 1
+        if len(step):
+            depth, position = int(after[-1]), int(opened[-1])
+        yield _found(out)
+    if record is not None:
+        yield _found([(*now, position, "more" if kind == "more" else "head", b"".join(record))])
 
 
 def _found(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[c.split()[0] for c in _FOUND.split(", ")])
+    file, start, position, kind, text = zip(*rows) if rows else ((),) * 5
+    columns = [pa.array(file, pa.string()), pa.array(start, pa.int64()), pa.array(position, pa.int64()), pa.array(kind, pa.string()), pa.array(text, pa.binary()).cast(pa.string())]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _FOUND.split(", ")])
 
 
 def read_document(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
@@ -133,7 +162,8 @@ def read_document(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]
     text = spark.read.option("lineSep", "{").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value"
     )
-    shapes = text.mapInArrow(_shapes, _SHAPE).orderBy(*_RANGE).collect()
+    # a few numbers per range, put in order here: a sort by Spark would look at the whole text twice
+    shapes = sorted(text.mapInArrow(_shapes, _SHAPE).collect(), key=lambda r: (r.file, r.start))
     begins, inside, depth = [], False, 0
     for r in shapes:
         begins.append((r.file, r.start, inside, depth))

@@ -66,3 +66,21 @@ def test_two_unique_keys_settle_like_inserting_one_by_one(spark, seed):
         names.add(name)
         want.append((int(i), name))
     assert sorted((r.id, r.name) for r in m.tables["categories"].collect()) == sorted(want)
+
+
+def test_children_are_not_moved_to_find_their_parents(spark, monkeypatch):
+    """Parents beyond the broadcast size: the rows meet only the values without a parent, which are few."""
+    root = f"{M.checkpoint_dir(spark)}/tests/orphans-{M.uuid.uuid4().hex}"
+    spark.range(20_000).write.parquet(f"{root}/parents")
+    rows = spark.range(60_000).selectExpr("id % 20003 as item_id", "cast(null as string) as _reason", "id as _row")
+    rows.where("_row > 10").unionByName(spark.sql("select cast(null as bigint) item_id, cast(null as string) _reason, 3L _row")).write.parquet(f"{root}/rows")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8KB")
+    try:
+        judged = M._without_parent(spark.read.parquet(f"{root}/rows"), "item_id", spark.read.parquet(f"{root}/parents"), f"{root}/orphans")
+        plan = judged._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        assert {(r.item_id, r.n) for r in judged.where("_reason = 'foreign:item_id'").groupBy("item_id").agg(F.count("*").alias("n")).collect()} == {(20000, 2), (20001, 2), (20002, 2)}
+        assert judged.count() == 59_990 and judged.columns == ["item_id", "_reason", "_row"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -109,3 +109,14 @@ def test_jobs_on_bucketed_tables_leave_the_table_in_place(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert os.path.isdir(checkpoint_dir(spark))
+
+
+def test_buckets_follow_the_rows(spark, monkeypatch):
+    """A bucket is sorted by one task, so a large table has more of them than the session has shuffle partitions."""
+    from stockspark.sources import buckets
+
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(buckets, "BUCKET_ROWS", 100, raising=False)
+    df = spark.range(100 * (width + 3))
+    stored = bucketed(df)
+    assert stored.select(F.input_file_name()).distinct().count() > width and stored.count() == df.count()

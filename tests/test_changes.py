@@ -7,8 +7,9 @@ from pyspark.sql import types as T
 
 from stockspark.operators import changes as E
 from stockspark.plans.ordering import dense_number, monoid_fold
+from stockspark.sources.fixtures import Tables
 
-from .conftest import D, TS
+from .conftest import D, SMOKE_DIR, TS
 
 
 def _inv(frames, stock: dict[int, int]):
@@ -223,6 +224,23 @@ def test_dense_number_many_partitions(spark):
     assert [n for _, n in rows] == list(range(1001, 21001))
 
 
+def test_dense_number_by_several_columns(spark):
+    """As by one struct of them, nulls first."""
+    df = spark.range(0, 5000).select((F.col("id") % 7).alias("a"), F.when(F.col("id") % 11 != 0, -F.col("id")).alias("b"), "id").repartition(9)
+    got = {r.id: r.n for r in dense_number(df.where("b is not null or id < 7"), ["a", "b", "id"], "n").collect()}
+    rows = sorted((i % 7, i % 11 != 0, -i if i % 11 else i, i) for i in range(5000) if i % 11 or i < 7)
+    assert got == {r[3]: n for n, r in enumerate(rows, 1)}
+
+
+def test_sales_are_sorted_before_what_the_sort_does_not_need(spark):
+    """A range sort evaluates its rows twice, so prices and texts of a sale are derived after it."""
+    t = Tables(spark, SMOKE_DIR)
+    assert "sale_date" in t._build_sales().columns and "unit_price" not in t._build_sales().columns
+    plain = Tables(spark, SMOKE_DIR, materialize=False)
+    assert plain.sales.schema.simpleString() == t.sales.schema.simpleString()
+    assert plain.sales.exceptAll(t.sales).count() == t.sales.exceptAll(plain.sales).count() == 0
+
+
 def test_monoid_fold_is_ordered(spark):
     # string concatenation is associative but not commutative
     df = spark.range(0, 500).select(F.lit(1).alias("k"), F.col("id").alias("seq"), F.col("id").cast("string").alias("v"))

@@ -10,10 +10,13 @@ What remains is confirmed on the full sets.
 Texts with equal sets are one class (its smallest doc_id stands for it).  Only links that can
 join different components are looked for.  The first bands give links of every member of a
 bucket with its most typical member; what they confirm is joined, and of the next bands only
-buckets take part whose members are still of several components.  At last all pairs of a bucket
-that lie in different components are looked at, the likeliest first; a pair that meets in several
-bands is taken in the first of them.  So a group of thousands of near copies costs about one link
-per member, and no link between different texts is lost.
+buckets take part whose members are still of several components.  Then every text outside a
+bucket's largest component is linked with its likeliest partners.  At last all pairs of a bucket
+that lie in different components are compared where the bucket is, on the full sets that its
+members bring along; a pair that meets in several bands is taken in the first of them, and only
+links that join two components leave the task, fewer than members.  So a group of thousands of
+near copies, and one of texts just below the threshold, gives about one row per member, and no
+link between different texts is lost.
 
 Null or empty texts have an empty set and are linked with nothing; texts shorter than a
 shingle have their whole word sequence as the one shingle; rows of one doc_id count as one
@@ -40,6 +43,8 @@ SLACK = 5
 SET_BYTES = 1 << 20
 #: Members of a hot centre that one verification bucket takes.
 FAN = 256
+#: Partners of a text that are tried before all that are still apart.
+LIKELIEST = 2
 #: Bands of each linking step.
 STEPS = ((0, 4), (4, BANDS))
 #: Rows of pairs (24 bytes each) that are broadcast to find their texts; beyond that the texts are shuffled.
@@ -155,35 +160,62 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, doc
         out = _pairs(one, two)
         return out.append_column("like", pa.array(np.concatenate(like) if like else np.zeros(0), pa.float64()))
 
-    def across(likeliest: int | None):
-        return lambda table: _across(table, likeliest)
-
-    def _across(table: pa.Table, likeliest: int | None) -> pa.Table:
-        """Pairs of different components whose estimate may reach the threshold: all, or the likeliest of every text outside the largest component."""
-        key, doc, bits, component, order = _bits(table)
-        bands = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(key), -1)[order]
+    def likeliest(table: pa.Table) -> pa.Table:
+        """The LIKELIEST pairs with other components, of every text outside the largest component, whose estimate may reach the threshold."""
+        key, doc, bits, component, _ = _bits(table)
         start = first_of_equal(key)
         one, two = [], []
         for s, e in zip(start.tolist(), [*start[1:].tolist(), len(key)]):
-            names, inverse, count = np.unique(component[s:e], return_inverse=True, return_counts=True)
-            largest = count.argmax()
-            for i in (s + np.flatnonzero(inverse != largest)).tolist():
-                other = component[s:e] != component[i]
-                if likeliest is None:  # between two of the smaller components a pair is taken once
-                    other &= (inverse == largest) | (doc[s:e] > doc[i])
-                at = s + np.flatnonzero(other)
+            _, inverse, count = np.unique(component[s:e], return_inverse=True, return_counts=True)
+            for i in (s + np.flatnonzero(inverse != count.argmax())).tolist():
+                at = s + np.flatnonzero(component[s:e] != component[i])
                 value = estimate(bits[at], bits[i])
                 at, value = at[value >= floor], value[value >= floor]
-                if likeliest is not None:
-                    if len(at) > likeliest:
-                        at = at[np.argpartition(-value, likeliest)[:likeliest]]
-                elif len(at):  # the first band that the two share gives the pair
-                    same = bands[at] == bands[i]
-                    at = at[bands[i][same.argmax(axis=1)] == key[i]]
+                if len(at) > LIKELIEST:
+                    at = at[np.argpartition(-value, LIKELIEST)[:LIKELIEST]]
                 one.append(np.full(len(at), doc[i]))
                 two.append(doc[at])
         return _pairs(one, two)
 
+    def joining(table: pa.Table) -> pa.Table:
+        """Links of different components, confirmed on the full sets; components joined in a bucket count as one for its further pairs."""
+        key, doc, bits, component, order = _bits(table)
+        bands = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(key), -1)[order]
+        cells = table.column("shingles").combine_chunks()
+        start = first_of_equal(key)
+        one, two = [], []
+        for s, e in zip(start.tolist(), [*start[1:].tolist(), len(key)]):
+            sets = [np.frombuffer(cells[i].as_py(), dtype=np.uint64) for i in order[s:e].tolist()]
+            size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+            _, was, count = np.unique(component[s:e], return_inverse=True, return_counts=True)
+            largest, now = count.argmax(), was.copy()
+            for i in np.flatnonzero(was != largest).tolist():
+                # between two of the smaller components a pair is taken once
+                at = np.flatnonzero((now != now[i]) & (was != was[i]) & ((was == largest) | (doc[s:e] > doc[s + i])))
+                value = estimate(bits[s + at], bits[s + i])
+                at, value = at[value >= floor], value[value >= floor]
+                if len(at):  # the first band that the two share gives the pair
+                    same = bands[s + at] == bands[s + i]
+                    first = bands[s + i][same.argmax(axis=1)] == key[s]
+                    at = at[first][np.argsort(-value[first], kind="stable")]
+                while len(at):
+                    part, at = at[:FAN], at[FAN:]
+                    hits = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(is_in(np.concatenate([sets[j] for j in part]), sets[i]))))
+                    ends = np.cumsum(size[part])
+                    both = hits[ends] - hits[ends - size[part]]
+                    for j in part[(both > 0) & (both >= threshold * (size[i] + size[part] - both) - 1e-9)].tolist():
+                        if now[j] != now[i]:
+                            one.append(doc[s + i : s + i + 1])
+                            two.append(doc[s + j : s + j + 1])
+                            now[now == now[j]] = now[i]
+                    at = at[now[at] != now[i]]
+        return _pairs(one, two)
+
+    def shingles(batches):
+        for part, texts in text_chunks(batches, limit=SET_BYTES):
+            shingle, bounds = shingle_sets(texts, words)
+            yield pa.record_batch([part.column("doc"), pa.array([shingle[s:e].tobytes() for s, e in zip(bounds, bounds[1:])], pa.binary())], names=["doc", "shingles"])
+
     def verify(table: pa.Table) -> pa.Table:
         """Confirm (centre, doc) rows on full sets; a centre's own row has doc = centre."""
         centre, doc = table.column("centre").to_numpy(), table.column("doc").to_numpy()
@@ -211,7 +243,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, doc
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The (a, b) pairs whose sets reach the threshold; pairs of one centre spread over buckets of FAN members."""
-        pairs = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+        # stored: they are read for both degrees and for the pairs
+        pairs = stored(pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct(), "candidates")
         both = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
         degree = both.groupBy("x").count()
         pairs = pairs.join(degree.select("x", F.col("count").alias("dx")), "x").join(degree.select(F.col("x").alias("y"), F.col("count").alias("dy")), "y")
@@ -249,10 +282,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, doc
         links = stored(links.unionByName(confirmed(star.select(F.explode("best.a").alias("a"), "b"))).distinct(), "links")
         part = connected_components(links)
     # the likeliest pairs join most of what belongs together; then every pair that is still apart
-    for likeliest in (2, None):
-        pairs = by_bucket(members((0, BANDS), part)).applyInArrow(across(likeliest), "a long, b long")
-        links = stored(links.unionByName(confirmed(pairs)).distinct(), "links")
-        part = connected_components(links)
+    pairs = by_bucket(members((0, BANDS), part)).applyInArrow(likeliest, "a long, b long")
+    links = stored(links.unionByName(confirmed(pairs)).distinct(), "links")
+    apart = members((0, BANDS), connected_components(links))
+    wanted = rows.withColumnRenamed("doc_id", "doc").join(apart.select("doc").distinct(), "doc").dropDuplicates(["doc"])
+    pairs = by_bucket(apart.join(wanted.mapInArrow(shingles, "doc long, shingles binary"), "doc")).applyInArrow(joining, "a long, b long")
+    links = stored(links.unionByName(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "links")
+    part = connected_components(links)
     ends = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
     out = known.join(classes, same_set, "left").join(part.withColumnRenamed("node", "class_id"), "class_id", "left").join(ends, "class_id", "left")
     own = F.coalesce("component", "class_id", "doc_id")

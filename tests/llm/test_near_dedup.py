@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 
+from stockspark.llm import near_dedup
 from stockspark.llm.components import connected_components
 from stockspark.llm.near_dedup import estimate, near_duplicates, packed_bits, shingle_sets, signatures
 from tests.llm.brute import crafted_words, near
@@ -64,3 +65,27 @@ def test_crafted_words_are_not_linked_and_columns_may_clash(docs_of):
     data = [(1, one), (2, two), (3, one), (4, " ".join(one)), (5, " ".join(two))]
     df = docs_of(data).withColumnRenamed("lang", "doc").withColumnRenamed("source", "print").withColumnRenamed("n_chars", "bits")
     assert result(df, words=4) == sorted(near(data, 4), key=str)
+
+
+def test_texts_just_below_the_threshold_give_no_pair_rows(docs_of, monkeypatch):
+    """A group in which hardly a pair is similar enough: its pairs do not leave the task that compares them."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    data = []
+    for d in range(150):
+        copy = list(base)
+        for at in rng.sample(range(150), 3):
+            copy[at] = f"x{rng.random()}"
+        data.append((d, " ".join(copy)))
+    data += [(500 + d, text + " tail") for d, text in data[:5]]
+    written: dict = {}
+    keep = near_dedup.stored
+
+    def counted(df, name):
+        out = keep(df, name)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "stored", counted)
+    assert result(docs_of(data), words=4) == sorted(near(data, 4), key=str)
+    assert written["links"] < 155 and max(written["pairs"], written.get("candidates", 0)) < len(data) ** 2 // 4

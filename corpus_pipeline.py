@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockspark.llm.common import stored
+from stockspark.llm.common import bit_maps, in_maps, stored
 from stockspark.llm.decontamination import without_items
 from stockspark.llm.language_id import identify_languages
 from stockspark.llm.mixing import mix_sources
@@ -28,12 +28,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group.
 
     Every row is a document of its own, whatever its doc_id: rows that share an id but not their
-    text are told apart, and rows with a null id take part.  The row numbers are written first.
+    text are told apart, and rows with a null id take part.  The row numbers are written first; the numbers
+    kept come back as a bit each, so the texts are not shuffled to find them.
     """
     row = next(n for n in (f"row_{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
     numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    kept = near_duplicates(numbered, words=5, threshold=0.8, doc_id=row).where("kept").select(F.col("doc_id").alias(row))
-    return numbered.join(kept, row, "left_semi").select(*docs.columns)
+    kept = near_duplicates(numbered, words=5, threshold=0.8, doc_id=row).where("kept").select(F.col("doc_id").alias("number"))
+    return in_maps(numbered, numbered[row], bit_maps(kept)).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,12 +12,16 @@ join different components are looked for.  The first bands give links of every m
 bucket with its most typical member; what they confirm is joined, and of the next bands only
 buckets take part whose members are still of several components.  Then every text outside a
 bucket's largest component is linked with its likeliest partners.  At last all pairs of a bucket
-that lie in different components are compared where the bucket is, on the full sets that its
-members bring along; a pair that meets in several bands is taken in the first of them, and only
+that lie in different components are compared where the bucket is, on the full sets that the
+members of such pairs (by their estimate) bring along; a pair that meets in several bands is taken in the first of them, and only
 links that join two components leave the task, fewer than members.  So a group of thousands of
 near copies, and one of texts just below the threshold, gives about one row per member, and no
 link between different texts is lost.
 
+Components only grow, so the members of the buckets still to be looked at are taken from those
+found before.  Texts, sets and signatures go through a shuffle only where a pair needs them: a bit
+map of what is wanted tells rows to leave out before the shuffle (``partnered``).
+
 Null or empty texts have an empty set and are linked with nothing; texts shorter than a
 shingle have their whole word sequence as the one shingle; rows of one doc_id count as one
 document; rows with a null doc_id are linked with nothing (component null, kept); an empty
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockspark.llm.common import U64, Words, buckets_for, column, first_of_equal, is_in, mix, prefix_hash, remembered, span_hash, stored, text_chunks
+from stockspark.llm.common import U64, Words, bit_maps, buckets_for, column, first_of_equal, in_maps, is_in, mix, prefix_hash, remembered, span_hash, stored, text_chunks
 from stockspark.llm.components import connected_components
 
 BANDS, ROWS, BITS = 24, 3, 2
@@ -47,8 +51,10 @@ FAN = 256
 LIKELIEST = 2
 #: Bands of each linking step.
 STEPS = ((0, 4), (4, BANDS))
-#: Rows of pairs (24 bytes each) that are broadcast to find their texts; beyond that the texts are shuffled.
-BROADCAST_ROWS = 1 << 19
+#: Rows (24 bytes each at most) that are broadcast to find their partners; beyond that those with a partner are shuffled.
+BROADCAST_ROWS = 1 << 16
+#: Bits of a bit map per wanted row (about one unwanted row in eight is taken along), and bits at most (32 MB).
+WANTED_BITS, MOST_BITS = 8, 1 << 28
 _MULTIPLY = np.random.default_rng(97).integers(1, 1 << 63, HASHES, dtype=np.uint64) * U64(2) + U64(1)
 _ODD = U64(0x5555555555555555)
 _PRINTS = (U64(0), U64(0xC2B2AE3D27D4EB4F))
@@ -177,27 +183,54 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, doc
                 two.append(doc[at])
         return _pairs(one, two)
 
+    def _apart(i, s, e, key, doc, bits, now, was, largest, bands) -> tuple[np.ndarray, np.ndarray]:
+        """Members of a bucket that i has to be compared with, and their estimates."""
+        # between two of the smaller components a pair is taken once
+        at = np.flatnonzero((now != now[i]) & (was != was[i]) & ((was == largest) | (doc[s:e] > doc[s + i])))
+        value = estimate(bits[s + at], bits[s + i])
+        at, value = at[value >= floor], value[value >= floor]
+        if len(at):  # the first band that the two share gives the pair
+            same = bands[s + at] == bands[s + i]
+            first = bands[s + i][same.argmax(axis=1)] == key[s]
+            at, value = at[first], value[first]
+        return at, value
+
+    def _bands(table: pa.Table, order: np.ndarray) -> np.ndarray:
+        return table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(order), -1)[order]
+
+    def unsettled(table: pa.Table) -> pa.Table:
+        """The members that ``joining`` has to compare; main: of the bucket's largest component."""
+        key, doc, bits, component, order = _bits(table)
+        bands = _bands(table, order)
+        start = first_of_equal(key)
+        take, main = np.zeros(len(key), dtype=bool), np.zeros(len(key), dtype=bool)
+        for s, e in zip(start.tolist(), [*start[1:].tolist(), len(key)]):
+            _, was, count = np.unique(component[s:e], return_inverse=True, return_counts=True)
+            largest = count.argmax()
+            main[s:e] = was == largest
+            for i in np.flatnonzero(was != largest).tolist():
+                at, _ = _apart(i, s, e, key, doc, bits, was, was, largest, bands)
+                if len(at):
+                    take[s + i] = True
+                    take[s + at] = True
+        return pa.table([pa.array(x[take]) for x in (key, doc, component, main)], names=["key", "doc", "component", "main"])
+
     def joining(table: pa.Table) -> pa.Table:
         """Links of different components, confirmed on the full sets; components joined in a bucket count as one for its further pairs."""
         key, doc, bits, component, order = _bits(table)
-        bands = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(key), -1)[order]
+        bands = _bands(table, order)
+        main = table.column("main").to_numpy()[order]
         cells = table.column("shingles").combine_chunks()
         start = first_of_equal(key)
         one, two = [], []
         for s, e in zip(start.tolist(), [*start[1:].tolist(), len(key)]):
             sets = [np.frombuffer(cells[i].as_py(), dtype=np.uint64) for i in order[s:e].tolist()]
             size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
-            _, was, count = np.unique(component[s:e], return_inverse=True, return_counts=True)
-            largest, now = count.argmax(), was.copy()
+            _, was = np.unique(component[s:e], return_inverse=True)
+            now, largest = was.copy(), was[main[s:e].argmax()] if main[s:e].any() else -1
             for i in np.flatnonzero(was != largest).tolist():
-                # between two of the smaller components a pair is taken once
-                at = np.flatnonzero((now != now[i]) & (was != was[i]) & ((was == largest) | (doc[s:e] > doc[s + i])))
-                value = estimate(bits[s + at], bits[s + i])
-                at, value = at[value >= floor], value[value >= floor]
-                if len(at):  # the first band that the two share gives the pair
-                    same = bands[s + at] == bands[s + i]
-                    first = bands[s + i][same.argmax(axis=1)] == key[s]
-                    at = at[first][np.argsort(-value[first], kind="stable")]
+                at, value = _apart(i, s, e, key, doc, bits, now, was, largest, bands)
+                at = at[np.argsort(-value, kind="stable")]
                 while len(at):
                     part, at = at[:FAN], at[FAN:]
                     hits = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(is_in(np.concatenate([sets[j] for j in part]), sets[i]))))
@@ -241,6 +274,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, doc
                 at = stop
         return _pairs(one, two)
 
+    def partnered(all_rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+        """all_rows joined with the rows of ``wanted`` (stored), by a whole number; of all_rows hardly more than those with a partner are shuffled."""
+        count = wanted.count()
+        if count <= BROADCAST_ROWS:
+            return all_rows.join(F.broadcast(wanted), key)
+        last = min(1 << (WANTED_BITS * count - 1).bit_length(), MOST_BITS) - 1
+        maps = bit_maps(wanted.select(F.xxhash64(key).bitwiseAND(last).alias("number")))
+        return wanted.hint("merge").join(in_maps(all_rows, F.xxhash64(all_rows[key]).bitwiseAND(last), maps), key)
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The (a, b) pairs whose sets reach the threshold; pairs of one centre spread over buckets of FAN members."""
         # stored: they are read for both degrees and for the pairs
@@ -254,8 +296,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, doc
         salt = F.pmod(F.xxhash64("doc"), F.ceil(F.col("d") / FAN))
         pairs = pairs.select("centre", "doc", F.pmod(F.xxhash64("centre", salt), F.lit(buckets)).cast("int").alias("bucket"))
         wanted = stored(pairs.unionByName(pairs.select("centre", F.col("centre").alias("doc"), "bucket").distinct()), "pairs")
-        texts = rows.withColumnRenamed("doc_id", "doc")
-        full = texts.join(F.broadcast(wanted), "doc") if wanted.count() <= BROADCAST_ROWS else wanted.hint("merge").join(texts, "doc")
+        full = partnered(rows.withColumnRenamed("doc_id", "doc"), wanted, "doc")
         return stored(full.groupBy("bucket").applyInArrow(verify, "a long, b long"), "confirmed")
 
     same_set = ["print", "print_two", "n_shingles"]
@@ -265,28 +306,37 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, doc
     heads = stored(heads, "heads")
     by_bucket = lambda df: df.withColumn("bucket", F.pmod("key", F.lit(buckets))).groupBy("bucket")
 
-    def members(bands: tuple[int, int], part: DataFrame) -> DataFrame:
-        """Rows of the buckets of these bands whose members are of several components."""
-        first, last = bands
-        own = heads.select("doc", F.slice("keys", first + 1, last - first).alias("own")).join(part, F.col("doc") == F.col("node"), "left")
-        band = own.select("doc", F.coalesce("component", "doc").alias("component"), F.explode("own").alias("key"))
+    def members(band: DataFrame, part: DataFrame) -> DataFrame:
+        """(key, doc, component) of the buckets whose members are of several components."""
+        band = band.join(part, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
         mixed = band.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        return stored(band.join(mixed, "key").join(heads, "doc").select("key", "doc", "component", "bits", "keys"), "members")
+        return stored(partnered(band, stored(mixed, "mixed"), "key").select("key", "doc", "component"), "members")
+
+    def signed(found: DataFrame) -> DataFrame:
+        """Members with their signatures."""
+        return partnered(heads, found, "doc")
 
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     part = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    for bands in STEPS:
-        star = by_bucket(members(bands, part).drop("keys")).applyInArrow(stars, "a long, b long, like double").distinct()
+    found = None
+    for first, last in STEPS:
+        step = members(heads.select("doc", F.explode(F.slice("keys", first + 1, last - first)).alias("key")), part)
+        found = step if found is None else found.unionByName(step)
+        star = by_bucket(signed(step).drop("keys")).applyInArrow(stars, "a long, b long, like double").distinct()
         # a text meets one typical member a band; its three likeliest come first, the others only if components stay apart
         star = star.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("like", "a")), asc=False), 1, 3).alias("best"))
         links = stored(links.unionByName(confirmed(star.select(F.explode("best.a").alias("a"), "b"))).distinct(), "links")
         part = connected_components(links)
     # the likeliest pairs join most of what belongs together; then every pair that is still apart
-    pairs = by_bucket(members((0, BANDS), part)).applyInArrow(likeliest, "a long, b long")
+    found = members(found.select("doc", "key"), part)
+    pairs = by_bucket(signed(found).drop("keys")).applyInArrow(likeliest, "a long, b long")
     links = stored(links.unionByName(confirmed(pairs)).distinct(), "links")
-    apart = members((0, BANDS), connected_components(links))
-    wanted = rows.withColumnRenamed("doc_id", "doc").join(apart.select("doc").distinct(), "doc").dropDuplicates(["doc"])
-    pairs = by_bucket(apart.join(wanted.mapInArrow(shingles, "doc long, shingles binary"), "doc")).applyInArrow(joining, "a long, b long")
+    found = members(found.select("doc", "key"), connected_components(links))
+    apart = stored(by_bucket(signed(found)).applyInArrow(unsettled, "key long, doc long, component long, main boolean"), "apart")
+    asked = stored(apart.select("doc").distinct(), "asked")
+    wanted = partnered(rows.withColumnRenamed("doc_id", "doc"), asked, "doc").select("doc", "text").dropDuplicates(["doc"])
+    sets_of = stored(wanted.mapInArrow(shingles, "doc long, shingles binary"), "shingles")
+    pairs = by_bucket(signed(apart).join(sets_of, "doc")).applyInArrow(joining, "a long, b long")
     links = stored(links.unionByName(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "links")
     part = connected_components(links)
     ends = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))

@@ -5,9 +5,10 @@ import random
 import numpy as np
 
 from stockspark.llm import near_dedup
+from stockspark.llm.common import bit_maps, in_maps
 from stockspark.llm.components import connected_components
 from stockspark.llm.near_dedup import estimate, near_duplicates, packed_bits, shingle_sets, signatures
-from tests.llm.brute import crafted_words, near
+from tests.llm.brute import crafted_words, near, shingle_set
 
 
 def result(df, **options):
@@ -89,3 +90,49 @@ def test_texts_just_below_the_threshold_give_no_pair_rows(docs_of, monkeypatch):
     monkeypatch.setattr(near_dedup, "stored", counted)
     assert result(docs_of(data), words=4) == sorted(near(data, 4), key=str)
     assert written["links"] < 155 and max(written["pairs"], written.get("candidates", 0)) < len(data) ** 2 // 4
+
+
+def test_bit_maps_hold_exactly_their_numbers(spark):
+    numbers = [0, 7, 8, 32767, 32768, 65535, (1 << 33) + 5, None]
+    rows = spark.createDataFrame([(i, "x") for i in [*numbers, 1, 6, 9, 32766, 32769, 1 << 33]], "bits long, map string")
+    maps = bit_maps(spark.createDataFrame([(n,) for n in numbers], "number long"))
+    got = in_maps(rows, rows["bits"], maps)
+    assert got.columns == ["bits", "map"]
+    assert sorted(r.bits for r in got.collect()) == [n for n in numbers if n is not None]
+
+
+def _half_alike(n=60):
+    """Texts that share bands although hardly one of them is near to another, and a few near copies."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    data = []
+    for d in range(n):
+        copy = list(base)
+        for at in rng.sample(range(120), 12):
+            copy[at] = f"x{rng.random()}"
+        data.append((d, " ".join(copy)))
+    return [*data, (None, data[0][1]), *((500 + d, text + " tail") for d, text in data[:5])]
+
+
+def test_results_do_not_depend_on_how_partners_are_found(docs_of, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", -1)
+    for data in (rows(), _half_alike()):
+        assert result(docs_of(data), words=4) == sorted(near([r for r in data if r[0] is not None], 4) + [(None, len(shingle_set(t, 4)), None, True) for d, t in data if d is None], key=str)
+
+
+def test_sets_and_signatures_move_only_where_a_pair_needs_them(docs_of, monkeypatch):
+    data = _half_alike()
+    written: dict = {}
+    keep = near_dedup.stored
+
+    def noted(df, name):
+        out = keep(df, name)
+        written.setdefault(name, []).append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "stored", noted)
+    result(docs_of(data), words=4)
+    assert sum(n for _, n in written["members"]) > 2 * len(data)
+    assert all(not {"bits", "keys"} & set(columns) for columns, _ in written["members"])
+    # the first steps join the near copies; the other texts share bands but no pair of them may reach the threshold
+    assert sum(n for _, n in written["shingles"]) < len(data) // 4

@@ -95,3 +95,16 @@ def test_run_goes_through_all_stages_and_takes_an_empty_table(spark, folder):
     spark.read.parquet(f"{path}/documents.parquet").limit(0).write.parquet(f"{empty}/documents.parquet")
     spark.read.parquet(f"{path}/benchmark.parquet").write.parquet(f"{empty}/benchmark.parquet")
     assert corpus_pipeline.run(spark, empty).collect() == []
+
+
+def test_near_dedup_keeps_texts_where_they_are(spark, folder):
+    """The kept rows are found without a shuffle of the texts, however many they are."""
+    path, _ = folder
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = corpus_pipeline.near_dedup(spark, spark.read.parquet(f"{path}/documents.parquet"), path)
+        plan = kept._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan.split("Scan parquet")[0] and "SortMergeJoin" not in plan.split("Scan parquet")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -46,12 +46,11 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, d
 
         encoder, offset, part_no = shared_encoder(vocabulary), 0, TaskContext.get().partitionId()
         for part, texts in text_chunks(batches, limit=CHUNK_BYTES):
-            ids = encoder.batch([t.decode() for t in texts])
-            size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) + 1
+            ids, n_ids = encoder.flat(texts)
+            size, ended = n_ids + 1, np.insert(ids, np.cumsum(n_ids), end_id)
             bounds = np.concatenate(([0], np.cumsum(size)))
-            last = np.array([end_id], dtype=np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([x for one in ids for x in (one, last)])))
-            yield pa.record_batch([pa.array(np.full(len(ids), part_no, dtype=np.int32)), part.column("doc_id"), pa.array(size), pa.array(offset + bounds[:-1]), listed], names=["part", "doc_id", "n_tokens", "offset", "ids"])
+            listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ended))
+            yield pa.record_batch([pa.array(np.full(len(size), part_no, dtype=np.int32)), part.column("doc_id"), pa.array(size), pa.array(offset + bounds[:-1]), listed], names=["part", "doc_id", "n_tokens", "offset", "ids"])
             offset += int(bounds[-1])
 
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -92,3 +93,56 @@ def test_clashing_columns_and_blocks_of_parts(docs_of, rows, monkeypatch):
     assert digest(df) == plain
     monkeypatch.setattr(token_files, "BROADCAST_PARTS", 0)
     assert digest(df) == plain
+
+
+class Watched:
+    """A tokenizer that keeps what it is asked to encode."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.asked = tokenizer, []
+
+    def encode(self, text, **options):
+        self.asked.append(text)
+        return self.tokenizer.encode(text, **options)
+
+    def encode_batch_fast(self, texts, **options):
+        self.asked.extend(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_words_are_encoded_once_whatever_stands_beside_them():
+    encoder = encoders.Encoder(P.path("byte_bpe_50k.json"))
+    encoder.tokenizer = Watched(encoder.tokenizer)
+    encoder.batch([" alpaca bandicoot caracal dormouse", ", .\nalpaca\n!? 12 \tbandicoot caracal'd dormouse"])
+    encoder.tokenizer.asked.clear()
+    text = " alpaca, bandicoot.\nalpaca!? caracal12 dormouse\n\tbandicoot alpaca"
+    assert encoder.ids(text).tolist() == encoder.tokenizer.tokenizer.encode(text).ids
+    assert [w for w in ("alpaca", "bandicoot", "caracal", "dormouse") if w in "".join(encoder.tokenizer.asked)] == []
+
+
+def test_a_remembered_piece_takes_few_bytes():
+    encoder = encoders.Encoder(P.path("byte_bpe_50k.json"))
+    rng = random.Random(8)
+    words = list({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(40_000)})
+    tracemalloc.start()
+    for at in range(0, len(words), 4000):
+        encoder.batch([" ".join(words[at : at + 4000])])
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 100 * len(words)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_where_kinds_of_characters_meet_equal_the_library(name, monkeypatch):
+    monkeypatch.setattr(encoders, "BATCH_CHARS", 300)
+    monkeypatch.setattr(encoders, "KNOWN_PIECES", 2000, raising=False)
+    monkeypatch.setattr(encoders, "LONGEST", 6, raising=False)
+    rng = random.Random(9)
+    parts = [*" \n\t\r'’-.,×÷²½ªµéÉ‐‧ǅ", " ", "  ", "\n\n", "ab", "s", "t", "re", "don't", "'ll", "'", "''", "9", "42", "\xa0", "\x85", " ", "\x1c", "\x00", "語", "<|endoftext|>", "<|endof", "text|>", "é", "😀"]
+    texts = ["".join(rng.choices(parts, weights=[8] * (len(parts) - 14) + [1] * 14, k=rng.randint(0, 12))) for _ in range(6000)] + [" ", "\n", "  ", "\n\n", " \n", "", "a ", " a", "'s", "'", "ab" * 400]
+    lib = tokenizers.Tokenizer.from_file(P.path(name))
+    encoder = encoders.Encoder(P.path(name))
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        got = [x.tolist() for x in encoder.batch(part)]
+        assert [(t, g) for t, g, w in zip(part, got, lib.encode_batch(part, add_special_tokens=False)) if g != w.ids] == []

@@ -265,3 +265,41 @@ def test_digest_is_the_exact_sum_of_the_hashes(spark):
     again = [r.h for r in df.selectExpr("xxhash64(concat(value, '#')) as h").collect()]
     assert (one.rows, one.a, one.b) == (3000, str(sum(hashes)), str(sum(again)))
     assert tuple(df.limit(0).agg(*A._digest(F.col("value"))).first()) == (0, "0", "0")
+
+
+def test_export_query_writes_compressed_files(spark):
+    """The export's JSON lines are compressed and hold every row and cell of the tables."""
+    import glob
+
+    from stockspark.plans.registry import QUERIES
+
+    tables, _ = _tables(spark)
+    folders = lambda: set(glob.glob(f"{checkpoint_dir(spark)}/**/data", recursive=True))
+    before = folders()
+    manifest = {r.table: r.rows for r in QUERIES["backup_export"](spark, SMOKE_DIR).collect()}
+    (data,) = folders() - before
+    assert manifest == {n: df.count() for n, df in tables.items()}
+    assert all(f.endswith(".gz") for n in tables for f in os.listdir(f"{data}/{n}") if f.startswith("part-"))
+    frames, _ = A.read_backup(spark, os.path.dirname(data))
+    assert {(r.missing, r.extra) for r in A.round_trip_diff(tables, frames).collect()} == {(0, 0)}
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """What building a table shuffles is removed when the table is written; the session's setting comes back."""
+    import time
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {str(f.getName()) for f in _all(disk.getAllFiles()) if f.getName().startswith("shuffle_")}
+    _all = lambda found: [found.apply(i) for i in range(found.size())]
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffles(), spark.conf.get(key, None)
+    t = Tables(spark, SMOKE_DIR)
+    name = f"shuffled_{uuid.uuid4().hex}"
+    rows = t._table(name, None, lambda: spark.range(5000).withColumn("k", F.col("id") % 7).repartition(5, "id").groupBy("k").count())
+    for _ in range(50):  # they are removed in the background
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert spark.conf.get(key, None) == setting
+    assert sum(r["count"] for r in rows.collect()) == 5000

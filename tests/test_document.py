@@ -112,3 +112,73 @@ def test_batches_may_end_anywhere_and_records_are_parsed_once(spark, small_range
     frames, _ = D.read_backup_document(spark, f"{path}/backup.json")
     plan = frames["sales"]._jdf.queryExecution().executedPlan().toString()
     assert plan.count("from_json(") == 1
+
+
+def _whole(path):
+    import gzip
+
+    parts = sorted(f for f in os.listdir(path) if f.startswith("part-"))
+    raw = b"".join(open(f"{path}/{f}", "rb").read() for f in parts)
+    return parts, json.loads(gzip.decompress(raw) if parts[0].endswith(".gz") else raw)
+
+
+def test_compressed_parts_are_one_document_and_nothing_else_is_stored(spark, monkeypatch):
+    """Parts put together are the compressed document, sorted by id; copies and null ids stay, no second copy of the lines is kept."""
+    monkeypatch.setattr(A, "COMPRESSED_RECORDS", 7)
+    rows = spark.range(40).selectExpr("if(id % 9 = 0, null, id div 2) id", "concat('n{', id div 2, '\"') name")
+    path = _scratch(spark, "gzip")
+    stored = lambda: {d for d in os.listdir(f"{checkpoint_dir(spark)}/stockspark") if d.startswith("document-")}
+    os.makedirs(f"{checkpoint_dir(spark)}/stockspark", exist_ok=True)
+    before = stored()
+    D.write_document({"categories": rows.where("id > 100"), "staff": rows, "budget": rows.limit(0)}, path, compression="gzip")
+    assert stored() == before
+    parts, whole = _whole(path)
+    assert len(parts) > 6 and all(f.endswith(".gz") for f in parts)
+    assert {n: len(v) for n, v in whole["data"].items()} == {"categories": 0, "staff": 40, "budget": 0}
+    ids = [r["id"] for r in whole["data"]["staff"]]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i))
+    assert sorted(map(str, whole["data"]["staff"])) == sorted(str(r.asDict()) for r in rows.collect())
+    records, names = D.read_document(spark, path)
+    assert names == ["categories", "staff", "budget"]
+    assert sorted(str(json.loads(r.record)) for r in records.collect()) == sorted(map(str, whole["data"]["staff"]))
+
+
+def test_rows_that_change_with_every_run_give_a_whole_document(spark):
+    """Every partition is chosen for rows that do not come again; no record lacks its comma."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    now = F.udf(lambda i: time.time_ns(), "bigint").asNondeterministic()
+    rows = spark.range(60).select(now("id").alias("id"), F.col("id").alias("n"))
+    path = _scratch(spark, "moving")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        D.write_document({"staff": rows, "budget": spark.range(2)}, path)
+    finally:
+        spark.conf.set(key, before)
+    data = _whole(path)[1]["data"]
+    assert sorted(r["n"] for r in data["staff"]) == list(range(60)) and len(data["budget"]) == 2
+
+
+@pytest.mark.parametrize("key", ["backup_document_restore", "backup_document_round_trip"])
+def test_document_queries_write_compressed_parts_and_skip_other_tables(spark, key, monkeypatch):
+    from stockspark.plans.registry import QUERIES
+
+    written, restored, plans = [], D.restored, []
+    write = D.write_document
+    monkeypatch.setattr(D, "write_document", lambda tables, path, *a, **b: (written.append(path), write(tables, path, *a, **b)))
+    monkeypatch.setattr(D, "restored", lambda lines, name: (plans.append(lines._jdf.queryExecution().executedPlan().toString()), restored(lines, name))[1])
+    rows = QUERIES[key](spark, SMOKE_DIR).collect()
+    parts, whole = _whole(written[0])
+    assert all(f.endswith(".gz") for f in parts)
+    t = Tables(spark, SMOKE_DIR)
+    counts = {n: getattr(t, n).count() for n in A.BACKUP_TABLES}
+    assert {n: len(v) for n, v in whole["data"].items()} == counts
+    if key == "backup_document_restore":
+        assert {r.table: (r.restored, r.total) for r in rows} == {n: (c, c) for n, c in counts.items()}
+    else:
+        assert {(r.table, r.missing, r.extra) for r in rows} == {(n, 0, 0) for n in counts}
+    assert len(plans) == 5 and all("PushedFilters" in p and "GreaterThan(at," in p for p in plans)

@@ -43,10 +43,7 @@ RECORD_DEPTH = 3
 
 _RANGE = ["file", "start"]
 #: What a byte is: 2 for a quote, 1 for a bracket that opens, -1 for one that closes.
-_MARK = np.zeros(256, dtype=np.int8)
-_MARK[ord('"')] = 2
-_MARK[list(b"{[")] = 1
-_MARK[list(b"}]")] = -1
+_MARK = bytes({ord('"'): 2, ord("{"): 1, ord("["): 1, ord("}"): 255, ord("]"): 255}.get(b, 0) for b in range(256))
 
 
 def _stretches(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
@@ -70,8 +67,8 @@ def _stretches(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
                 text = b"{" + text
             now = here
             masked = text.replace(b"\\\\", b"  ").replace(b'\\"', b"  ") if b"\\" in text else text
-            mark = _MARK[np.frombuffer(masked, dtype=np.uint8)]
-            at = np.flatnonzero(mark)
+            mark = np.frombuffer(masked.translate(_MARK), dtype=np.int8)
+            at = np.flatnonzero(mark != 0)
             yield here, text, at, mark[at].astype(np.int64), *(c[s].as_py() for c in more)
 
 

@@ -303,3 +303,21 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     assert not shuffles() - before
     assert spark.conf.get(key, None) == setting
     assert sum(r["count"] for r in rows.collect()) == 5000
+
+
+def test_stored_tables_and_numberings_are_zstd_files(spark):
+    """Tables and numbered copies take the disk of the small codec, with the same rows."""
+    import glob
+
+    from stockspark.plans.ordering import dense_number
+
+    t = Tables(spark, SMOKE_DIR)
+    t._table(name := f"small_{uuid.uuid4().hex}", None, lambda: spark.range(50))
+    files = glob.glob(f"{checkpoint_dir(spark)}/stockspark/tables/*/{name}/part-*")
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
+    folders = lambda: set(glob.glob(f"{checkpoint_dir(spark)}/stockspark/numbered-*"))
+    before = folders()
+    rows = dense_number(spark.range(50).selectExpr("99 - id as k"), "k", "n").collect()
+    (made,) = folders() - before
+    assert all(f.endswith(".zstd.parquet") for f in glob.glob(f"{made}/part-*"))
+    assert sorted((r.k, r.n) for r in rows) == [(50 + i, i + 1) for i in range(50)]
